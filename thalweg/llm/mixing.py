@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, words_of
 
 #: Rows that meet in one leaf, open rows that meet in one inner node of the tree.
-LEAF_ROWS, FAN = 20_000, 4_096
+LEAF_ROWS, FAN = 1_000, 4_096
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
