@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import Encoder, encode_slices
+from .tokens import Encoder
 
 CAPACITY, BINS, PARTS = 2048, 2048, 2
 ROWS_PER_BUCKET = 50_000
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end: int, capacity: int = CAPA
         encoder, stop = Encoder.of(path, kind), np.array([end], "<u4")
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, x in encode_slices(encoder, b.column("text").to_pylist()):
+            for i, x in encoder.encode(b.column("text").to_pylist()):
                 own = np.concatenate([x.astype("<u4"), stop])
                 begin, stop_at = 0, len(own) - (-(-len(own) // capacity) - 1) * capacity
                 for k in range(-(-len(own) // capacity)):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, file_system, key_ranges
 from .shards import ShardFile, commit
-from .tokens import Encoder, encode_slices
+from .tokens import Encoder
 
 MAGIC = b"TWIDS\x00\x00\x01"
 IDS_PER_FILE, IDS_PER_BLOCK = 4_000_000, 500_000
@@ -53,8 +53,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def tokenise(docs: DataFrame, path: str, kind: str, end: int) -> DataFrame:
-    """doc_id, n, crc, ids (little-endian uint32), with the id `end` after each document."""
+def id_type(path: str) -> str:
+    """The narrowest type for the ids of a vocabulary, in tables of this operator."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def tokenise(docs: DataFrame, path: str, kind: str, end: int, dtype: str) -> DataFrame:
+    """doc_id, n, crc (of the ids as uint32), ids (as dtype), with the id `end` after each document."""
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +69,10 @@ def tokenise(docs: DataFrame, path: str, kind: str, end: int) -> DataFrame:
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id")
             n, crc, raw, size, first = [], [], [], 0, 0
-            for i, x in encode_slices(encoder, texts):
-                own = np.concatenate([x.astype("<u4"), stop]).tobytes()
-                n.append(len(own) // 4), crc.append(zlib.crc32(own)), raw.append(own)
-                size += len(own)
+            for i, x in encoder.encode(texts):
+                own = np.concatenate([x.astype("<u4"), stop])
+                n.append(len(own)), crc.append(zlib.crc32(own)), raw.append(own.astype(dtype).tobytes())
+                size += len(raw[-1])
                 if size > 1 << 24 or i == len(texts) - 1:
                     yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n", "crc", "ids"])
                     n, crc, raw, size, first = [], [], [], 0, i + 1
@@ -73,17 +80,16 @@ def tokenise(docs: DataFrame, path: str, kind: str, end: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, n long, crc long, ids binary")
 
 
-def frequencies(tokens: DataFrame) -> list[int]:
+def frequencies(tokens: DataFrame, dtype: str) -> list[int]:
     """All ids that occur, the commonest first, ties by id. At most the size of the vocabulary reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(0, "int64")
         for b in batches:
-            for raw in b.column("ids").to_pylist():
-                c = np.bincount(np.frombuffer(raw, "<u4"))
-                if len(c) > len(count):
-                    c, count = count, c
-                count[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype))
+            if len(c) > len(count):
+                c, count = count, c
+            count[: len(c)] += c
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some].astype("int64"))], ["id", "count"])
 
@@ -91,16 +97,16 @@ def frequencies(tokens: DataFrame) -> list[int]:
     return [r.id for r in sorted(counted.collect(), key=lambda r: (-r["count"], r.id))]
 
 
-def write(spark: SparkSession, tokens: DataFrame, root: str, ids_per_file: int = IDS_PER_FILE) -> list[dict]:
+def write(spark: SparkSession, tokens: DataFrame, root: str, dtype: str, ids_per_file: int = IDS_PER_FILE) -> list[dict]:
     """tokens: as from tokenise(). Writes the files under root and returns the manifest."""
-    by_rank = frequencies(tokens)
+    by_rank = frequencies(tokens, dtype)
     rank = np.zeros(max(by_rank, default=0) + 1, "uint32")
     rank[by_rank] = np.arange(len(by_rank))
     ranks = spark.sparkContext.broadcast(rank)  # bounded by the vocabulary
     ranges = key_ranges(tokens, "doc_id", F.col("n"), ids_per_file)
 
     def block(rows: list[tuple]) -> bytes:
-        ids = ranks.value[np.frombuffer(b"".join(r[2] for r in rows), "<u4")]
+        ids = ranks.value[np.frombuffer(b"".join(r[2] for r in rows), dtype)]
         control, data = pack(ids)
         head = np.array([len(rows), len(ids), len(control), len(data)], "<u8").tobytes()
         keys = np.array([r[0] or 0 for r in rows], "<i8").tobytes()
@@ -174,7 +180,8 @@ def read(spark: SparkSession, root: str, rows: list[dict], id_kind: str = "bigin
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str, kind: str = "word", end: int = 1) -> DataFrame:
     """Tokenizes, writes the files into the shared folder, and reads them back."""
     scratch = Scratch(spark, "tokenfile")
-    tokens = scratch.save(tokenise(docs, path, kind, end), "tokens")
-    rows = write(spark, tokens, scratch.path("files"))
+    dtype = id_type(path)
+    tokens = scratch.save(tokenise(docs, path, kind, end, dtype), "tokens")
+    rows = write(spark, tokens, scratch.path("files"), dtype)
     scratch.drop("tokens")
     return read(spark, scratch.path("files"), rows, docs.schema["doc_id"].dataType.simpleString())
