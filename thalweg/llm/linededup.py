@@ -117,10 +117,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("i", "j", "h1", "h2", "first")).alias("chunks"))  # of one document
     lists = lists.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "chunks")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
-    bodies = scratch.save(_bodies(hashed.where("text is not null").join(lists, same)), "bodies")
+    bodies = scratch.save(_bodies(hashed.where("text is not null").join(lists.hint("merge"), same)), "bodies")  # grows with the data: never broadcast
     keepers = bodies.where("first").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("body").alias("kept")).dropDuplicates(["k1", "k2"])
     equal = bodies.where("not first").join(keepers, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("body") == F.col("kept")))
     removed = equal.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("i", "j")).alias("_removed"))
-    marked = docs.withColumn("_h", F.xxhash64("text")).join(scratch.save(removed, "removed"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    marked = docs.withColumn("_h", F.xxhash64("text")).join(scratch.save(removed, "removed").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
     scratch.drop("chunks", "bodies")
     return _without(marked.drop("_d", "_t", "_h"))
