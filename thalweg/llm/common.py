@@ -48,6 +48,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """Appends to a table of this run."""
+        df.write.mode("append").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
     def drop(self, *names: str) -> None:
         for name in names:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
