@@ -95,15 +95,17 @@ def write(spark: SparkSession, pages: DataFrame, root: str, date: str = DATE, fi
     large = rows.where(F.col("size") >= LEAST).groupBy(F.col("digest").alias("d"))
     first = large.agg(F.min("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1 and holder is not null").select("d", "holder")
     ranges = key_ranges(pages, "page_id", F.octet_length("html") + 200, shard_bytes)
-    marked = rows.join(first, F.col("digest") == F.col("d"), "left")
-    refers = F.when(~F.col("holder").eqNullSafe(F.col("page_id")), F.col("holder"))
-    marked = marked.select("page_id", "url", "digest", "size", refers.alias("refers"), "html")
-    marked = marked.withColumn("html", F.when(F.col("refers").isNull(), F.col("html"))).withColumn("shard", ranges.shard(F.col("page_id"), F.xxhash64("digest", "url")))
-    dealt = marked.repartitionByRange(ranges.shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # Payloads are shuffled once. What a page revisits comes beside it, as a row that sorts before the page's own.
+    small = rows.select("page_id", "digest", "url").join(first, F.col("digest") == F.col("d")).where(~F.col("holder").eqNullSafe(F.col("page_id")))
+    notes = small.select("page_id", "url", "digest", F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("html"), F.col("holder").alias("refers")).distinct()
+    both = rows.select("page_id", "url", "digest", "size", "html", F.lit(None).cast("long").alias("refers")).unionByName(notes)
+    both = both.withColumn("shard", ranges.shard(F.col("page_id"), F.xxhash64("digest", "url")))
+    order = ["shard", "page_id", "digest", "url", F.col("refers").asc_nulls_last()]
+    dealt = both.repartition(ranges.shards, "shard").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: ShardFile | None = None
-        shard, number, records = -1, 0, 0
+        shard, number, records, note = -1, 0, 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if out:
@@ -111,12 +113,16 @@ def write(spark: SparkSession, pages: DataFrame, root: str, date: str = DATE, fi
                 yield pa.RecordBatch.from_pylist([{"temporary": out.temporary, "name": out.name, "records": records, "bytes": out.size}], schema)
 
         for b in batches:
-            for s, *r in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "size", "digest", "refers")), strict=True):
+            for s, page, url, html, size, digest, refers in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "size", "digest", "refers")), strict=True):
+                if refers is not None:
+                    note = (s, page, url, digest), refers
+                    continue
                 if s != shard or out.size >= file_bytes:
                     yield from done()
                     shard, number, records = s, number + 1 if s == shard else 0, 0
                     out = ShardFile(root, f"part-{s:08d}-{number:05d}.warc.gz")
-                out.write(record(*r, date))
+                refers = note[1] if note and note[0] == (s, page, url, digest) else None
+                out.write(record(page, url, html, size, digest, refers, date))
                 records += 1
         yield from done()
 
