@@ -1,6 +1,110 @@
-"""All queries by name, and the same in DuckDB's SQL where it can say them."""
+"""All queries by name, and the same in DuckDB's SQL where it can say them.
+
+The driver's tables hold no rasters, so the queries derive a grid, classes, countries and drops from orders and events by
+arithmetic. Flow operators are DataFrame code (operators.flow); what follows from their tables is SQL that both engines
+read, in which {name} stands for a derived table: a DataFrame in Spark, a subquery in DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geodesy as g
+from ..operators import flow
+from .statements import DERIVED, STATEMENTS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _duck(text: str) -> str:
+    """A statement with its derived tables put in, as DuckDB reads it."""
+    for _ in range(8):
+        for name, body in DERIVED.items():
+            text = text.replace("{" + name + "}", f"({body})")
+    for name in BASE:
+        text = text.replace("{" + name + "}", name)
+    return text.replace(" DIV ", " // ")
+
+
+class Tables:
+    """Derived tables of one run, each made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self._make(name)
+        return self.made[name]
+
+    def _make(self, name: str) -> DataFrame:
+        if name in BASE:
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name == "edges":
+            return flow.cut(flow.d8(self("cells")))
+        if name == "acc":
+            return flow.accumulate(self("edges")).join(self("edges"), "cell_id")
+        if name == "term":
+            return flow.terminals(self("edges"))
+        if name == "path":
+            return flow.trace(self("edges"), self("drops"))
+        return self.sql(DERIVED[name])
+
+    def sql(self, text: str) -> DataFrame:
+        import string
+
+        names = {f for _, f, _, _ in string.Formatter().parse(text) if f}
+        return self.spark.sql(text, **{n: self(n) for n in names})
+
+
+def _statement(name: str, text: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: Tables(spark, sf_dir).sql(text)
+    ORACLE_SQL[name] = _duck(text)
+
+
+for _name, _text in STATEMENTS.items():
+    _statement(_name, _text)
+_statement("d8_directions", "SELECT cell_id, dir, coalesce(parent_id, -1) AS parent_id FROM {edges}")
+_statement("flow_accumulation", "SELECT cell_id, acc FROM {acc}")
+_statement("terminal_labels", "SELECT cell_id, term FROM {term}")
+_statement("trace_paths", "SELECT drop_id, step, cell_id FROM {path}")
+
+
+def runoff_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    out = flow.accumulate(t("edges"), t("cells").select("cell_id", (F.col("z") % 17 + 1).cast("long").alias("weight")))
+    return out.select("cell_id", F.col("acc").alias("runoff"))
+
+
+def watershed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return flow.catchment(t("edges"), t("outlet_points"))
+
+
+def strahler_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return flow.strahler(t("edges"), t("acc"), 3)
+
+
+def lonlat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Tables(spark, sf_dir)("cells").select("cell_id", (F.lit(36352) + F.col("x")).alias("px"), (F.lit(19968) + F.col("y")).alias("py"))
+    lon, lat = g.pixel_to_lon(F.col("px") + 0.5, 8), g.pixel_to_lat(F.col("py") + 0.5, 8)
+    back = [F.floor(f(v, 8)).cast("long").alias(n) for f, v, n in ((g.lon_to_pixel, F.col("lon"), "back_x"), (g.lat_to_pixel, F.col("lat"), "back_y"))]
+    c = c.withColumn("lon", lon).withColumn("lat", lat)
+    return c.select("cell_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), *back, F.round(g.cell_size(F.col("py"), 8), 4).alias("size_m"), F.round(g.haversine(F.col("lon"), F.col("lat"), F.lit(10.0), F.lit(50.0)), 3).alias("dist_m"))
+
+
+QUERIES |= {f.__name__: f for f in (runoff_accumulation, watershed_cells, strahler_order, lonlat_pixels)}
+ORACLE_SQL["runoff_accumulation"] = _duck("SELECT a.up AS cell_id, CAST(sum(c.z % 17 + 1) AS BIGINT) AS runoff FROM {closure} a JOIN {cells} c ON c.cell_id = a.cell_id GROUP BY a.up")
+ORACLE_SQL["watershed_cells"] = _duck("SELECT o.outlet_id, a.cell_id FROM {outlet_points} o JOIN {closure} a ON a.up = o.outlet_id")
+ORACLE_SQL["lonlat_pixels"] = _duck("""
+    WITH c AS (SELECT cell_id, 36352 + x AS px, 19968 + y AS py FROM {cells}),
+    l AS (SELECT *, (px + 0.5) / 65536.0 * 360.0 - 180.0 AS lon, degrees(atan(sinh(pi() * (1 - 2 * (py + 0.5) / 65536.0)))) AS lat FROM c)
+    SELECT cell_id, round(lon, 6) AS lon, round(lat, 6) AS lat, CAST(floor((lon + 180.0) / 360.0 * 65536.0) AS BIGINT) AS back_x,
+        CAST(floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 65536.0) AS BIGINT) AS back_y,
+        round(40075016.686 / 65536.0 * cos(radians(lat)), 4) AS size_m,
+        round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(50.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(50.0)) * pow(sin(radians(10.0 - lon) / 2), 2))), 3) AS dist_m FROM l""")
