@@ -101,7 +101,7 @@ def write(spark: SparkSession, pages: DataFrame, root: str, date: str = DATE, fi
     both = rows.select("page_id", "url", "digest", "size", "html", F.lit(None).cast("long").alias("refers")).unionByName(notes)
     both = both.withColumn("shard", ranges.shard(F.col("page_id"), F.xxhash64("digest", "url")))
     order = ["shard", "page_id", "digest", "url", F.col("refers").asc_nulls_last()]
-    dealt = both.repartition(ranges.shards, "shard").sortWithinPartitions(*order)
+    dealt = both.repartition(4 * ranges.shards, "shard").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: ShardFile | None = None
