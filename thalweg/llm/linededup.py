@@ -6,7 +6,7 @@ byte with the first of them (smallest doc_id, then place); those that are equal
 shuffled for all chunks; the bytes of a chunk travel only where its digest repeats.
 
 Cases: null texts stay null; single lines are never removed; rows equal in doc_id and text count as one document; a null
-doc_id sorts first; a document may lose its whole text and then has ''.
+doc_id sorts first; a document may lose its whole text and then has ''; a column lines_removed of the input is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WINDOW, DIVISOR, MOST_LINES = 2, 3, 64
+#: Names of columns that this operator adds for a while, beside any that documents may have.
+OWN, REMOVED = ("__linededup_id", "__linededup_of", "__linededup_hash"), "__linededup_removed"
 _BASE, _MASK = 0x100000001B3, (1 << 64) - 1
 
 
@@ -84,8 +86,8 @@ def _bodies(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame) -> DataFrame:
-    """docs: all columns, text and removed (array of ranges of lines, or null). Drops those lines from text."""
-    names, removed = docs.columns, "_removed"
+    """docs: all columns, text and REMOVED (array of ranges of lines, or null). Drops those lines from text."""
+    names, removed = docs.columns, REMOVED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,6 +111,7 @@ def _without(docs: DataFrame) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs: doc_id, text and any more columns. Returns all columns with repeated passages gone from text, and lines_removed."""
     scratch = Scratch(spark, "linededup")
+    docs = docs.drop("lines_removed")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     chunks = scratch.save(chunk_table(hashed), "chunks")
     place = F.struct("doc_id", "th", "i")
@@ -120,7 +123,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bodies = scratch.save(_bodies(hashed.where("text is not null").join(lists.hint("merge"), same)), "bodies")  # grows with the data: never broadcast
     keepers = bodies.where("first").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("body").alias("kept")).dropDuplicates(["k1", "k2"])
     equal = bodies.where("not first").join(keepers, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("body") == F.col("kept")))
-    removed = equal.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("i", "j")).alias("_removed"))
-    marked = docs.withColumn("_h", F.xxhash64("text")).join(scratch.save(removed, "removed").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    removed = equal.groupBy(F.col("doc_id").alias(OWN[0]), F.col("th").alias(OWN[1])).agg(F.collect_set(F.struct("i", "j")).alias(REMOVED))
+    marked = docs.withColumn(OWN[2], F.xxhash64("text")).join(scratch.save(removed, "removed").hint("merge"), F.col("doc_id").eqNullSafe(F.col(OWN[0])) & (F.col(OWN[2]) == F.col(OWN[1])), "left")
     scratch.drop("chunks", "bodies")
-    return _without(marked.drop("_d", "_t", "_h"))
+    return _without(marked.drop(*OWN))

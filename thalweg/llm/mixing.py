@@ -131,6 +131,6 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 11, weights: tuple[int
 
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. doc_id must be unique in docs, or rows with equal ids alike."""
-    n = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n"))
-    kept = docs.join(n, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    n = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__mix_n"))
+    kept = docs.join(n, F.col("doc_id").eqNullSafe(F.col("__mix_id"))).withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int"))))
     return kept.select(*docs.columns)
