@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: The sample that the statistics are learned from, for each language: so many documents and bytes at most.
 SAMPLE_DOCS, SAMPLE_BYTES, ORDER = 600, 1_500_000, 3
-SLICE = 1 << 20
+SLICE = 1 << 18
 UNDETERMINED = "und"
 
 

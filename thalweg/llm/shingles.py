@@ -10,7 +10,7 @@ from .common import SPACE_BYTES
 
 WIDTH = 5
 #: Bytes hashed at once; longer texts are cut at white space, which ends a word.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.arange(256, dtype="uint64")

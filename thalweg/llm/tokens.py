@@ -18,7 +18,7 @@ import numpy as np
 
 from .shingles import mix64
 
-KEEP = 1_500_000
+KEEP = 700_000
 #: Bytes looked at together.
 CHUNK = 1 << 20
 #: Unicode white space beyond ASCII. Fixed values.
