@@ -15,7 +15,8 @@ def lon_to_pixel(lon: Column, zoom: int) -> Column:
 
 
 def lat_to_pixel(lat: Column, zoom: int) -> Column:
-    s = F.sin(F.radians(F.least(F.greatest(lat, F.lit(-MAX_LAT)), F.lit(MAX_LAT))))
+    # greatest and least would make a null a bound
+    s = F.sin(F.radians(F.when(lat.isNotNull(), F.least(F.greatest(lat, F.lit(-MAX_LAT)), F.lit(MAX_LAT)))))
     return (0.5 - F.log((1 + s) / (1 - s)) / (4 * F.pi())) * float(TILE * 2**zoom)
 
 
@@ -33,6 +34,6 @@ def cell_size(y: Column, zoom: int) -> Column:
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Metres between two points."""
+    """Metres between two points; null if any of the four is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.when(a.isNotNull(), F.least(F.lit(1.0), a))))

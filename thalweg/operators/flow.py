@@ -79,7 +79,8 @@ def trace(edges: DataFrame, drops: DataFrame, max_steps: int | None = None) -> D
 def catchment(edges: DataFrame, outlets: DataFrame) -> DataFrame:
     """outlets: outlet_id. Returns outlet_id, cell_id: all cells whose path passes an outlet, which is reachability by
     doubling: members within 2^k steps give those within 2^(k+1)."""
-    members = cut(outlets.select("outlet_id", F.col("outlet_id").alias("cell_id")))
+    # cut before the column is doubled: the partitioning of a cut table may name no column that it has not
+    members = cut(outlets.select("outlet_id")).select("outlet_id", F.col("outlet_id").alias("cell_id"))
     for to in ancestors(edges):
         up = to.select(F.col("to").alias("cell_id"), F.col("cell_id").alias("above"))
         members = cut(members.union(members.join(up, "cell_id").select("outlet_id", F.col("above").alias("cell_id"))))

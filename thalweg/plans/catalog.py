@@ -13,57 +13,17 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from ..operators import flow
-from .statements import DERIVED, STATEMENTS
+from . import hydrology
+from .statements import STATEMENTS
+from .tables import BASE, Tables, duck
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-
-
-def _duck(text: str) -> str:
-    """A statement with its derived tables put in, as DuckDB reads it."""
-    for _ in range(8):
-        for name, body in DERIVED.items():
-            text = text.replace("{" + name + "}", f"({body})")
-    for name in BASE:
-        text = text.replace("{" + name + "}", name)
-    return text.replace(" DIV ", " // ")
-
-
-class Tables:
-    """Derived tables of one run, each made when it is first asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
-
-    def __call__(self, name: str) -> DataFrame:
-        if name not in self.made:
-            self.made[name] = self._make(name)
-        return self.made[name]
-
-    def _make(self, name: str) -> DataFrame:
-        if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name == "edges":
-            return flow.cut(flow.d8(self("cells")))
-        if name == "acc":
-            return flow.accumulate(self("edges")).join(self("edges"), "cell_id")
-        if name == "term":
-            return flow.terminals(self("edges"))
-        if name == "path":
-            return flow.trace(self("edges"), self("drops"))
-        return self.sql(DERIVED[name])
-
-    def sql(self, text: str) -> DataFrame:
-        import string
-
-        names = {f for _, f, _, _ in string.Formatter().parse(text) if f}
-        return self.spark.sql(text, **{n: self(n) for n in names})
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(hydrology.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(hydrology.ORACLE_SQL)
 
 
 def _statement(name: str, text: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: Tables(spark, sf_dir).sql(text)
-    ORACLE_SQL[name] = _duck(text)
+    ORACLE_SQL[name] = duck(text)
 
 
 for _name, _text in STATEMENTS.items():
@@ -99,9 +59,9 @@ def lonlat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (runoff_accumulation, watershed_cells, strahler_order, lonlat_pixels)}
-ORACLE_SQL["runoff_accumulation"] = _duck("SELECT a.up AS cell_id, CAST(sum(c.z % 17 + 1) AS BIGINT) AS runoff FROM {closure} a JOIN {cells} c ON c.cell_id = a.cell_id GROUP BY a.up")
-ORACLE_SQL["watershed_cells"] = _duck("SELECT o.outlet_id, a.cell_id FROM {outlet_points} o JOIN {closure} a ON a.up = o.outlet_id")
-ORACLE_SQL["lonlat_pixels"] = _duck("""
+ORACLE_SQL["runoff_accumulation"] = duck("SELECT a.up AS cell_id, CAST(sum(c.z % 17 + 1) AS BIGINT) AS runoff FROM {closure} a JOIN {cells} c ON c.cell_id = a.cell_id GROUP BY a.up")
+ORACLE_SQL["watershed_cells"] = duck("SELECT o.outlet_id, a.cell_id FROM {outlet_points} o JOIN {closure} a ON a.up = o.outlet_id")
+ORACLE_SQL["lonlat_pixels"] = duck("""
     WITH c AS (SELECT cell_id, 36352 + x AS px, 19968 + y AS py FROM {cells}),
     l AS (SELECT *, (px + 0.5) / 65536.0 * 360.0 - 180.0 AS lon, degrees(atan(sinh(pi() * (1 - 2 * (py + 0.5) / 65536.0)))) AS lat FROM c)
     SELECT cell_id, round(lon, 6) AS lon, round(lat, 6) AS lat, CAST(floor((lon + 180.0) / 360.0 * 65536.0) AS BIGINT) AS back_x,

@@ -21,11 +21,11 @@ DERIVED = {
             SELECT r.cell_id, e.parent_id, r.step + 1 FROM r JOIN e ON e.cell_id = r.up WHERE e.parent_id IS NOT NULL) SELECT * FROM r""",
     "acc": "SELECT e.cell_id, a.acc, e.dir, e.parent_id FROM {edges} e JOIN (SELECT up, count(*) AS acc FROM {closure} GROUP BY up) a ON a.up = e.cell_id",
     "term": "SELECT cell_id, max_by(up, step) AS term FROM {closure} GROUP BY cell_id",
-    "drops": "SELECT event_id AS drop_id, (user_id * 7919 + event_id * 31) % (w * w) AS cell_id FROM {events} CROSS JOIN (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM {orders}) n WHERE event_id % 50 = 0",
+    "drops": "SELECT event_id AS drop_id, (user_id * 7919 + event_id * 31) % (w * w) AS cell_id FROM {events} CROSS JOIN (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM {orders}) n",
     "path": """
         WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), r(drop_id, step, cell_id) AS (SELECT drop_id, CAST(0 AS BIGINT), cell_id FROM {drops} UNION ALL
             SELECT r.drop_id, r.step + 1, e.parent_id FROM r JOIN e ON e.cell_id = r.cell_id WHERE e.parent_id IS NOT NULL) SELECT drop_id, step, cell_id FROM r""",
-    "outlet_points": "SELECT cell_id AS outlet_id FROM {cells} WHERE x % 40 = 20 AND y % 40 = 20",
+    "outlet_points": "SELECT cell_id AS outlet_id FROM {acc} WHERE acc >= 100",
     "basin": "SELECT t.term AS basin_id, c.* FROM {term} t JOIN {cells} c ON c.cell_id = t.cell_id",
     "place": "SELECT p_partkey AS id, p_name AS name, (p_partkey * 37 % 360) - 180 + (p_size % 10) * 0.013 AS lon, (p_partkey * 53 % 170) - 85 + (p_size % 7) * 0.011 AS lat, p_partkey * p_size AS pop FROM {part}",
     # lengths along the grid: 300 m across, 424 m diagonal; z is in decimetres
@@ -40,7 +40,7 @@ DERIVED = {
 _SIZE = "CASE WHEN {0} < 0.5 THEN 'Overland flow' WHEN {0} < 5 THEN 'Headwater stream' WHEN {0} < 50 THEN 'Stream' WHEN {0} < 500 THEN 'Small river' WHEN {0} < 5000 THEN 'River' WHEN {0} < 50000 THEN 'Major river' ELSE 'Great river' END"
 _PATH = "OVER (PARTITION BY drop_id ORDER BY step"
 _AROUND = f"{_PATH} ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)"
-_SLOPE = f"greatest(CAST(0.00003 AS DOUBLE), CAST(max(z) {_AROUND} - min(z) {_AROUND} AS DOUBLE) / 10 / greatest(1, max(dist) {_AROUND} - min(dist) {_AROUND}))"
+_SLOPE = f"greatest(CAST(0.00003 AS DOUBLE), CAST(first_value(z) {_AROUND} - last_value(z) {_AROUND} AS DOUBLE) / 10 / greatest(1, max(dist) {_AROUND} - min(dist) {_AROUND}))"
 
 STATEMENTS = {
     # joins and degrees
@@ -59,11 +59,11 @@ STATEMENTS = {
     "top_basins": "SELECT basin_id, count(*) AS cells FROM {basin} GROUP BY basin_id ORDER BY cells DESC, basin_id LIMIT 50",
     "big_basins": "SELECT basin_id, count(*) AS cells FROM {basin} GROUP BY basin_id HAVING count(*) >= 30",
     "basin_main_stem": """
-        WITH n AS (SELECT t.term AS basin_id, p.p_brand AS name, max(a.acc) AS dn, count(*) AS n FROM {acc} a JOIN {term} t ON t.cell_id = a.cell_id JOIN {part} p ON p.p_partkey = a.cell_id % 1000 WHERE a.acc >= 10 GROUP BY t.term, p.p_brand),
+        WITH n AS (SELECT t.term AS basin_id, p.p_brand AS name, max(a.acc) AS dn, count(*) AS n FROM {acc} a JOIN {term} t ON t.cell_id = a.cell_id JOIN {part} p ON p.p_partkey = a.cell_id % (SELECT count(*) FROM {part}) WHERE a.acc >= 10 GROUP BY t.term, p.p_brand),
         b AS (SELECT *, max(dn) OVER (PARTITION BY basin_id) AS best FROM n),
         r AS (SELECT *, row_number() OVER (PARTITION BY basin_id ORDER BY n DESC, dn DESC, name) AS r FROM b WHERE dn >= 0.6 * best)
         SELECT basin_id, name, name || ' basin' AS label, dn, n FROM r WHERE r = 1""",
-    "compare_basins": "WITH b AS (SELECT basin_id, count(*) AS cells FROM {basin} GROUP BY basin_id), r AS (SELECT *, row_number() OVER (ORDER BY cells DESC, basin_id) AS r FROM b) SELECT a.basin_id AS one, c.basin_id AS two, round(CAST(a.cells AS DOUBLE) / c.cells, 6) AS ratio FROM r a JOIN r c ON c.r = a.r + 1 WHERE a.r <= 20",
+    "compare_basins": "WITH b AS (SELECT basin_id, count(*) AS cells FROM {basin} GROUP BY basin_id), r AS (SELECT *, row_number() OVER (ORDER BY cells DESC, basin_id) AS r FROM b) SELECT a.basin_id AS one, c.basin_id AS two, round(CAST(a.cells AS DOUBLE) / c.cells, 6) AS ratio FROM r a JOIN r c ON c.r = a.r + 1",
     "size_class_hist": f"SELECT {_SIZE.format('acc * 0.09')} AS size_class, count(*) AS cells FROM {{acc}} GROUP BY 1",
     # paths
     "trace_distance": "SELECT drop_id, step, cell_id, CAST(dist AS BIGINT) AS dist FROM {steps}",
@@ -73,10 +73,10 @@ STATEMENTS = {
     "slope_window": f"SELECT drop_id, step, round({_SLOPE}, 8) AS slope FROM {{steps}}",
     "velocity_travel_time": f"""
         WITH s AS (SELECT drop_id, step, dist, acc * 0.09E0 AS area, {_SLOPE} AS slope, dist - lag(dist) {_PATH}) AS d FROM {{steps}}),
-        v AS (SELECT drop_id, d, CASE WHEN area < 0.5 THEN least(greatest(2.0E0 * sqrt(slope), 0.03E0), 0.6E0) ELSE least(greatest(8.0E0 * pow(area * 300 / 31557.6E0, 0.2E0) * sqrt(slope), 0.05E0), 4.0E0) END AS v FROM s WHERE d > 0)
+        v AS (SELECT drop_id, d, CASE WHEN area < 1 THEN least(greatest(1.2E0 * sqrt(slope), 0.03E0), 0.6E0) ELSE least(greatest(pow(0.3E0 * pow(greatest(area * 300 / 31557.6E0, 0.01E0), 0.3E0), 2.0E0 / 3) * sqrt(slope) / 0.04E0, 0.05E0), 4.0E0) END AS v FROM s WHERE d > 0)
         SELECT drop_id, round(sum(d / v), 4) AS seconds, round(sum(v * d) / sum(d), 6) AS mean_v FROM v GROUP BY drop_id""",
     "discharge": "SELECT cell_id, round(acc * 0.09E0 * 300 / 31557.6E0, 8) AS m3s FROM {acc} WHERE acc >= 10",
-    "tributaries_topk": f"SELECT drop_id, step, gain, rank FROM (SELECT drop_id, step, gain, row_number() OVER (PARTITION BY drop_id ORDER BY gain DESC, step) AS rank FROM (SELECT drop_id, step, acc - lag(acc) {_PATH}) AS gain, lag(acc) {_PATH}) AS before FROM {{steps}}) g WHERE gain > greatest(5.0E0, 0.08E0 * before)) r WHERE rank <= 6",
+    "tributaries_topk": f"SELECT drop_id, step, gain, rank FROM (SELECT drop_id, step, gain, row_number() OVER (PARTITION BY drop_id ORDER BY gain DESC, step) AS rank FROM (SELECT drop_id, step, acc - lag(acc) {_PATH}) AS gain, lag(acc) {_PATH}) AS before FROM {{steps}}) g WHERE gain * 0.09E0 > greatest(25.0E0, 0.08E0 * before * 0.09E0)) r WHERE rank <= 6",
     "journey_steps": f"SELECT drop_id, run, min(step) AS first_step, max(step) AS last_step, min(cls) AS cls, min(nation) AS nation, CAST(max(dist) - min(dist) AS BIGINT) AS length FROM (SELECT *, CAST(sum(cut) {_PATH}) AS BIGINT) AS run FROM (SELECT *, CASE WHEN lag(cls) {_PATH}) = cls AND lag(nation) {_PATH}) = nation THEN 0 ELSE 1 END AS cut FROM {{steps}}) a) b GROUP BY drop_id, run",
     "lake_runs": f"SELECT drop_id, min(step) AS first_step, CAST(max(dist) - min(dist) AS BIGINT) AS length FROM (SELECT *, step - row_number() {_PATH}) AS island FROM {{steps}} WHERE cls = 2) a GROUP BY drop_id, island HAVING max(dist) - min(dist) >= 2000",
     "ordered_countries": "SELECT drop_id, nation, n_name, row_number() OVER (PARTITION BY drop_id ORDER BY first_step) AS place FROM (SELECT drop_id, nation, min(step) AS first_step FROM {steps} GROUP BY drop_id, nation) f JOIN {nation} n ON n.n_nationkey = f.nation",
@@ -105,23 +105,21 @@ STATEMENTS = {
     "tile_prune": "SELECT c.x DIV 16 AS tx, c.y DIV 16 AS ty, count(*) AS cells FROM {cells} c JOIN {edges} e ON e.cell_id = c.cell_id GROUP BY c.x DIV 16, c.y DIV 16 HAVING max(CASE WHEN e.dir <> 0 OR c.cls <> 1 THEN 1 ELSE 0 END) = 1",
     "missing_tiles": "SELECT DISTINCT c.x DIV 16 AS tx, c.y DIV 16 AS ty FROM {cells} c LEFT ANTI JOIN (SELECT DISTINCT x DIV 16 AS ox, y DIV 16 AS oy FROM {cells} WHERE cls = 2) o ON o.ox = c.x DIV 16 AND o.oy = c.y DIV 16",
     "missing_tile_default": "SELECT d.drop_id, coalesce(c.cls, 1) AS cls FROM (SELECT drop_id, cell_id + 1000000 * (drop_id % 3) AS cell_id FROM {drops}) d LEFT JOIN {cells} c ON c.cell_id = d.cell_id",
-    "overlay_slope": "SELECT c.cell_id, round(sqrt(pow((e.z - w.z) / 2.0E0, 2) + pow((s.z - n.z) / 2.0E0, 2)) / 3000, 8) AS slope FROM {cells} c JOIN {cells} e ON e.cell_id = c.cell_id + 1 JOIN {cells} w ON w.cell_id = c.cell_id - 1 JOIN {cells} s ON s.cell_id = c.cell_id + c.w JOIN {cells} n ON n.cell_id = c.cell_id - c.w WHERE c.x > 0 AND c.x < c.w - 1",
+    "overlay_slope": "SELECT c.cell_id, round(degrees(atan(sqrt(pow(CAST(e.z - w.z AS DOUBLE), 2) + pow(CAST(s.z - n.z AS DOUBLE), 2)) / 10 / (2 * 300.0E0))), 8) AS slope FROM {cells} c JOIN {cells} e ON e.cell_id = CASE WHEN c.x < c.w - 1 THEN c.cell_id + 1 ELSE c.cell_id END JOIN {cells} w ON w.cell_id = CASE WHEN c.x > 0 THEN c.cell_id - 1 ELSE c.cell_id END JOIN {cells} s ON s.cell_id = CASE WHEN c.y < c.w - 1 THEN c.cell_id + c.w ELSE c.cell_id END JOIN {cells} n ON n.cell_id = CASE WHEN c.y > 0 THEN c.cell_id - c.w ELSE c.cell_id END",
     "hillshade": """
-        WITH d AS (SELECT c.cell_id, (e.z - w.z) / 6000.0E0 * 2.2E0 AS gx, (s.z - n.z) / 6000.0E0 * 2.2E0 AS gy FROM {cells} c JOIN {cells} e ON e.cell_id = c.cell_id + 1 JOIN {cells} w ON w.cell_id = c.cell_id - 1 JOIN {cells} s ON s.cell_id = c.cell_id + c.w JOIN {cells} n ON n.cell_id = c.cell_id - c.w WHERE c.x > 0 AND c.x < c.w - 1)
-        SELECT cell_id, round(least(1.0E0, greatest(0.0E0, (0.70710678E0 + 0.5E0 * (gx + gy)) / sqrt(1 + gx * gx + gy * gy))), 6) AS shade FROM d""",
+        WITH d AS (SELECT c.cell_id, CAST(e.z - w.z AS DOUBLE) / 10 / (300 * (e.x - w.x)) * 2.2E0 AS gx, CAST(s.z - n.z AS DOUBLE) / 10 / (300 * (s.y - n.y)) * 2.2E0 AS gy FROM {cells} c JOIN {cells} e ON e.cell_id = CASE WHEN c.x < c.w - 1 THEN c.cell_id + 1 ELSE c.cell_id END JOIN {cells} w ON w.cell_id = CASE WHEN c.x > 0 THEN c.cell_id - 1 ELSE c.cell_id END JOIN {cells} s ON s.cell_id = CASE WHEN c.y < c.w - 1 THEN c.cell_id + c.w ELSE c.cell_id END JOIN {cells} n ON n.cell_id = CASE WHEN c.y > 0 THEN c.cell_id - c.w ELSE c.cell_id END),
+        a AS (SELECT cell_id, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(-gy, gx) AS aspect FROM d)
+        SELECT cell_id, round(least(1.0E0, greatest(0.0E0, sin(radians(45.0E0)) * cos(slope) + cos(radians(45.0E0)) * sin(slope) * cos(radians(135.0E0) - aspect))), 6) AS shade FROM a""",
     "overlay_mask": "SELECT c.cell_id, CASE WHEN a.acc < 3 OR c.z < -20 THEN 0 ELSE 255 END AS alpha FROM {cells} c JOIN {acc} a ON a.cell_id = c.cell_id",
     # climate, by month
     "snow_fraction": "SELECT cell_id, round(least(1.0E0, greatest(0.0E0, (3 - (z / 10000.0E0 - 4)) / 4)), 6) AS snow, round(greatest(z / 10000.0E0 - 4, 0.0E0) * 3.0E0 * 28.25E0, 6) AS melt FROM {cells}",
-    "fu_budyko": "WITH c AS (SELECT cell_id, 400.0E0 + z % 900 AS p, 300.0E0 + z % 700 AS pet FROM {cells}) SELECT cell_id, round(greatest(p - p * least(1.0E0, greatest(0.0E0, 1 + pet / p - pow(1 + pow(pet / p, 2.6E0), 1 / 2.6E0))), 2.0E0), 4) AS runoff FROM c",
     "orographic_precip": "SELECT cell_id, round(least(6000.0E0, greatest(20.0E0, 800 * least(3.2E0, greatest(0.35E0, 1 + 0.00055E0 * (z / 10.0E0 - 2000))))), 4) AS precip, round(15 - 0.0065E0 * z / 10, 6) AS temp FROM {cells}",
-    "radiation": "WITH m AS (SELECT nation AS k, radians(35.0E0 + nation) AS phi, 2 * pi() * (15 + 30 * month) / 365 AS j FROM (SELECT DISTINCT nation FROM {cells}) c CROSS JOIN (SELECT DISTINCT n_regionkey AS month FROM {nation}) n), s AS (SELECT *, 0.409E0 * sin(j - 1.39E0) AS dec, 1 + 0.033E0 * cos(j) AS dr FROM m) SELECT k, round(j, 6) AS j, round(24 * 60 / pi() * 0.082E0 * dr * (acos(least(1.0E0, greatest(-1.0E0, -tan(phi) * tan(dec)))) * sin(phi) * sin(dec) + cos(phi) * cos(dec) * sin(acos(least(1.0E0, greatest(-1.0E0, -tan(phi) * tan(dec)))))), 5) AS ra FROM s",
-    "idw_climate": "WITH st AS (SELECT s_suppkey AS id, s_suppkey * 37 % 100 AS sx, s_suppkey * 53 % 100 AS sy, s_acctbal AS p FROM {supplier} WHERE s_suppkey < 50), b AS (SELECT DISTINCT x DIV 8 AS bx, y DIV 8 AS bky FROM {cells}), w AS (SELECT bx, bky, p, 1 / pow((sx - bx) * (sx - bx) + (sy - bky) * (sy - bky) + 0.02E0, 1.6E0) AS w FROM b JOIN st ON 1 = 1) SELECT bx, bky, round(sum(w * p) / sum(w), 5) AS p, round(degrees(atan2(sum(w * sin(p)), sum(w * cos(p)))), 4) AS phase FROM w GROUP BY bx, bky",
     "calibration_score": "WITH r AS (SELECT c_nationkey, (c_acctbal + 1100) / (900.0E0 + c_custkey % 300) AS ratio FROM {customer}) SELECT round(median(ratio), 6) AS median_ratio, round(avg(abs(ln(ratio))), 6) AS mean_error, count(*) AS n FROM r",
     "worst_rivers": "SELECT c_custkey, round(abs(ln((c_acctbal + 1100) / (900.0E0 + c_custkey % 300))), 6) AS error FROM {customer} ORDER BY error DESC, c_custkey LIMIT 10",
     # spatial joins by bucket
     "point_in_box": "WITH b AS (SELECT n_nationkey AS id, n_nationkey % 5 * 20 AS x0, n_nationkey DIV 5 * 20 AS y0 FROM {nation}) SELECT d.drop_id, min(b.id) AS box FROM {drops} d JOIN {cells} c ON c.cell_id = d.cell_id JOIN b ON b.x0 DIV 20 = c.x DIV 20 AND b.y0 DIV 20 = c.y DIV 20 WHERE NOT (c.x - b.x0 BETWEEN 8 AND 11 AND c.y - b.y0 BETWEEN 8 AND 11) GROUP BY d.drop_id",
     "nearest_vertex": """
-        WITH v AS (SELECT cell_id AS vertex, x, y FROM {cells} WHERE cell_id % 97 = 5), o AS (SELECT -1 AS i UNION ALL SELECT 0 UNION ALL SELECT 1),
+        WITH v AS (SELECT c.cell_id AS vertex, c.x, c.y FROM {cells} c JOIN {acc} a ON a.cell_id = c.cell_id WHERE a.acc >= 20), o AS (SELECT -1 AS i UNION ALL SELECT 0 UNION ALL SELECT 1),
         p AS (SELECT d.drop_id, c.x, c.y, c.x DIV 16 + a.i AS bx, c.y DIV 16 + b.i AS bky FROM {drops} d JOIN {cells} c ON c.cell_id = d.cell_id CROSS JOIN o a CROSS JOIN o b),
         m AS (SELECT p.drop_id, v.vertex, (v.x - p.x) * (v.x - p.x) + (v.y - p.y) * (v.y - p.y) AS d2 FROM p JOIN v ON v.x DIV 16 = p.bx AND v.y DIV 16 = p.bky)
         SELECT drop_id, vertex, d2 FROM (SELECT *, row_number() OVER (PARTITION BY drop_id ORDER BY d2, vertex) AS r FROM m WHERE d2 <= 256) s WHERE r = 1""",
@@ -138,7 +136,7 @@ STATEMENTS = {
     "label_pools": "SELECT kind, id, rank FROM (SELECT CASE WHEN pop % 4 = 0 THEN 'town' WHEN pop % 4 = 1 THEN 'river' WHEN pop % 4 = 2 THEN 'lake' ELSE 'peak' END AS kind, id, row_number() OVER (PARTITION BY CASE WHEN pop % 4 = 0 THEN 'town' WHEN pop % 4 = 1 THEN 'river' WHEN pop % 4 = 2 THEN 'lake' ELSE 'peak' END ORDER BY pop DESC, id) AS rank FROM {place}) s WHERE rank <= CASE kind WHEN 'town' THEN 900 WHEN 'river' THEN 420 WHEN 'lake' THEN 220 ELSE 130 END",
     "name_alias": "SELECT p_partkey, coalesce(a.canonical, trim(p_brand)) AS name FROM {part} LEFT JOIN (SELECT 'brand#1' AS alias, 'First' AS canonical UNION ALL SELECT 'brand#11', 'Eleventh') a ON a.alias = lower(trim(p_brand))",
     "study_area": "SELECT id, name FROM {place} WHERE lon BETWEEN -25 AND 45 AND lat BETWEEN 34 AND 72",
-    "history_until": "SELECT o_orderkey, year(o_orderdate) AS year FROM {orders} WHERE year(o_orderdate) <= 1995 AND o_orderkey % 100 = 0",
+    "history_until": "SELECT o_orderkey, year(o_orderdate) AS year FROM {orders} WHERE year(o_orderdate) <= 1995",
     "format_distance": "SELECT drop_id, CASE WHEN d < 1000 THEN CAST(d AS STRING) || ' m' ELSE CAST(CAST(floor(d / 1000.0E0) AS BIGINT) AS STRING) || ' km' END AS label FROM (SELECT drop_id, CAST(max(dist) AS BIGINT) AS d FROM {steps} GROUP BY drop_id) s",
     "union_lakes": "SELECT cell_id FROM {cells} WHERE cls = 2 UNION SELECT cell_id FROM {cells} WHERE x % 31 = 7 AND y % 29 = 3",
     "seed_mask": "SELECT cell_id FROM {cells} WHERE cls = 1 OR x = 0 OR y = 0 OR x = w - 1 OR y = w - 1",
