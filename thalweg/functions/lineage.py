@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="thalweg-"))
-    return df.checkpoint()
+    """df written as a table under spark.checkpoint.dir and read again; a folder of this machine only where that is unset, as
+    in tests. A table rather than a checkpoint: the plan runs once, and the sizes that the planner sees are those of files,
+    where those carried by checkpoints multiply from join to join of a loop."""
+    spark = df.sparkSession
+    scala = spark.sparkContext._jsc.sc()
+    if not scala.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="thalweg-"))
+    path = f"{scala.getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

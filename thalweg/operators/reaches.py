@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,15 +12,17 @@ from ..functions.lineage import cut
 from .flow import catchment
 
 
-def chase(links: DataFrame) -> DataFrame:
-    """links: node, to (null at a root), weight. Returns node, root, total: the weights of the links on the way there."""
-    state = cut(links.select("node", F.coalesce("to", "node").alias("root"), F.when(F.col("to").isNull(), 0).otherwise(F.col("weight")).cast("long").alias("total"), F.col("to").isNull().alias("done")))
-    while state.where("not done").take(1):
-        ahead = state.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("total").alias("more"), F.col("done").alias("end"))
-        settled = state.where("done")
-        going = state.where("not done").join(ahead, "root").select("node", F.col("next").alias("root"), (F.col("total") + F.col("more")).alias("total"), F.col("end").alias("done"))
-        state = cut(settled.union(going))
-    return state.select("node", "root", "total")
+def chase(links: DataFrame, *scope: str) -> DataFrame:
+    """links: node, to (null at a root), weight, and columns of `scope`, within which nodes are told apart. Returns the scope,
+    node, root, total: the weights of the links on the way there."""
+    state = cut(links.select(*scope, "node", F.coalesce("to", "node").alias("root"), F.when(F.col("to").isNull(), 0).otherwise(F.col("weight")).cast("long").alias("total"), F.col("to").isNull().alias("done")))
+    settled, going = [state.where("done")], state.where("not done")
+    while going.take(1):
+        # only rows that still move are written again; what they look up is all rows, settled ones where they lie
+        ahead = reduce(DataFrame.union, settled, going).select(*scope, F.col("node").alias("root"), F.col("root").alias("next"), F.col("total").alias("more"), F.col("done").alias("end"))
+        state = cut(going.join(ahead, [*scope, "root"]).select(*scope, "node", F.col("next").alias("root"), (F.col("total") + F.col("more")).alias("total"), F.col("end").alias("done")))
+        settled, going = [*settled, state.where("done")], state.where("not done")
+    return reduce(DataFrame.union, settled).select(*scope, "node", "root", "total")
 
 
 def extract(acc: DataFrame, threshold: float) -> DataFrame:
@@ -70,11 +74,11 @@ def upstream(acc: DataFrame, points: DataFrame, min_acc: float, max_paths: int |
     pairs = cut(pairs.select("outlet_id", "cell_id", F.when(F.col("cell_id") != F.col("outlet_id"), F.col("parent_id")).alias("parent_id"), "acc"))
     rank = F.row_number().over(W.partitionBy("outlet_id", "parent_id").orderBy(F.desc("acc"), "cell_id"))
     ranked = pairs.withColumn("main", F.col("parent_id").isNull() | (rank == 1))
-    key = lambda c: F.struct("outlet_id", F.col(c).alias("cell_id"))
-    ranked = cut(ranked.select("outlet_id", "cell_id", "acc", key("cell_id").alias("node"), F.when(F.col("parent_id").isNotNull(), key("parent_id")).alias("below"), "main"))
-    stems = chase(ranked.select("node", F.when(F.col("main"), F.col("below")).alias("to"), F.lit(1).alias("weight"))).select("node", F.col("root.cell_id").alias("path_id"), F.col("total").alias("pos"))
-    depth = chase(ranked.select("node", F.col("below").alias("to"), (~F.col("main")).cast("int").alias("weight"))).select("node", F.col("total").alias("depth"))
-    out = ranked.select("node", "outlet_id", "cell_id", "acc").join(stems, "node").join(depth, "node")
+    ranked = cut(ranked.select("outlet_id", F.col("cell_id").alias("node"), F.col("parent_id").alias("below"), "acc", "main"))
+    stems = chase(ranked.select("outlet_id", "node", F.when(F.col("main"), F.col("below")).alias("to"), F.lit(1).alias("weight")), "outlet_id").withColumnsRenamed({"root": "path_id", "total": "pos"})
+    depth = chase(ranked.select("outlet_id", "node", F.col("below").alias("to"), (~F.col("main")).cast("int").alias("weight")), "outlet_id").drop("root").withColumnRenamed("total", "depth")
+    key = ["outlet_id", "node"]
+    out = ranked.select(*key, "acc").join(stems, key).join(depth, key).withColumnRenamed("node", "cell_id")
     paths = out.groupBy("outlet_id", "path_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.max("acc").alias("size")).where("n >= 2")
     if max_paths is not None:
         paths = paths.withColumn("r", F.row_number().over(W.partitionBy("outlet_id").orderBy("depth", F.desc("size"), "path_id"))).where(F.col("r") <= max_paths)
