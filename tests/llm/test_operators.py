@@ -127,6 +127,48 @@ def test_line_dedup(spark, texts):
     assert sum(r.lines_removed for r in got) > 0 and len(got) == len(texts)
 
 
+def brute_passages(docs):
+    """Line by line: a run that can be read, pair by pair of lines, in what came before goes if it is long or has a chunk."""
+    before, out = set(), {}
+    for i, t in sorted(docs.items()):
+        lines = t.encode().split(b"\n")
+        pairs, again, alone = [], set(), set()
+        for k in range(len(lines)):
+            for unit in ((k, k + 2), (k, k + 1)):
+                body = tuple(lines[slice(*unit)])
+                if len(body) == unit[1] - k and (len(body) == 2 or len(body[0].split()) >= 50):
+                    if body in before:
+                        (again if len(body) == 2 else alone).add(k)
+                    before.add(body)
+        for k in range(len(lines)):
+            if k in again and k - 1 not in again:
+                e = next(x for x in range(k, len(lines) + 1) if x not in again) + 1
+                pairs.append((k, e))
+        chunks = [c for c in linededup.chunk_lines(lines) if c[1] - c[0] > 1]
+        gone = set(alone)
+        for s, e in pairs:
+            if sum(len(x.split()) for x in lines[s:e]) >= 50 or any(s <= a and b <= e for a, b in chunks):
+                gone.update(range(s, e))
+        out[i] = b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode()
+    return out
+
+
+def test_repeated_passages(spark, texts):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    cases = [[line(60)], [line(26), line(27)], [line(20), line(2), line(30)], [line(13) for _ in range(4)], [line(12), "", line(45)], [line(6) for _ in range(20)]] * 4
+    cases = [[x + f" {k // 6}" for x in c] for k, c in enumerate(cases)]
+    first = ["\n".join([line(9), *c, line(9)]) for c in cases]
+    again = ["\n".join([f"head {k}", *c, f"tail {k}"]) for k, c in enumerate(cases)]
+    every = [*first, *again, *texts]
+    got = {r.doc_id: r for r in linededup.dedup_passages(spark, documents(spark, every)).collect() if r.doc_id is not None}
+    for k, c in enumerate(cases):
+        assert got[k].text == first[k] and got[len(first) + k].text == f"head {k}\ntail {k}" and got[len(first) + k].lines_removed == len(c)
+    want = brute_passages({i: t for i, t in enumerate(every) if t is not None and t != "no id"})
+    # the text of the row without an id sorts first, but is a single short line
+    assert {i: r.text for i, r in got.items() if r.text is not None} == want
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs)

@@ -1,17 +1,25 @@
-"""Removing repeated passages by content-defined chunks of lines.
+"""Removing repeated passages: by whole passages (dedup_passages), or by content-defined chunks of lines alone (dedup_lines).
 
-A rolling hash over the hashes of the last WINDOW lines says where a chunk ends, so an inserted or deleted line moves only
-the boundaries beside it. Chunks of two or more lines whose 128-bit digest occurs more than once are compared byte by
-byte with the first of them (smallest doc_id, then place); those that are equal go, the first stays. Only digests are
-shuffled for all chunks; the bytes of a chunk travel only where its digest repeats.
+Units are compared by 128-bit digest, and those whose digest occurs more than once byte by byte with the first of them
+(smallest doc_id, then place). Only digests are shuffled for all units; the bytes of one travel only where its digest
+repeats.
 
-Cases: null texts stay null; single lines are never removed; rows equal in doc_id and text count as one document; a null
+Passages: the units are all pairs of neighbouring lines, and single lines of WORDS words or more. Units that repeat an
+earlier one and share a line make up a run; a run goes if it has WORDS words or more, or holds a whole chunk. So every
+run of whole lines of WORDS words or more that occurs earlier goes from end to end, however its chunks lie. The first
+occurrence of a line never goes: no unit around it repeats an earlier one.
+
+Chunks: a rolling hash over the hashes of the last WINDOW lines says where a chunk ends, so an inserted or deleted line
+moves only the boundaries beside it. Chunks of two or more lines are the units of dedup_lines, and those that repeat go.
+
+Cases: null texts stay null; single lines of fewer words are never removed by themselves; rows equal in doc_id and text count as one document; a null
 doc_id sorts first; a document may lose its whole text and then has ''; a column lines_removed of the input is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -21,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WINDOW, DIVISOR, MOST_LINES = 2, 3, 64
+#: Rows that a worker takes apart together.
+SLICE = 500
+#: A repeated passage of so many words goes, whatever its lines.
+WORDS = 50
 #: Names of columns that this operator adds for a while, beside any that documents may have.
 OWN, REMOVED = ("__linededup_id", "__linededup_of", "__linededup_hash"), "__linededup_removed"
 _BASE, _MASK = 0x100000001B3, (1 << 64) - 1
@@ -48,19 +60,55 @@ def _split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, th (a hash of the text). A row for each chunk of two or more lines: its lines and digest."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, so few at a time that their lines and units are small beside the batch."""
+    for b in batches:
+        for s in range(0, b.num_rows, SLICE):
+            yield b.slice(s, SLICE)
+
+
+def chunk_units(lines: list[bytes]) -> list[tuple[int, int]]:
+    """The chunks of two or more lines."""
+    return [(s, e) for s, e in chunk_lines(lines) if e - s > 1] if len(lines) > 1 else []
+
+
+def passage_units(lines: list[bytes]) -> list[tuple[int, int]]:
+    """All pairs of neighbouring lines, and single lines of WORDS words or more."""
+    return [(i, i + 2) for i in range(len(lines) - 1)] + [(i, i + 1) for i, x in enumerate(lines) if len(x) >= 2 * WORDS - 1 and len(x.split()) >= WORDS]
+
+
+def passages(lines: list[bytes], units: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs of lines that go. units: those that repeat an earlier one; they are joined where they share a line."""
+    runs: list[list[int]] = []
+    for s, e in sorted(units):
+        if runs and s < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    chunks: list[tuple[int, int]] | None = None
+    out = []
+    for s, e in runs:
+        if sum(len(x.split()) for x in lines[s:e]) < WORDS:
+            chunks = chunk_units(lines) if chunks is None else chunks
+            at = bisect.bisect_left(chunks, (s, s))
+            if at == len(chunks) or chunks[at][1] > e:
+                continue
+        out.append((s, e))
+    return out
+
+
+def unit_table(docs: DataFrame, units: Callable[[list[bytes]], list[tuple[int, int]]]) -> DataFrame:
+    """docs: doc_id, text, th (a hash of the text). A row for each unit: its lines and digest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             at, i, j, h1, h2 = [], [], [], [], []
             for row, text in enumerate(b.column("text").to_pylist()):
                 lines = _split(text) if text else []
-                for s, e in chunk_lines(lines) if len(lines) > 1 else ():
-                    if e - s > 1:
-                        d = xxhash.xxh3_128_intdigest(b"\n".join(lines[s:e]))
-                        at.append(row), i.append(s), j.append(e), h1.append(_signed(d >> 64)), h2.append(_signed(d & _MASK))
+                for s, e in units(lines):
+                    d = xxhash.xxh3_128_intdigest(b"\n".join(lines[s:e]))
+                    at.append(row), i.append(s), j.append(e), h1.append(_signed(d >> 64)), h2.append(_signed(d & _MASK))
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("th").take(rows), *(pa.array(x, pa.int32()) for x in (i, j)), *(pa.array(x, pa.int64()) for x in (h1, h2))], ["doc_id", "th", "i", "j", "h1", "h2"])
 
@@ -72,7 +120,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             at, found, body = [], [], []
             for row, (text, chunks) in enumerate(zip(b.column("text").to_pylist(), b.column("chunks").to_pylist(), strict=True)):
                 lines = _split(text)
@@ -85,21 +133,24 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", "text", "chunks").mapInArrow(run, f"doc_id {kind}, th long, i int, j int, h1 long, h2 long, first boolean, body binary")
 
 
-def _without(docs: DataFrame) -> DataFrame:
-    """docs: all columns, text and REMOVED (array of ranges of lines, or null). Drops those lines from text."""
+def _without(docs: DataFrame, whole: bool) -> DataFrame:
+    """docs: all columns, text and REMOVED (array of ranges of lines, or null). Drops those lines from text; whole: their
+    passages()."""
     names, removed = docs.columns, REMOVED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             texts, gone = b.column("text"), b.column(removed).to_pylist()
-            n = [sum(c["j"] - c["i"] for c in g) if g else 0 for g in gone]
-            if any(n):
+            n = [0] * b.num_rows
+            if any(gone):
                 new = texts.to_pylist()
                 for row, g in enumerate(gone):
-                    if g:
-                        lines = _split(new[row])
-                        for c in g:
-                            lines[c["i"] : c["j"]] = [None] * (c["j"] - c["i"])
+                    ranges = [(c["i"], c["j"]) for c in g or ()]
+                    lines = _split(new[row]) if ranges else []
+                    for s, e in passages(lines, ranges) if whole else ranges:
+                        lines[s:e] = [None] * (e - s)
+                        n[row] += e - s
+                    if n[row]:
                         new[row] = b"\n".join(x for x in lines if x is not None).decode("utf-8", "surrogatepass")
                 texts = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(c) for c in names if c != removed] + [pa.array(n, pa.int64())], [*(c for c in names if c != removed), "lines_removed"])
@@ -108,12 +159,21 @@ def _without(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def dedup_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs: doc_id, text and any more columns. Returns all columns with repeated passages gone from text, and lines_removed."""
+    return _dedup(spark, docs, passage_units, True)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """As dedup_passages, but only whole chunks of two or more lines go."""
+    return _dedup(spark, docs, chunk_units, False)
+
+
+def _dedup(spark: SparkSession, docs: DataFrame, units: Callable[[list[bytes]], list[tuple[int, int]]], whole: bool) -> DataFrame:
     scratch = Scratch(spark, "linededup")
     docs = docs.drop("lines_removed")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    chunks = scratch.save(chunk_table(hashed), "chunks")
+    chunks = scratch.save(unit_table(hashed, units), "chunks")
     place = F.struct("doc_id", "th", "i")
     repeated = chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keeper")).where("n > 1").drop("n")
     found = chunks.join(repeated, ["h1", "h2"]).withColumn("first", place.eqNullSafe(F.col("keeper")))
@@ -126,4 +186,4 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     removed = equal.groupBy(F.col("doc_id").alias(OWN[0]), F.col("th").alias(OWN[1])).agg(F.collect_set(F.struct("i", "j")).alias(REMOVED))
     marked = docs.withColumn(OWN[2], F.xxhash64("text")).join(scratch.save(removed, "removed").hint("merge"), F.col("doc_id").eqNullSafe(F.col(OWN[0])) & (F.col(OWN[2]) == F.col(OWN[1])), "left")
     scratch.drop("chunks", "bodies")
-    return _without(marked.drop(*OWN))
+    return _without(marked.drop(*OWN), whole)

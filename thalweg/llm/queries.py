@@ -28,7 +28,7 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+    return linededup.dedup_passages(spark, table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
