@@ -278,6 +278,19 @@ def test_units_give_the_ids_of_the_tokenizer(texts, name, kind):
         assert list(ids) == encoder.tokenizer.encode(every[i], add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_special_tokens_in_a_text_are_those_of_the_library(spark, name, kind):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary(name))
+    odd = ["end <|endoftext|> next", "a<|startoftext|>b", "<|endoftext|>", "<|ENDOFTEXT|> x", "plain text", "<|endoftext|><|endoftext|> y\xa0\n z", "<|endof", "text|> <|", "été<|endoftext|>  œil"]
+    for i, ids in tokens.Encoder(vocabulary(name), kind).encode(odd):
+        assert list(ids) == fresh.encode(odd[i], add_special_tokens=False).ids, odd[i]
+    if kind == "word":
+        got = {r.doc_id: r.n_tokens for r in tokenfile.encode_documents(spark, documents(spark, odd), vocabulary(name)).collect()}
+        assert got == {i: len(fresh.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(odd)}
+
+
 def test_token_files(spark, texts):
     encoder = tokens.Encoder(vocabulary("word_bpe_49k.json"), "word")
     got = {r.doc_id: r for r in tokenfile.encode_documents(spark, documents(spark, texts), vocabulary("word_bpe_49k.json")).collect()}

@@ -4,7 +4,8 @@ Both vocabularies part a text before any merge: at ASCII white space (the byte-l
 it), and wherever a letter meets an ASCII character that is none. So the ids of a text are those of its units in a row.
 Units are found and hashed (twice, 128 bits) with numpy over the bytes of many texts, looked up in a hash table of what
 this worker has met, and only new ones go to the tokenizer. The table is emptied at KEEP units, a bound on memory that
-changes no result. Texts with white space beyond ASCII, which the byte-level pattern may join to a neighbour, go to the
+changes no result. Texts with white space beyond ASCII, which the byte-level pattern may join to a neighbour, and texts
+that contain an added token of the vocabulary (as <|endoftext|>), which is one id by the library's default, go to the
 tokenizer whole.
 """
 
@@ -115,7 +116,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.blanks = Tokenizer.from_file(path), kind == "byte"
-        self.tokenizer.encode_special_tokens = True
+        # the library looks for them in the text as it is, or as it is after the normalizer
+        self.added = [(t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -129,6 +131,17 @@ class Encoder:
             _OPEN[path, kind] = cls(path, kind)
         return _OPEN[path, kind]
 
+    def _whole(self, t: str) -> bool:
+        """Whether the ids of a text may not be those of its units."""
+        if self.blanks and not t.isascii() and _OTHER_SPACE.search(t):
+            return True
+        if any(x in t for x, _ in self.added):
+            return True
+        if self.tokenizer.normalizer and any(normal for _, normal in self.added):
+            plain = self.tokenizer.normalizer.normalize_str(t)
+            return any(normal and self.tokenizer.normalizer.normalize_str(x) in plain for x, normal in self.added)
+        return False
+
     def _tokenized(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -190,7 +203,7 @@ class Encoder:
                 at = e
 
         for i, t in enumerate(texts):
-            if t and self.blanks and not t.isascii() and _OTHER_SPACE.search(t):
+            if t and self._whole(t):
                 yield from flush()
                 held, size = [], 0
                 yield i, np.array(self._tokenized([t])[0], "int32")
