@@ -79,12 +79,13 @@ def test_near_duplicates_in_small_nodes(spark, texts, monkeypatch):
 
 
 def test_near_duplicates_of_what_is_attached_to_a_pivot(spark, monkeypatch):
-    """Links to a row that has left a node with its pivot, of rows that seem to be linked with the pivot but aren't (shifted sets)."""
+    """Links to a row that has left a node with its pivot, of rows whose size rules a link with the pivot out (nested sets),
+    and of rows that seem to be linked with the pivot but aren't (shifted sets)."""
     for name, value in (("NODE", 2), ("DEPTH", 0), ("PIVOTS", 1), ("SURE", 100)):
         monkeypatch.setattr(neardup, name, value)
     monkeypatch.setattr(neardup, "LIKELY", 85, raising=False)
-    shifted = [(0, 104), (6, 110), (17, 121)]
-    for spans in (shifted,):
+    nested, shifted = [(0, 104), (0, 94), (0, 74)], [(0, 104), (6, 110), (17, 121)]
+    for spans in (nested, shifted):
         made = [" ".join(f"g{g}w{k}" for k in range(*span)) for g in range(40) for span in spans]
         got = neardup.near_duplicates(spark, documents(spark, made)).collect()
         assert {r.doc_id: r.component_id for r in got} == components(made)[0]
