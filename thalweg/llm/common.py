@@ -1,10 +1,11 @@
 """Shared pieces: table access, scratch tables in the shared folder, deterministic key ranges, file system access.
 
-Nothing here depends on the size of the data: what reaches the driver is a histogram of a fixed number of buckets.
+What reaches the driver grows with the number of shards only, which is a matter of a parameter.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -26,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, as a URI. Only where it is unset (tests on one machine) a temporary one is set."""
+    """The folder of spark.checkpoint.dir, as a URI. Where it is unset, a temporary one on a single machine, else an error."""
     current = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not made.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = made.get() if made.isDefined() else "file://" + tempfile.mkdtemp(prefix="thalweg-")
         spark.conf.set("spark.checkpoint.dir", current)
     return current if "://" in current or current.startswith("file:") else "file://" + current
@@ -58,6 +61,13 @@ class Scratch:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables of this run but these."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if found.exists(root):
+            self.drop(*({x.getPath().getName() for x in found.listStatus(root)} - set(names)))
+
 
 def file_system(uri: str):
     """A pyarrow file system that executors and the driver can both open, and the path in it."""
@@ -86,10 +96,11 @@ class KeyRanges:
 
     def shard(self, key: Column, tie: Column) -> Column:
         """The shard of a row. tie: a long that deals out the rows of a single heavy key, which no range can part."""
-        starts, base, splits, nulls = self.starts, self.base, self.splits, self.null_splits
+        shared = SparkSession.active().sparkContext.broadcast((self.starts, self.base, self.splits, self.null_splits))
 
         @F.pandas_udf("int")
         def find(k: pd.Series, t: pd.Series) -> pd.Series:
+            starts, base, splits, nulls = shared.value
             missing = k.isna().to_numpy()
             at = np.searchsorted(starts, k.fillna(0).astype("int64").to_numpy(), side="right") - 1
             at = np.clip(at, 0, max(len(starts) - 1, 0))
@@ -100,39 +111,48 @@ class KeyRanges:
         return find(key.cast("long"), tie.cast("long"))
 
 
-def key_ranges(df: DataFrame, key: str, weight: Column, target: float, buckets: int = 4096) -> KeyRanges:
+#: Bits of a key that a level of histograms tells apart; buckets that a level may send to the driver.
+RADIX, MOST_BUCKETS = 12, 1 << 20
+_SIGN = -(2**63)
+
+
+def key_ranges(scratch: Scratch, df: DataFrame, key: str, weight: Column, target: float) -> KeyRanges:
     """Cuts the values of `key` into ranges of about `target` weight each, by exact histograms, so reruns give the same cuts.
 
-    A bucket heavier than `target` is cut again until it is light or holds a single value; such a value gets several shards.
-    """
-    k, w = F.col(key).cast("long"), F.coalesce(weight, F.lit(0)).cast("double")
-    rows = df.select(k.alias("k"), w.alias("w"))
-    lo, hi, nulls = rows.agg(F.min("k"), F.max("k"), F.sum(F.when(F.col("k").isNull(), F.col("w")))).first()
+    Buckets are prefixes of the key's bits. Those heavier than `target` (fewer than there will be shards) are cut again, all
+    of them by one job, until they are light or hold a single value; such a value gets several shards. So a job is run for
+    each level, 6 at most, whatever the data, over a table that holds keys and weights alone."""
+    spark = df.sparkSession
+    rows = df.select(F.col(key).cast("long").bitwiseXOR(F.lit(_SIGN)).alias("u"), F.coalesce(weight, F.lit(0)).cast("double").alias("w"))
+    rows = scratch.save(rows, "weights")  # u: as an unsigned number, in the order of the keys
+    bound = F.col("u").bitwiseXOR(F.lit(_SIGN))
+    lo, hi, nulls = rows.agg(F.min(bound), F.max(bound), F.sum(F.when(F.col("u").isNull(), F.col("w")))).first()
     null_splits = int((nulls or 0) // target) + 1 if nulls is not None else 0
     leaves: list[tuple[int, float, bool]] = []
-
-    def cut(a: int, b: int) -> None:
-        width = -((a - b - 1) // buckets)  # ceil((b - a + 1) / buckets)
-        # unsigned distance: the difference of two longs may not fit one
-        at = F.floor((F.col("k").cast("decimal(20,0)") - F.lit(a).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
-        if b - a < 2**62:
-            at = F.expr(f"(k - {a}L) div {width}L") if a >= 0 else F.expr(f"(k + {-a}L) div {width}L")
-        for r in sorted(rows.where((F.col("k") >= a) & (F.col("k") <= b)).groupBy(at.alias("b")).agg(F.sum("w").alias("w")).collect()):
-            first = a + r.b * width
-            if r.w > target and width > 1:
-                cut(first, min(b, first + width - 1))
-            else:
-                leaves.append((first, r.w, width == 1 and r.w > target))
-
     if lo is not None:
-        cut(lo, hi)
+        shift, heavy = max(1, ((lo ^ _SIGN) ^ (hi ^ _SIGN)).bit_length()), [((lo ^ _SIGN) % 2**64) >> max(1, ((lo ^ _SIGN) ^ (hi ^ _SIGN)).bit_length())]
+        while heavy:
+            step = min(shift, RADIX, max(1, (MOST_BUCKETS // len(heavy)).bit_length() - 1))
+            cut = rows.where("u is not null")
+            if shift < 64:
+                prefixes = spark.createDataFrame([(p,) for p in heavy], "p long")
+                cut = cut.withColumn("p", F.shiftrightunsigned("u", shift)).join(F.broadcast(prefixes), "p", "left_semi")  # fewer than shards
+            found = cut.groupBy((F.shiftrightunsigned("u", shift - step) if shift > step else F.col("u")).alias("p")).agg(F.sum("w").alias("w")).collect()
+            shift, heavy = shift - step, []
+            for r in found:
+                p = r.p % 2**64
+                if r.w > target and shift:
+                    heavy.append(p)
+                else:
+                    leaves.append((p << shift, r.w, shift == 0 and r.w > target))
+    scratch.drop("weights")
     starts, base, splits, shard, load = [], [], [], null_splits, 0.0
-    for first, heavy, single in leaves:
-        if starts and not single and load + heavy <= target:
-            load += heavy
+    for first, w, single in sorted(leaves):
+        if starts and not single and load + w <= target:
+            load += w
             continue
-        n = int(heavy // target) + 1 if single else 1
-        starts.append(first), base.append(shard), splits.append(n)
-        shard, load = shard + n, target if single else heavy
+        n = int(w // target) + 1 if single else 1
+        starts.append(first + _SIGN), base.append(shard), splits.append(n)
+        shard, load = shard + n, target if single else w
     as_long = lambda x: np.array(x, dtype="int64")
     return KeyRanges(as_long(starts), as_long(base), as_long(splits), null_splits, max(shard, 1))

@@ -74,8 +74,8 @@ _WARC = """
     WITH p AS (SELECT page_id, url, coalesce(strlen(html), 0) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
     f AS (SELECT payload_digest, min(page_id) AS holder FROM p WHERE payload_bytes >= 100 GROUP BY 1)
     SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-        CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-        CASE WHEN holder <> page_id THEN holder END AS refers_to, url
+        CASE WHEN holder IS DISTINCT FROM page_id AND holder IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN holder IS DISTINCT FROM page_id THEN holder END AS refers_to, url
     FROM p LEFT JOIN f USING (payload_digest)"""
 
 _TOPK = """

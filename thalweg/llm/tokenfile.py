@@ -6,8 +6,10 @@ control bytes up in a table of lengths, sums them to offsets and gathers the dat
 
 A file is a row of blocks: magic, counts of documents, ids, control and data bytes (4 x uint64), document ids (int64), a
 byte each that is 1 where the id is null, ids for each document (uint64), control bytes, data bytes. Files hold documents
-in ascending doc_id order, null first; rows of equal doc_id stand in the order of their crc32. `ranks` holds the ids by
-rank (uint32). Cases: null and empty texts hold the end id alone; an empty table gives no file and no rows.
+in ascending doc_id order, null first; rows of equal doc_id stand in the order of their crc32 within a file. `ranks` holds
+the ids by rank (uint32). A file is a task, cut by doc_id; a single doc_id (or null) with more ids than a file holds is dealt
+over several. Cases: null and empty texts hold the end id alone; an empty table gives no file and no rows; rows that repeat
+are documents of their own; other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, file_system, key_ranges
-from .shards import ShardFile, commit
+from .shards import ShardFile, commit, with_starts
 from .tokens import Encoder
 
 MAGIC = b"TWIDS\x00\x00\x01"
 IDS_PER_FILE, IDS_PER_BLOCK = 4_000_000, 500_000
+#: Rows that a worker takes from a batch together.
+SLICE = 500
 _CODE = np.arange(256)
 #: Lengths of the four ids of a control byte.
 LENGTHS = np.stack([((_CODE >> s) & 3) + 1 for s in (0, 2, 4, 6)], 1).astype("int64")
@@ -97,13 +101,13 @@ def frequencies(tokens: DataFrame, dtype: str) -> list[int]:
     return [r.id for r in sorted(counted.collect(), key=lambda r: (-r["count"], r.id))]
 
 
-def write(spark: SparkSession, tokens: DataFrame, root: str, dtype: str, ids_per_file: int = IDS_PER_FILE) -> list[dict]:
-    """tokens: as from tokenise(). Writes the files under root and returns the manifest."""
+def write(spark: SparkSession, tokens: DataFrame, root: str, dtype: str, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
+    """tokens: a table as from tokenise(). Writes the files under root and returns the manifest: name, shard, docs, ids, bytes."""
     by_rank = frequencies(tokens, dtype)
     rank = np.zeros(max(by_rank, default=0) + 1, "uint32")
     rank[by_rank] = np.arange(len(by_rank))
     ranks = spark.sparkContext.broadcast(rank)  # bounded by the vocabulary
-    ranges = key_ranges(tokens, "doc_id", F.col("n"), ids_per_file)
+    ranges = key_ranges(Scratch(spark, "tokenfile"), tokens, "doc_id", F.col("n"), ids_per_file)
 
     def block(rows: list[tuple]) -> bytes:
         ids = ranks.value[np.frombuffer(b"".join(r[2] for r in rows), dtype)]
@@ -114,42 +118,34 @@ def write(spark: SparkSession, tokens: DataFrame, root: str, dtype: str, ids_per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: ShardFile | None = None
-        shard, held, docs, ids, waiting = -1, [], 0, 0, 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if out:
-                out.write(block(held)) if held else None
-                out.close()
-                yield pa.RecordBatch.from_pylist([{"temporary": out.temporary, "name": out.name, "docs": docs, "ids": ids, "bytes": out.size}], schema)
-
-        for b in batches:
-            for s, k, n, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n", "ids")), strict=True):
-                if s != shard:
-                    yield from done()
-                    out, shard, held, docs, ids, waiting = ShardFile(root, f"ids-{s:08d}.bin"), s, [], 0, 0, 0
+        held, shard, docs, ids, waiting = [], 0, 0, 0, 0
+        for b in (b.slice(s, SLICE) for b in batches for s in range(0, b.num_rows, SLICE)):
+            for shard, k, n, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n", "ids")), strict=True):
+                out = out or ShardFile(root, f"ids-{shard:08d}.bin")
                 held.append((k, n, raw))
                 docs, ids, waiting = docs + 1, ids + n, waiting + n
                 if waiting >= IDS_PER_BLOCK:
                     out.write(block(held))
                     held, waiting = [], 0
-        yield from done()
-
-    schema = pa.schema([("temporary", pa.string()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
-    dealt = tokens.withColumn("shard", ranges.shard(F.col("doc_id"), F.xxhash64("crc"))).repartitionByRange(ranges.shards, "shard")
-    dealt = dealt.sortWithinPartitions("shard", "doc_id", "crc").select("shard", "doc_id", "n", "ids")
-    rows = commit(root, dealt.mapInArrow(run, "temporary string, name string, docs long, ids long, bytes long"))
+        if out:
+            out.write(block(held)) if held else None
+            out.close()
+            yield pa.RecordBatch.from_pylist([{"temporary": out.temporary, "name": out.name, "shard": shard, "docs": docs, "ids": ids, "bytes": out.size}], schema)
+
+    schema = pa.schema([("temporary", pa.string()), ("name", pa.string()), ("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
+    # rows that are equal in all go to different shards by their place in the table
+    tie = F.xxhash64("crc", "_metadata.file_name", "_metadata.row_index")
+    dealt = tokens.withColumn("shard", ranges.shard(F.col("doc_id"), tie)).repartitionById(ranges.shards, "shard")
+    dealt = dealt.sortWithinPartitions("doc_id", "crc").select("shard", "doc_id", "n", "ids")
+    rows = commit(root, dealt.mapInArrow(run, "temporary string, name string, shard int, docs long, ids long, bytes long"))
     fs, base = file_system(root)
     with fs.open_output_stream(f"{base}/ranks.bin", compression=None) as out:
         out.write(np.array(by_rank, "<u4").tobytes())
     return rows
 
 
-def read(spark: SparkSession, root: str, rows: list[dict], id_kind: str = "bigint") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids of every document in the files."""
-    base, files = 0, []
-    for r in rows:
-        files.append((r["name"], base))
-        base += r["ids"]
+def read(spark: SparkSession, root: str, listed: DataFrame, id_kind: str = "bigint") -> DataFrame:
+    """listed: the manifest. doc_id, start, n_tokens, ids_crc32, ids of every document in the files, a task for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = file_system(root)
@@ -173,8 +169,9 @@ def read(spark: SparkSession, root: str, rows: list[dict], id_kind: str = "bigin
                         )
                         start += n
 
-    listed = spark.createDataFrame(files, "name string, start long").repartition(max(1, len(files)))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary").withColumn("doc_id", F.col("doc_id").cast(id_kind))
+    tasks = max(1, listed.count())
+    files = with_starts(listed, "shard", "ids").select("name", "start").repartition(tasks)
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary").withColumn("doc_id", F.col("doc_id").cast(id_kind))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str, kind: str = "word", end: int = 1) -> DataFrame:
