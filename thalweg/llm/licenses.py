@@ -1,11 +1,13 @@
 """Licence scans by canonical digest lookup, with DataFrame functions only.
 
-A text is put into canonical form (lower case, copyright lines gone, punctuation and white space to one blank, equivalent
-spellings made one), and its SHA-256 is joined with the digests of known licences, made by the same function. So a text
-matches if the whole of it is a known licence, up to those differences.
+A text is put into canonical form: lower case; lines that state a copyright gone (a year, a sign or a place holder after the
+word; "copyright notice" in the middle of a sentence stays); punctuation and white space to one blank; equivalent spellings
+made one, of one word or two; a leading title such as "The MIT License (MIT)" gone. Its SHA-256 is joined with the digests
+of known licences. So a text matches if the whole of it is a known licence, up to those differences. Short licences are held
+as texts, long ones as the digests of their canonical forms; more can be given as a table (`known_texts` reads a folder).
 
 Cases: a null or blank text has the canonical form '' and no licence; rows that repeat are looked up each; two known
-texts with one digest give the smaller name.
+texts with one digest give the smaller name; other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ from pyspark.sql import functions as F
 SPELLINGS = {
     "acknowledgment": "acknowledgement", "analog": "analogue", "analyze": "analyse", "artifact": "artefact", "authorization": "authorisation",
     "authorized": "authorised", "caliber": "calibre", "canceled": "cancelled", "capitalizations": "capitalisations", "catalog": "catalogue",
-    "categorize": "categorise", "center": "centre", "copyrightowner": "copyrightholder", "emphasized": "emphasised", "favor": "favour",
+    "categorize": "categorise", "center": "centre", "emphasized": "emphasised", "favor": "favour",
     "favorite": "favourite", "fulfill": "fulfil", "fulfillment": "fulfilment", "initialize": "initialise", "judgement": "judgment",
     "labeling": "labelling", "labor": "labour", "license": "licence", "licensed": "licenced", "licenses": "licences", "maximize": "maximise",
-    "modeled": "modelled", "modeling": "modelling", "noncommercial": "non-commercial", "offense": "offence", "optimize": "optimise",
+    "modeled": "modelled", "modeling": "modelling", "offense": "offence", "optimize": "optimise",
     "organization": "organisation", "organize": "organise", "practice": "practise", "program": "programme", "realize": "realise",
     "recognize": "recognise", "signaling": "signalling", "utilization": "utilisation", "while": "whilst", "wilfull": "wilful",
 }
 
+# The same for pairs of words, as (pattern, replacement), after single words.
+PAIRS = ((r"\bcopyright owner", "copyright holder"), (r"\bnon commercial", "noncommercial"), (r"\bsub licen", "sublicen"), (r"\bper cent\b", "percent"), (r"\bhttps www ", "http www "))
+
 # Texts of known licences, without their copyright lines.
 _MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 _MIT_DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -33,6 +38,7 @@ _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its c
 _BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
 KNOWN = {
     "0BSD": f"{_ISC_GRANT}.\n{_ISC_DISCLAIMER}",
     "BSD-2-Clause": f"{_BSD_HEAD}{_BSD_DISCLAIMER}",
@@ -40,14 +46,45 @@ KNOWN = {
     "ISC": f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_DISCLAIMER}",
     "MIT": f"{_MIT_GRANT}, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n{_MIT_DISCLAIMER}",
     "MIT-0": f"{_MIT_GRANT}.\n{_MIT_DISCLAIMER}",
+    "Zlib": _ZLIB,
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "MIT notice": "Released under the MIT License.",
 }
 
-#: Both engines read these alike: lines of copyright, then what is neither letter nor digit.
-COPYRIGHT = r"(?m)^[^\n]{0,8}(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# SHA-256 of the canonical forms of longer licences, as published with common distributions.
+DIGESTS = {
+    "Apache-2.0": "8f19db2e254d576357305e1329daf17946f0692c2b87362ae612e0a3519317a4",
+    "Apache-2.0 (terms only)": "facc6727e958fd1e43825c8c16e092a674b849277d600b6f9e66c2536ed01aad",
+    "Apache-2.0 (terms)": "7c252a86b1a406e952bc42418298ce85667c18014fa47f3d00d4b4e3b4885e12",
+    "Artistic-1.0-Perl": "c784e0da5405a00ec2f4d4e49af5461b756a0e0466993da83ea3d23f64a70c98",
+    "CC0-1.0": "400db3ed80e146737970d3ff856f201f0206119c2851164504a236a6893f845a",
+    "GFDL-1.2": "f2510dc104df18efc51f0d468abfad8298fd1c83cd86f9733e000407fd9223d8",
+    "GFDL-1.3": "64189a54fa8de80345ed79ab76d79fff3a4dc19ee9ebd1e62890067a97df9a3c",
+    "GPL-1.0": "523e52a4ffad19e71f27a740835920ebdb9eb526538e1a84b7d36980aa12924e",
+    "GPL-1.0 (terms only)": "0cb4cb7c9f55e390d2f6dcf477e8182344c5aad6aa8f271afbb53a411e2b03c3",
+    "GPL-1.0 (terms)": "eb22210e2fd0b3fd4a4a6f050bf4233b2d7eb018828f2791b7964581b69c2836",
+    "GPL-2.0": "3a272e263c7bded78aa749cbf0f7b165e0e5bf568c9ef947978d2aeeb4b31d38",
+    "GPL-2.0 (terms only)": "0834184975230e2239a701a0c74763244150997dc178e6899222fb7ce43e7526",
+    "GPL-2.0 (terms)": "39d39b7a7929feaf6e308ade83346e15278441a4fe1ab14070402ad62f38d236",
+    "GPL-3.0": "ede6dd233bf91b757e59c6e918946b55b3ca5fc5f6aed8ff8d6bebf4d7d630eb",
+    "GPL-3.0 (terms only)": "e90d5ed1fcc1c7e435617f04800690cb09547056dbe385930334c314851a9d17",
+    "GPL-3.0 (terms)": "51e2c326a7dd23c5ac8b29b807fba92125ef4cc360b5b6c821737b396ebef265",
+    "LGPL-2.0": "d88a727cef93d3ea2c06cddc81ae2dfeb5cd843698112a51defdb65ccca733d1",
+    "LGPL-2.0 (terms only)": "3c28269c5178aa1ddf68568b076b72dda9fcc87dcc3f01a9d59c7c092a5638e5",
+    "LGPL-2.0 (terms)": "1b8af205096c58457fb1818927b3a8f799152e56a174b679685ba40e44bc9065",
+    "LGPL-2.1": "f5e3c5dabf8daca3bd03c5dae46e69f04969113f31046a826a4643d734d30d62",
+    "LGPL-2.1 (terms only)": "355d4d6eeeb7930211ba7bb84b7ca283ff2994d1bc5e96963c6c0180984d86af",
+    "LGPL-2.1 (terms)": "a59d02adbbf3ab570877b2691082050b29b58419f8a666f2fe56764e6553a87a",
+    "LGPL-3.0": "7d6e51c6bb80fc7a025c16e64157adf9c280c58dee4c4b2bf73e596166a2a08f",
+    "MPL-1.1": "9bc9a8175b1fda6c365b3ff26e8e2c20df763a75979b06e058564b4db5c7d650",
+    "MPL-2.0": "b97f4eb65eb1ad025282b7788ebd11c0e7d0df61e1e5a1721a50e629794625f8",
+}
+
+#: Both engines read these alike: lines that state a copyright, what is neither letter nor digit, and titles.
+COPYRIGHT = r"(?m)^[^a-z\n]{0,8}(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|:|by\b|[0-9]{4}|[<\[{])|copyright[^\n]{1,80}[^0-9\n](?:19|20)[0-9]{2}\b|all rights reserved\.?[ \t\r]*$)[^\n]*$"
 OTHER = r"[^a-z0-9\x{00c0}-\x{024f}\x{0370}-\x{fffd}]+"
+TITLE = r"^(?:the )?(?:mit|isc|expat|zlib|0bsd|mit 0|(?:(?:new|simplified|modified|revised|zero clause) )?bsd(?: [0-4] clause)?|[0-4] clause bsd)(?: (?:new|simplified|original|revised|modified|no attribution))? licence(?: (?:mit|isc|bsd|zlib))? "
 
 
 def canonical(text: Column) -> Column:
@@ -55,16 +92,31 @@ def canonical(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, ""), OTHER, " ")
     same = F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv])
     words = F.transform(F.split(F.trim(plain), " "), lambda w: F.coalesce(F.try_element_at(same, w), w))
-    return F.array_join(words, " ")
-
-
-def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, digest (of the canonical form), licence (null: none is known)."""
-    known = spark.createDataFrame(sorted(KNOWN.items()), "licence string, body string")
-    known = known.groupBy(F.sha2(canonical(F.col("body")), 256).alias("known")).agg(F.min("licence").alias("licence"))
+    out = F.array_join(words, " ")
+    for pattern, one in PAIRS:
+        out = F.regexp_replace(out, pattern, one)
+    return F.regexp_replace(out, TITLE, "")
+
+
+def known_texts(spark: SparkSession, path: str) -> DataFrame:
+    """licence (the file's name without its ending), body: a row for each file of a folder of licence texts."""
+    files = spark.read.text(path, wholetext=True)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.(?:txt|md))?$", 1)
+    return files.select(name.alias("licence"), F.col("value").alias("body"))
+
+
+def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """docs: doc_id, text; known: licence, body of more licences. Returns doc_id, digest (of the canonical form), licence
+    (null: none is known)."""
+    own = spark.createDataFrame(sorted(KNOWN.items()), "licence string, body string").select("licence", F.sha2(canonical(F.col("body")), 256).alias("known"))
+    own = own.union(spark.createDataFrame(sorted(DIGESTS.items()), "licence string, known string"))
+    if known is not None:
+        own = own.union(known.select("licence", F.sha2(canonical(F.col("body")), 256)))
+    own = own.groupBy("known").agg(F.min("licence").alias("licence"))
     digests = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    # the licences are literals of this module, so they can be broadcast
-    return digests.join(F.broadcast(known), F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "licence")
+    # the licences of this module are literals, so they can be broadcast; a table that is given has any size
+    own = F.broadcast(own) if known is None else own
+    return digests.join(own, F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "licence")
 
 
 def _quoted(text: str) -> str:
@@ -75,12 +127,17 @@ def canonical_sql(text: str) -> str:
     """canonical() for DuckDB."""
     keys, values = ", ".join(map(_quoted, SPELLINGS)), ", ".join(map(_quoted, SPELLINGS.values()))
     plain = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT)}, '', 'g'), {_quoted(OTHER)}, ' ', 'g')"
-    return f"array_to_string(list_transform(string_split(trim({plain}), ' '), lambda w: coalesce(map([{keys}], [{values}])[w], w)), ' ')"
+    out = f"array_to_string(list_transform(string_split(trim({plain}), ' '), lambda w: coalesce(map([{keys}], [{values}])[w], w)), ' ')"
+    for pattern, one in PAIRS:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(one)}, 'g')"
+    return f"regexp_replace({out}, {_quoted(TITLE)}, '')"
 
 
 def scan_sql() -> str:
     rows = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(KNOWN.items()))
+    more = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(DIGESTS.items()))
     return f"""
-        WITH known AS (SELECT sha256({canonical_sql("body")}) AS known, min(licence) AS licence FROM (VALUES {rows}) t(licence, body) GROUP BY 1),
+        WITH every AS (SELECT sha256({canonical_sql("body")}) AS known, licence FROM (VALUES {rows}) t(licence, body) UNION ALL SELECT known, licence FROM (VALUES {more}) t(licence, known)),
+        known AS (SELECT known, min(licence) AS licence FROM every GROUP BY 1),
         found AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest FROM documents)
         SELECT doc_id, digest, licence FROM found LEFT JOIN known ON digest = known"""
