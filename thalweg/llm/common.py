@@ -76,6 +76,24 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Small tables are broadcast up to so many bytes, by their count and width; beyond, they come in COPIES.
+BROADCAST, COPIES = 8 << 20, 16
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: list[str], width: int, deal: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key, of about `width` bytes; a key may hold a third of left. Where
+    right is too large to broadcast, it comes in copies, over which left is dealt by a hash of its columns `deal`."""
+    if right.count() * width <= BROADCAST:
+        return left.join(F.broadcast(right), key, how)
+    copies = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return left.withColumn("__copy", F.pmod(F.xxhash64(*deal), F.lit(COPIES)).cast("int")).join(copies, [*key, "__copy"], how).drop("__copy")
+
+
+def numbered(scratch: Scratch, docs: DataFrame, name: str) -> DataFrame:
+    """docs as a table, with a number of its own for each row, so that rows of equal ids are told apart."""
+    return scratch.save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

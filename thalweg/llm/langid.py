@@ -7,6 +7,10 @@ context that was never seen costs nothing; below order 0 every byte costs 8 bits
 sum over its bytes. As the statistics are frozen, that cost is a function of the last `order` bytes and s, so it is kept
 in tables by n-gram, a column for each language, and looked up with numpy.
 
+The sample of a language is its texts of smallest hash (of doc_id and text), each distinct text once, whole, within SAMPLE_DOCS
+and SAMPLE_BYTES; texts of over an eighth of those bytes come last, and one text is kept in any case. The languages are a
+set of labels that fits the driver, as their statistics do.
+
 Cases: a null text, one without letters, or a model without languages gives `und` with score 0; ties go to the first
 language in code point order; texts of any length are scored whole, in slices that carry their context.
 """
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The sample that the statistics are learned from, for each language: so many documents and bytes at most.
@@ -154,25 +159,27 @@ def _codes(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> PPM:
-    """Learns from text and lang of the rows that aren't held out. The sample is the documents of smallest hash of each
-    language, whole texts, within both bounds; it is all that comes to the driver."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    draw = F.abs(F.xxhash64("doc_id")) / F.lit(float(2**63))
-    # four times the expected share is drawn, then cut to the bound
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
+    """The texts to learn from, by language, of the rows that aren't held out. It is all that comes to the driver."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
-        return PPM({}, order)
+        return {}
+    # twice the share that is wanted is drawn by the hash, so that few rows are ranked
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * sample_docs / n))])
-    drawn = known.where(draw < F.element_at(rate, F.col("lang"))).where(F.octet_length("text") <= sample_bytes // 8)
-    sample: dict[str, list[bytes]] = {k: [] for k in counts}
-    size = dict.fromkeys(counts, 0)
-    for lang, text in sorted(((r.lang, r.text) for r in drawn.select("lang", "text", draw.alias("d")).orderBy("lang", "d").limit(2 * 2 * sample_docs * len(counts)).toLocalIterator()), key=lambda r: r[0]):
-        raw = text.encode()
-        if len(sample[lang]) < sample_docs and size[lang] + len(raw) <= sample_bytes:
-            sample[lang].append(raw)
-            size[lang] += len(raw)
-    return PPM({k: v for k, v in sample.items() if v}, order)
+    size = F.octet_length("text").cast("long")
+    drawn = known.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.element_at(rate, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = W.partitionBy("lang").orderBy(size > sample_bytes // 8, "h")  # twice sample_docs rows or so
+    ranked = drawn.withColumn("place", F.row_number().over(order)).withColumn("sofar", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    out: dict[str, list[bytes]] = {}
+    for r in ranked.where(((F.col("place") <= sample_docs) & (F.col("sofar") <= sample_bytes)) | (F.col("place") == 1)).orderBy("lang", "place").select("lang", "text").toLocalIterator():
+        out.setdefault(r.lang, []).append(r.text.encode("utf-8", "surrogatepass"))
+    return out
+
+
+def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> PPM:
+    """Learns from text and lang of the rows that aren't held out."""
+    return PPM(sample(docs, sample_docs, sample_bytes), order)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: PPM) -> DataFrame:
@@ -201,22 +208,43 @@ def identify(spark: SparkSession, docs: DataFrame, model: PPM) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-#: A text that no language codes in fewer bits than this for each byte isn't prose of any of them.
-MOST_BITS = 8.0
+#: Bits a byte above the median of a language from which a text isn't prose of it: the least such margin, so many median
+#: deviations, and an allowance for short texts, over the square root of their bytes.
+MARGIN, DEVIATIONS, SHORT = 0.8, 12.0, 8.0
+
 
+def limits(model: PPM, held: dict[str, list[bytes]], margin: float = MARGIN) -> np.ndarray:
+    """For each language of a model the bits a byte that prose of it takes at most, from texts that the model has not seen:
+    their median and the margin. A language without such texts takes no more than 8 bits."""
+    out = np.full(len(model.languages), 8.0)
+    for i, name in enumerate(model.languages):
+        texts = [t for t in held.get(name, []) if t]
+        if texts:
+            rate = model.bits(texts)[:, i] / np.array([len(t) for t in texts])
+            middle = np.median(rate)
+            out[i] = middle + max(margin, DEVIATIONS * float(np.median(np.abs(rate - middle))))
+    return out
 
-def accepted(spark: SparkSession, docs: DataFrame, model: PPM, most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language: letters, and a code length below most_bits a byte."""
-    shared = spark.sparkContext.broadcast(model)
+
+def accepted(spark: SparkSession, docs: DataFrame, labelled: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language: letters, and a code length that fits the language of the
+    least one. labelled: doc_id, text, lang; four in five texts of its sample make the statistics, one in five the limits.
+    Without any labels every text with letters is accepted."""
+    drawn = sample(labelled)
+    held = {k: v[4::5] for k, v in drawn.items()}
+    model = PPM({k: [t for i, t in enumerate(v) if i % 5 != 4] for k, v in drawn.items()})
+    shared = spark.sparkContext.broadcast((model, limits(model, held, margin)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm: PPM = shared.value
+        ppm, most = shared.value
         for b in batches:
             texts = b.column("text").to_pylist()
             raw = [t.encode("utf-8", "surrogatepass") if t is not None and any(map(str.isalpha, t)) else b"" for t in texts]
             keep = np.array([bool(t) for t in raw], bool)
             if len(texts) and ppm.languages:
-                keep &= ppm.bits(raw).min(1) < most_bits * np.maximum(1, [len(t) for t in raw])
-            yield b.filter(pa.array(keep if ppm.languages else np.zeros(len(texts), bool)))
+                bits, size = ppm.bits(raw), np.maximum(1, [len(t) for t in raw])
+                pick = bits.argmin(1)
+                keep &= bits[np.arange(len(raw)), pick] <= most[pick] * size + SHORT * np.sqrt(size)
+            yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

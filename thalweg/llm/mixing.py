@@ -7,7 +7,8 @@ document, and each step is a fair game, so every document keeps its expected num
 reduction tree: each (source, bucket) of documents leaves at most one open row, then FAN of those meet, and so on.
 
 Cases: a null text has 0 words and is taken 0 times; an empty table gives an empty result; a source without words gets
-target 0; rows that repeat are rows of their own; reruns agree, as buckets, order and draws depend on values only.
+target 0; rows that repeat are rows of their own, told apart by a number among equals, so that they are spread over leaves;
+reruns agree, as buckets, order and draws depend on values only; other columns are left out.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, words_of
+from .common import Scratch, numbered, words_of
 
 #: Rows that meet in one leaf, open rows that meet in one inner node of the tree.
 LEAF_ROWS, FAN = 1_000, 4_096
+#: Equal rows that one task writes out.
+EQUALS = 10_000
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -75,7 +78,7 @@ def _meet(size: np.ndarray, part: np.ndarray, draws: np.ndarray) -> tuple[np.nda
 
 def _round_group(seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["order", "doc_id", "size", "row"], kind="stable", na_position="last").reset_index(drop=True)
         rng = np.random.Generator(np.random.PCG64([seed, int(pdf["node_seed"].iloc[0]) & (2**63 - 1)]))
         done, open_at = _meet(pdf["size"].to_numpy(), pdf["part"].to_numpy(), rng.random(len(pdf)))
         if last and open_at >= 0:
@@ -87,11 +90,22 @@ def _round_group(seed: int, last: bool):
     return run
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs: doc_id, text, source. Returns doc_id, source, size, source_size, target, copies, taken for every row."""
+def _numbered_equals(sized: DataFrame) -> DataFrame:
+    """Adds row: a number among rows that agree in all columns."""
+    groups = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("n"))
+    few = groups.where(F.col("n") <= EQUALS).withColumn("first", F.lit(0).cast("long"))
+    many = groups.where(F.col("n") > EQUALS).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(EQUALS).cast("long")))).repartition("first")
+    each = F.explode(F.sequence("first", F.least(F.col("first") + EQUALS, F.col("n")) - 1))
+    return few.unionByName(many).withColumn("row", each).select(*sized.columns, "row")
+
+
+def mix(spark: SparkSession, docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, row: str | None = None) -> DataFrame:
+    """docs: doc_id, text, source. Returns doc_id, source, size, source_size, target, copies, taken for every row; and `row`,
+    if it names a column of longs that tells rows apart."""
     scratch = Scratch(spark, "mix")
-    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"))
-    sized = scratch.save(sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size")), "sized")
+    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), *([F.col(row).alias("row")] if row else []))
+    sized = sized if row else _numbered_equals(sized)
+    sized = scratch.save(sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "row")), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     leaves = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("rows") / LEAF_ROWS)))).cast("long")
     targets = source_targets(sizes, weights, share, most).alias("t").join(sizes.select(F.col("source").alias("s"), leaves.alias("leaves")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -105,7 +119,7 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 11, weights: tuple[int
         .withColumn("part", F.col("rate") - F.col("whole"))
         .withColumn("bucket", F.pmod(F.xxhash64("order"), F.col("leaves")))
         .withColumn("open", F.col("part") > 0)
-        .select("doc_id", "source", "size", "source_size", "target", "whole", "part", "order", "bucket", "leaves", "open")
+        .select("doc_id", "source", "size", "source_size", "target", "whole", "part", "order", "row", "bucket", "leaves", "open")
     )
     most_leaves = targets.agg(F.max("leaves")).first()[0] or 1
     level, done = 0, []
@@ -126,11 +140,16 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 11, weights: tuple[int
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("whole") + F.round("part").cast("long")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. doc_id must be unique in docs, or rows with equal ids alike."""
-    n = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__mix_n"))
-    kept = docs.join(n, F.col("doc_id").eqNullSafe(F.col("__mix_id"))).withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int"))))
+    columns = ["doc_id", "source", "size", "source_size", "target", copies, *([F.col("row").alias(row)] if row else [])]
+    out = scratch.save(out.select(*columns).withColumn("taken", F.col("copies") * F.col("size")), "out")
+    scratch.keep("out")
+    return out
+
+
+def materialise(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it; rows with equal ids are told apart."""
+    scratch, row = Scratch(spark, "mix"), "__mix_row"
+    rows = numbered(scratch, docs, row)
+    n = mix(spark, rows, row=row, **options).where("copies > 0").select(F.col(row).alias("__mix_at"), F.col("copies").cast("int").alias("__mix_n"))
+    kept = rows.join(n, F.col(row) == F.col("__mix_at")).withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
     return kept.select(*docs.columns)
