@@ -10,10 +10,13 @@ run of whole lines of WORDS words or more that occurs earlier goes from end to e
 occurrence of a line never goes: no unit around it repeats an earlier one.
 
 Chunks: a rolling hash over the hashes of the last WINDOW lines says where a chunk ends, so an inserted or deleted line
-moves only the boundaries beside it. Chunks of two or more lines are the units of dedup_lines, and those that repeat go.
+moves only the boundaries beside it. Where it says so nowhere in MOST_LINES lines, the chunk ends after the line of largest
+hash among them, which is content-defined too. Chunks of two or more lines are the units of dedup_lines, and those that
+repeat go. A digest that more than SHARE units have is dealt over as many tasks as it takes, its first unit in copies.
 
-Cases: null texts stay null; single lines of fewer words are never removed by themselves; rows equal in doc_id and text count as one document; a null
-doc_id sorts first; a document may lose its whole text and then has ''; a column lines_removed of the input is replaced.
+Cases: null texts stay null; single lines of fewer words are never removed by themselves; rows equal in doc_id and text count
+as one document; a null doc_id sorts first; a document may lose its whole text and then has ''; a column lines_removed of
+the input is replaced; an empty table gives an empty result; different units of one digest are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, looked_up
 
 WINDOW, DIVISOR, MOST_LINES = 2, 3, 64
-#: Rows that a worker takes apart together.
-SLICE = 500
+#: Rows that a worker takes apart together; units of one digest that a task takes.
+SLICE, SHARE = 500, 4096
 #: A repeated passage of so many words goes, whatever its lines.
 WORDS = 50
 #: Names of columns that this operator adds for a while, beside any that documents may have.
@@ -42,13 +45,16 @@ def chunk_lines(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR
     """The chunks as ranges of lines. A chunk ends after a line where the hash of the last `window` lines says so."""
     drop = pow(_BASE, window, 1 << 64)
     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    roll, begin, out = 0, 0, []
+    mixed, roll = [], 0
     for i, h in enumerate(hashes):
         roll = (roll * _BASE + h - (hashes[i - window] * drop if i >= window else 0)) & _MASK
-        mixed = (roll ^ (roll >> 29)) * 0x9E3779B97F4A7C15 & _MASK
-        if (mixed >> 32) % divisor == 0 or i + 1 - begin >= most or i == len(hashes) - 1:
-            out.append((begin, i + 1))
-            begin = i + 1
+        mixed.append(((roll ^ (roll >> 29)) * 0x9E3779B97F4A7C15 & _MASK) >> 32)
+    begin, out = 0, []
+    while begin < len(lines):
+        ahead = mixed[begin : begin + most]
+        end = next((k for k, m in enumerate(ahead) if m % divisor == 0), len(ahead) - 1 if begin + most >= len(lines) else ahead.index(max(ahead)))
+        out.append((begin, begin + end + 1))
+        begin += end + 1
     return out
 
 
@@ -97,7 +103,7 @@ def passages(lines: list[bytes], units: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def unit_table(docs: DataFrame, units: Callable[[list[bytes]], list[tuple[int, int]]]) -> DataFrame:
+def unit_table(docs: DataFrame, units: Callable[[list[bytes]], list[tuple[int, int]]], digest: Callable[[bytes], int] = xxhash.xxh3_128_intdigest) -> DataFrame:
     """docs: doc_id, text, th (a hash of the text). A row for each unit: its lines and digest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -107,7 +113,7 @@ def unit_table(docs: DataFrame, units: Callable[[list[bytes]], list[tuple[int, i
             for row, text in enumerate(b.column("text").to_pylist()):
                 lines = _split(text) if text else []
                 for s, e in units(lines):
-                    d = xxhash.xxh3_128_intdigest(b"\n".join(lines[s:e]))
+                    d = digest(b"\n".join(lines[s:e]))
                     at.append(row), i.append(s), j.append(e), h1.append(_signed(d >> 64)), h2.append(_signed(d & _MASK))
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("th").take(rows), *(pa.array(x, pa.int32()) for x in (i, j)), *(pa.array(x, pa.int64()) for x in (h1, h2))], ["doc_id", "th", "i", "j", "h1", "h2"])
@@ -127,10 +133,10 @@ def _bodies(docs: DataFrame) -> DataFrame:
                 for c in chunks:
                     at.append(row), found.append(c), body.append(b"\n".join(lines[c["i"] : c["j"]]))
             rows = pa.array(at, pa.int64())
-            columns = [pa.array([c[k] for c in found], t) for k, t in (("i", pa.int32()), ("j", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("th").take(rows), *columns, pa.array(body, pa.binary())], ["doc_id", "th", "i", "j", "h1", "h2", "first", "body"])
+            columns = [pa.array([c[k] for c in found], t) for k, t in (("i", pa.int32()), ("j", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("copies", pa.int32()), ("first", pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("th").take(rows), *columns, pa.array(body, pa.binary())], ["doc_id", "th", "i", "j", "h1", "h2", "copies", "first", "body"])
 
-    return docs.select("doc_id", "th", "text", "chunks").mapInArrow(run, f"doc_id {kind}, th long, i int, j int, h1 long, h2 long, first boolean, body binary")
+    return docs.select("doc_id", "th", "text", "chunks").mapInArrow(run, f"doc_id {kind}, th long, i int, j int, h1 long, h2 long, copies int, first boolean, body binary")
 
 
 def _without(docs: DataFrame, whole: bool) -> DataFrame:
@@ -169,21 +175,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return _dedup(spark, docs, chunk_units, False)
 
 
-def _dedup(spark: SparkSession, docs: DataFrame, units: Callable[[list[bytes]], list[tuple[int, int]]], whole: bool) -> DataFrame:
+def _dedup(spark: SparkSession, docs: DataFrame, units: Callable[[list[bytes]], list[tuple[int, int]]], whole: bool, digest: Callable[[bytes], int] = xxhash.xxh3_128_intdigest) -> DataFrame:
     scratch = Scratch(spark, "linededup")
     docs = docs.drop("lines_removed")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    chunks = scratch.save(unit_table(hashed, units), "chunks")
-    place = F.struct("doc_id", "th", "i")
-    repeated = chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keeper")).where("n > 1").drop("n")
-    found = chunks.join(repeated, ["h1", "h2"]).withColumn("first", place.eqNullSafe(F.col("keeper")))
-    lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("i", "j", "h1", "h2", "first")).alias("chunks"))  # of one document
+    chunks = scratch.save(unit_table(hashed, units, digest), "chunks")
+    place, salt = F.struct("doc_id", "th", "i"), F.pmod(F.xxhash64("doc_id", "th", "i"), F.col("copies")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    repeated = chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keeper")).where("n > 1")
+    repeated = scratch.save(repeated.withColumn("copies", F.ceil(F.col("n") / SHARE).cast("int")), "repeated")
+    hot = repeated.where("copies > 1").select("h1", "h2", "copies")  # few, as each has many units
+    dealt = looked_up(chunks, hot, ["h1", "h2"], 32, ["doc_id", "th", "i"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    found = dealt.withColumn("salt", salt).join(repeated.select("h1", "h2", "keeper", every.alias("salt")), ["h1", "h2", "salt"]).withColumn("first", place.eqNullSafe(F.col("keeper")))
+    lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("i", "j", "h1", "h2", "copies", "first")).alias("chunks"))  # of one document
     lists = lists.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "chunks")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
     bodies = scratch.save(_bodies(hashed.where("text is not null").join(lists.hint("merge"), same)), "bodies")  # grows with the data: never broadcast
-    keepers = bodies.where("first").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("body").alias("kept")).dropDuplicates(["k1", "k2"])
-    equal = bodies.where("not first").join(keepers, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("body") == F.col("kept")))
+    keepers = bodies.where("first").dropDuplicates(["h1", "h2"])  # equal rows of one document have a first each
+    keepers = keepers.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("body").alias("kept"), every.alias("k"))
+    rows = bodies.where("not first").withColumn("salt", salt)
+    equal = rows.join(keepers, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("salt") == F.col("k")) & (F.col("body") == F.col("kept")))
     removed = equal.groupBy(F.col("doc_id").alias(OWN[0]), F.col("th").alias(OWN[1])).agg(F.collect_set(F.struct("i", "j")).alias(REMOVED))
-    marked = docs.withColumn(OWN[2], F.xxhash64("text")).join(scratch.save(removed, "removed").hint("merge"), F.col("doc_id").eqNullSafe(F.col(OWN[0])) & (F.col(OWN[2]) == F.col(OWN[1])), "left")
-    scratch.drop("chunks", "bodies")
+    removed = scratch.save(removed, "removed")
+    scratch.keep("removed")
+    marked = docs.withColumn(OWN[2], F.xxhash64("text")).join(removed.hint("merge"), F.col("doc_id").eqNullSafe(F.col(OWN[0])) & (F.col(OWN[2]) == F.col(OWN[1])), "left")
     return _without(marked.drop(*OWN), whole)
