@@ -111,10 +111,95 @@ def test_journey(spark):
     assert got[1][2:4] == (0.0, 21000.0) and got[1][4] == ["X", "Y"] and got[3][2:4] == (29000.0, 38000.0)
     t = journeys.travel(df).first()
     assert t.distance == 39000 and t.seconds > 0 and t.max_elev - t.min_elev == 39 and t.final_area == 239
-    assert journeys.smooth_rivers(["a", "b", "a", None], [1, 1, 1, 0.5], [0, 1, 2, 3]) == ["a", "a", "a", None]
+    few = spark.createDataFrame([(1, i, float(i), a, n) for i, (a, n) in enumerate(zip([1.0, 1.0, 1.0, 0.5], ["a", "b", "a", None]))], "drop_id long, step long, dist double, area double, river string")
+    runs = journeys.absorbed(journeys.river_runs(few), F.col("n") == 1)
+    assert [(r.label, r.first, r.last) for r in runs.orderBy("first").collect()] == [("a", 0, 2), (None, 3, 3)]
     assert journeys.journey(df.limit(0)).count() == 0
 
 
+def fold(runs, small):
+    """Runs (label, first, last, n, from, to) read one by one; a small one between two of one label joins them."""
+    out = []
+    for k, r in enumerate(runs):
+        if 0 < k < len(runs) - 1 and small(r) and out[-1][0] == runs[k + 1][0] or out and out[-1][0] == r[0]:
+            out[-1] = (out[-1][0], out[-1][1], r[2], out[-1][3] + r[3], out[-1][4], r[5])
+        else:
+            out.append(r)
+    return out
+
+
+def tell(rows):
+    """The stages of one path, row by row. rows: dist, area, elev, cls, river, lake, country."""
+    names, held = [], None
+    for i, r in enumerate(rows):
+        held = r["river"] or (held if i and r["area"] >= 0.9 * rows[i - 1]["area"] else None)
+        names.append(held)
+    runs = fold([(n, i, i, 1, rows[i]["dist"], rows[i]["dist"]) for i, n in enumerate(names)], lambda r: False)
+    for small in (lambda r: r[3] == 1, lambda r: r[3] == 1, lambda r: r[5] - r[4] < 25000):
+        runs = fold(runs, small)
+    river = [label for label, a, b, *_ in runs for _ in range(a, b + 1)]
+    wet = [r["cls"] == 2 for r in rows]
+    inside, last, i = [False] * len(rows), None, 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and wet[j] == wet[i]:
+            j += 1
+        if wet[i] and rows[j - 1]["dist"] - rows[i]["dist"] >= 2000:
+            if last is not None and rows[i - 1]["dist"] - rows[last]["dist"] < 40000:
+                same = rows[last]["lake"] and rows[last]["lake"] == rows[i]["lake"]
+                if rows[i]["dist"] - rows[last]["dist"] < 8000 or same:
+                    inside[last:i] = [True] * (i - last)
+            inside[i:j], last = [True] * (j - i), j - 1
+        i = j
+    lake = [r["lake"] for r in rows]
+    for i in range(1, len(rows)):
+        lake[i] = lake[i] or (lake[i - 1] if inside[i] else None)
+    for i in range(len(rows) - 2, -1, -1):
+        lake[i] = lake[i] or (lake[i + 1] if inside[i] else None)
+    sizes = ((0.5, "Overland flow"), (5, "Headwater stream"), (50, "Stream"), (500, "Small river"), (5000, "River"), (50000, "Major river"), (float("inf"), "Great river"))
+    out = [["Rainfall", "rain", None, 0.0, 0.0, 0.0, [rows[0]["country"]]]]
+    for i, r in enumerate(rows):
+        name = lake[i] if inside[i] else river[i]
+        label = name or ("Lake" if inside[i] else next(n for b, n in sizes if r["area"] < b))
+        fall = max(0.0, rows[i - 1]["elev"] - r["elev"]) if i else 0.0
+        if len(out) == 1 or out[-1][0] != label:
+            out.append([label, "lake" if inside[i] else "overland" if r["area"] < 0.5 else "stream" if r["area"] < 50 else "river", name, rows[i - 1]["dist"] if i else 0.0, 0.0, 0.0, []])
+        out[-1][4], out[-1][5], out[-1][6] = r["dist"], out[-1][5] + fall, out[-1][6] + [r["country"]]
+    out.append(["the sea", "sea", None, rows[-1]["dist"], rows[-1]["dist"], 0.0, [rows[-1]["country"]]])
+    told = []
+    for s in out:
+        if told and (told[-1][0] == s[0] or s[4] - s[3] < 1500 and s[1] not in ("sea", "rain") and not s[2]):
+            told[-1][4], told[-1][5] = s[4], told[-1][5] + s[5]
+        else:
+            told.append(s)
+    told = [s for k, s in enumerate(told) if k in (0, len(told) - 1) or s[4] - s[3] > 2500 or s[1] == "lake"]
+    return [(a, b, c, d, e, round(f, 6), list(dict.fromkeys(x for x in g if x))) for a, b, c, d, e, f, g in told]
+
+
+def test_journeys_against_a_walk_along_the_rows(spark):
+    rng, paths = random.Random(4), {}
+    for d in range(25):
+        rows, dist, area, river, country, wet, lake = [], 0.0, rng.choice([0.2, 3.0, 30.0, 300.0]), None, "X", 0, None
+        for _ in range(rng.randint(1, 90)):
+            if rng.random() < 0.3:
+                river = rng.choice(["A", "B", None])
+            if rng.random() < 0.1:
+                country = rng.choice(["X", "Y", None])
+            if rng.random() < 0.2:
+                wet, lake = rng.choice([0, 2]), rng.choice(["L", "M", None])
+            rows.append({"dist": dist, "area": area, "elev": rng.uniform(0, 900), "cls": wet, "river": river, "lake": lake if wet and rng.random() < 0.6 else None, "country": country})
+            dist += rng.choice([300.0, 900.0, 4000.0])
+            area *= rng.choice([1.0, 1.0, 1.2, 0.85])
+        paths[d] = rows
+    schema = "drop_id long, step long, dist double, area double, elev double, cls int, river string, lake string, country string, destination string, destination_kind string"
+    df = spark.createDataFrame([(d, i, r["dist"], r["area"], r["elev"], r["cls"], r["river"], r["lake"], r["country"], "the sea", "sea") for d, rows in paths.items() for i, r in enumerate(rows)], schema)
+    got = {}
+    for r in journeys.journey(df).orderBy("drop_id", "stage").collect():
+        got.setdefault(r.drop_id, []).append((r.label, r.kind, r.name, r.from_m, r.to_m, round(r.fall, 6), r.countries))
+    for d, rows in paths.items():
+        assert got[d] == tell(rows), d
+
+
 @pytest.fixture(scope="module")
 def engine(spark):
     w, rng = 16, random.Random(2)

@@ -74,41 +74,57 @@ def _no_rows() -> Column:
     return F.array().cast("array<double>")
 
 
+def snow_fraction(temp: Column) -> Column:
+    """The share of precipitation that falls as snow."""
+    return clip((3 - temp) / 4, 0, 1)
+
+
+def melt_potential(temp: Column, days: Column | float) -> Column:
+    """What a month of so many days can melt, mm."""
+    return F.greatest(temp, F.lit(0.0)) * MELT_A_DEGREE_DAY * days
+
+
+def shares(season: Column) -> Column:
+    """struct snowmelt, rain, groundwater: where the water of a year comes from, as shares of all."""
+    rest = 1 - season["snow_share"]
+    return F.struct(season["snow_share"].alias("snowmelt"), (rest * (1 - season["baseflow_share"])).alias("rain"), (rest * season["baseflow_share"]).alias("groundwater"))
+
+
 def seasons(df, precip="precip", season_amp="season_amp", season_phase="season_phase", temp="temp", temp_amp="temp_amp", mm="runoff"):
     """df with a struct `season`: monthly precip, temp, snowfall, melt, snowpack, runoff, discharge (mean 1), and snow_share,
     baseflow_share, frozen_months. Snow and the groundwater store run through three years; the last one stays. A null in any
     of the six columns gives a null season."""
     c, given = F.col, [precip, season_amp, season_phase, temp, temp_amp, mm]
     v = {n: F.coalesce(F.col(n), F.lit(0)).cast("double") for n in given}
-    out = df.withColumn("_p", monthly_precip(v[precip], v[season_amp], v[season_phase])).withColumn("_t", monthly_temp(v[temp], v[temp_amp]))
-    out = out.withColumn("_snow", F.transform("_p", lambda p, m: p * clip((3 - F.get(c("_t"), m)) / 4, 0, 1)))
+    out = df.withColumn("__season_p", monthly_precip(v[precip], v[season_amp], v[season_phase])).withColumn("__season_t", monthly_temp(v[temp], v[temp_amp]))
+    out = out.withColumn("__season_snow", F.transform("__season_p", lambda p, m: p * snow_fraction(F.get(c("__season_t"), m))))
     days = F.array(*(F.lit(float(d)) for d in DAYS))
-    out = out.withColumn("_can", F.transform("_t", lambda t, m: F.greatest(t, F.lit(0.0)) * MELT_A_DEGREE_DAY * F.get(days, m)))
+    out = out.withColumn("__season_can", F.transform("__season_t", lambda t, m: melt_potential(t, F.get(days, m))))
 
     def snow_month(state: Column, i: Column) -> Column:
         m = i % 12
-        held = state["pack"] + F.get(c("_snow"), m)
-        gone = F.least(held, F.get(c("_can"), m))
+        held = state["pack"] + F.get(c("__season_snow"), m)
+        gone = F.least(held, F.get(c("__season_can"), m))
         return F.struct((held - gone).alias("pack"), F.concat(state["melt"], F.array(gone)).alias("melt"), F.concat(state["packs"], F.array(held - gone)).alias("packs"))
 
     three_years = F.sequence(F.lit(0), F.lit(35))
     start = F.struct(F.lit(0.0).alias("pack"), _no_rows().alias("melt"), _no_rows().alias("packs"))
-    out = out.withColumn("_s", F.aggregate(three_years, start, snow_month))
-    out = out.withColumn("_melt", F.slice("_s.melt", 25, 12)).withColumn("_packs", F.slice("_s.packs", 25, 12))
-    out = out.withColumn("_gross", F.transform("_p", lambda p, m: p - F.get(c("_snow"), m) + F.get(c("_melt"), m)))
+    out = out.withColumn("__season_s", F.aggregate(three_years, start, snow_month))
+    out = out.withColumn("__season_melt", F.slice("__season_s.melt", 25, 12)).withColumn("__season_packs", F.slice("__season_s.packs", 25, 12))
+    out = out.withColumn("__season_gross", F.transform("__season_p", lambda p, m: p - F.get(c("__season_snow"), m) + F.get(c("__season_melt"), m)))
 
     def store_month(state: Column, i: Column) -> Column:
-        full = state["store"] + F.get(c("_gross"), i % 12)
+        full = state["store"] + F.get(c("__season_gross"), i % 12)
         return F.struct((full * KEPT_IN_STORE).alias("store"), F.concat(state["out"], F.array(full * (1 - KEPT_IN_STORE))).alias("out"))
 
-    out = out.withColumn("_out", F.slice(F.aggregate(three_years, F.struct(F.lit(0.0).alias("store"), _no_rows().alias("out")), store_month)["out"], 25, 12))
-    gross = F.coalesce(F.nullif(_total(c("_gross")), F.lit(0.0)), F.lit(1.0))
-    out = out.withColumn("_gs", gross).withColumn("_run", F.transform("_out", lambda q: q * (v[mm] / c("_gs"))))
-    out = out.withColumn("_mean", F.coalesce(F.nullif(_total(c("_run")) / 12, F.lit(0.0)), F.lit(1.0)))
+    out = out.withColumn("__season_out", F.slice(F.aggregate(three_years, F.struct(F.lit(0.0).alias("store"), _no_rows().alias("out")), store_month)["out"], 25, 12))
+    gross = F.coalesce(F.nullif(_total(c("__season_gross")), F.lit(0.0)), F.lit(1.0))
+    out = out.withColumn("__season_gs", gross).withColumn("__season_run", F.transform("__season_out", lambda q: q * (v[mm] / c("__season_gs"))))
+    out = out.withColumn("__season_mean", F.coalesce(F.nullif(_total(c("__season_run")) / 12, F.lit(0.0)), F.lit(1.0)))
     season = F.struct(
-        c("_p").alias("precip"), c("_t").alias("temp"), c("_snow").alias("snowfall"), c("_melt").alias("melt"), c("_packs").alias("snowpack"), c("_run").alias("runoff"),
-        F.transform("_run", lambda q: q / c("_mean")).alias("discharge"), (_total(c("_melt")) / c("_gs")).alias("snow_share"), F.lit(KEPT_IN_STORE).alias("baseflow_share"),
-        F.filter(months(), lambda m: F.get(c("_t"), m) < -2).alias("frozen_months"),
+        c("__season_p").alias("precip"), c("__season_t").alias("temp"), c("__season_snow").alias("snowfall"), c("__season_melt").alias("melt"), c("__season_packs").alias("snowpack"), c("__season_run").alias("runoff"),
+        F.transform("__season_run", lambda q: q / c("__season_mean")).alias("discharge"), (_total(c("__season_melt")) / c("__season_gs")).alias("snow_share"), F.lit(KEPT_IN_STORE).alias("baseflow_share"),
+        F.filter(months(), lambda m: F.get(c("__season_t"), m) < -2).alias("frozen_months"),
     )
     season = F.when(~reduce(operator.or_, (c(n).isNull() for n in given)), season)
-    return out.withColumn("season", season).drop("_p", "_t", "_snow", "_can", "_s", "_melt", "_packs", "_gross", "_out", "_gs", "_run", "_mean")
+    return out.withColumn("season", season).drop("__season_p", "__season_t", "__season_snow", "__season_can", "__season_s", "__season_melt", "__season_packs", "__season_gross", "__season_out", "__season_gs", "__season_run", "__season_mean")

@@ -7,8 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geodesy as g
+from ..functions import hydraulics as h
 from ..functions import seasons as s
+from ..functions.lineage import cut
 from ..sources.stations import REGIMES, STATIONS
+from . import flow, rasters
 
 POWER, NEAR = 1.6, 0.02
 
@@ -59,9 +63,48 @@ def interpolate(cells: DataFrame, stations=STATIONS, regimes=REGIMES, omega: flo
     return out.withColumn("runoff", F.when(placed, s.runoff(F.col("precip"), F.col("pet"), F.col("temp"), omega)))
 
 
+def blocks(cells: DataFrame, zoom: int = 8, x0: int = 0, y0: int = 0, factor: int = 8, height: float = 1.0) -> DataFrame:
+    """cells: x, y, z. A row a block of factor by factor cells: bx, bky, elev (mean z times `height`), lon, lat of its middle."""
+    pooled = rasters.pooled(cells, factor, elev=F.avg("z") * height)
+    lon, lat = (f(o + (F.col(b) + 0.5) * factor, zoom) for f, o, b in ((g.pixel_to_lon, x0, "bx"), (g.pixel_to_lat, y0, "bky")))
+    return pooled.withColumn("lon", lon).withColumn("lat", lat)
+
+
+def runoff_weights(cells: DataFrame, climate: DataFrame, factor: int = 8) -> DataFrame:
+    """cell_id, weight: the water of each cell, m3/s: its km2 (size_m) times the runoff of its block."""
+    at = cells.select("cell_id", "size_m", F.floor(F.col("x") / factor).alias("bx"), F.floor(F.col("y") / factor).alias("bky")).join(climate.select("bx", "bky", "runoff"), ["bx", "bky"])
+    return at.select("cell_id", (F.pow("size_m", F.lit(2)) / 1e6 * F.col("runoff") * 1000 / (h.YEAR * 1000)).alias("weight"))
+
+
+def calibrate(cells: DataFrame, basins: DataFrame, gauged: DataFrame, grid: list[tuple[float, float]], zoom: int = 8, x0: int = 0, y0: int = 0, factor: int = 8, height: float = 1.0) -> DataFrame:
+    """cells as `api.build` makes them, with size_m; basins: basin_id, river, area; gauged: river, discharge. A row for each
+    (omega, pet_scale): n, median_ratio, mean_error, best (the least mean_error, the first on ties). Water is added up once
+    for each pair, looked up at the outlets of the largest basin of each river."""
+    middles = cut(blocks(cells, zoom, x0, y0, factor, height))
+    edges, out = cells.select("cell_id", "parent_id"), None
+    for i, (omega, scale) in enumerate(grid):
+        q = flow.accumulate(edges, runoff_weights(cells, interpolate(middles, omega=omega, pet_scale=scale), factor))
+        modelled = basins.join(q.select(F.col("cell_id").alias("basin_id"), F.col("acc").alias("discharge")), "basin_id").select("river", "area", "discharge")
+        row = score(modelled, gauged).select(F.lit(i).alias("run"), F.lit(float(omega)).alias("omega"), F.lit(float(scale)).alias("pet_scale"), "n", "median_ratio", "mean_error")
+        out = row if out is None else out.union(row)
+    out = cut(out)
+    best = out.orderBy("mean_error", "run").limit(1).select(F.col("run").alias("__best"))
+    return out.join(F.broadcast(best), F.col("run") == F.col("__best"), "left").withColumn("best", F.col("__best").isNotNull()).drop("__best", "run")
+
+
+def worst(ratios: DataFrame, n: int = 10) -> DataFrame:
+    """ratios: river, ratio. The n rivers that are furthest off, by the absolute logarithm."""
+    return ratios.withColumn("error", F.abs(F.log("ratio"))).orderBy(F.desc("error"), "river").limit(n)
+
+
+def ratios(modelled: DataFrame, gauged: DataFrame) -> DataFrame:
+    """river, ratio: the modelled discharge of the largest basin of each river (the smaller discharge on ties) over its gauge."""
+    best = modelled.where("river is not null").groupBy("river").agg(F.max_by("discharge", F.struct("area", -F.col("discharge"))).alias("q"))
+    return best.join(gauged.select("river", F.col("discharge").alias("g")), "river").where("q > 0 and g > 0").select("river", (F.col("q") / F.col("g")).alias("ratio"))
+
+
 def score(modelled: DataFrame, gauged: DataFrame) -> DataFrame:
     """modelled: river, area, discharge; gauged: river, discharge. The largest basin of each river against its gauge: one row
     with n, median_ratio, mean_error (of absolute logarithms)."""
-    best = modelled.where("river is not null").groupBy("river").agg(F.max_by("discharge", "area").alias("q"))
-    ratio = best.join(gauged.select("river", F.col("discharge").alias("g")), "river").where("q > 0 and g > 0").select((F.col("q") / F.col("g")).alias("r"))
-    return ratio.agg(F.count("r").alias("n"), F.median("r").alias("median_ratio"), F.avg(F.abs(F.log("r"))).alias("mean_error"))
+    r = ratios(modelled, gauged)
+    return r.agg(F.count("ratio").alias("n"), F.median("ratio").alias("median_ratio"), F.avg(F.abs(F.log("ratio"))).alias("mean_error"))

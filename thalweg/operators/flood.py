@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,29 +11,21 @@ from ..functions.lineage import cut
 
 DX = (1, 1, 0, -1, -1, -1, 0, 1)
 DY = (0, 1, 1, 1, 0, -1, -1, -1)
-INF = np.float32(np.inf)
 
 
-def _solve(ids, xs, ys, zs, levels, inner, eps):
-    """Levels of a tile: a shortest-path search with a heap from what is known, halo rows included."""
-    at = {(int(x), int(y)): i for i, (x, y) in enumerate(zip(xs, ys))}
-    level = levels.copy()
-    heap = [(float(v), int(c), i) for i, (v, c) in enumerate(zip(level, ids)) if v < INF]
-    heapq.heapify(heap)
-    while heap:
-        v, _, i = heapq.heappop(heap)
-        if v > level[i]:
-            continue
-        step = np.float32(np.float32(v) + eps)
+def _relax(z: np.ndarray, level: np.ndarray, inner: np.ndarray, eps: np.float32) -> np.ndarray:
+    """Levels of a tile with its rim: the least fixed point, by sweeps over the whole tile until none moves."""
+    level = level.copy()
+    h, w = z.shape
+    while True:
+        before = level.copy()
         for dx, dy in zip(DX, DY):
-            j = at.get((int(xs[i]) + dx, int(ys[i]) + dy))
-            if j is None or not inner[j]:
-                continue
-            new = zs[j] if zs[j] > np.float32(v) else step
-            if new < level[j]:
-                level[j] = new
-                heapq.heappush(heap, (float(new), int(ids[j]), j))
-    return level
+            here = slice(max(0, -dy), h - max(0, dy)), slice(max(0, -dx), w - max(0, dx))
+            there = slice(max(0, dy), h - max(0, -dy)), slice(max(0, dx), w - max(0, -dx))
+            v = level[there]
+            level[here] = np.where(inner[here], np.minimum(level[here], np.where(z[here] > v, z[here], v + eps)), level[here])
+        if (level == before).all():
+            return level
 
 
 def fill(cells: DataFrame, eps: float = 1e-3, tile: int = 256, max_rounds: int = 10000) -> DataFrame:
@@ -43,31 +33,43 @@ def fill(cells: DataFrame, eps: float = 1e-3, tile: int = 256, max_rounds: int =
     gets the least over its neighbours' levels v of z where z > v, of v + eps else, in float32. A cell with null z, or from
     which no seed can be reached, has a null level.
 
-    Tiles are solved by themselves with their neighbours' rims as they stand, and again until no rim moves: rounds follow
-    the tiles a path crosses, not its cells. A task holds one tile and its rim, whatever the grid."""
+    Tiles are solved by themselves with their neighbours' rims as they stand. Only tiles beside a rim that moved are solved
+    again, until no rim moves: rounds follow the tiles a path crosses, not its cells. A task holds one tile and its rim,
+    whatever the grid; only rims are copied."""
     base = cells.where("z is not null").select("cell_id", "x", "y", F.col("z").cast("float").alias("z"), F.coalesce("seed", F.lit(False)).alias("seed"))
-    state = cut(base.withColumn("level", F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf")).cast("float"))).withColumn("moved", F.lit(True)).drop("seed"))
     tx, ty = F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)
+    start = F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf")).cast("float"))
+    state = cut(base.select("cell_id", "x", "y", "z", start.alias("level"), tx.alias("gx"), ty.alias("gy"), F.lit(True).alias("moved")))
+    px, py = F.pmod("x", F.lit(tile)), F.pmod("y", F.lit(tile))
+    rim = px.isin(0, tile - 1) | py.isin(0, tile - 1)
     near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     small = np.float32(eps)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        old = rows["level"].to_numpy(np.float32)
         inner = rows["inner"].to_numpy(bool)
-        new = _solve(rows["cell_id"].to_numpy(), rows["x"].to_numpy(), rows["y"].to_numpy(), rows["z"].to_numpy(np.float32), old, inner, small)
-        out = rows[["cell_id", "x", "y", "z"]].assign(level=new, moved=new < old)
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        left, top = x.min(), y.min()
+        shape = int(y.max() - top) + 1, int(x.max() - left) + 1
+        at = y - top, x - left
+        z, level, own = np.full(shape, np.inf, "float32"), np.full(shape, np.inf, "float32"), np.zeros(shape, bool)
+        z[at], level[at], own[at] = rows["z"].to_numpy("float32"), rows["level"].to_numpy("float32"), inner
+        new = _relax(z, level, own, small)[at]
+        out = rows[["cell_id", "x", "y", "z"]].assign(level=new, gx=rows["gx"], gy=rows["gy"], moved=new < rows["level"].to_numpy("float32"))
         return out[inner]
 
-    for _ in range(max_rounds):
-        # a cell goes to its own tile, and to those on whose rim it lies
-        spread = state.withColumn("o", F.explode(near)).withColumn("gx", F.floor((F.col("x") + F.col("o.a")) / tile)).withColumn("gy", F.floor((F.col("y") + F.col("o.b")) / tile))
-        spread = spread.withColumn("inner", (F.col("gx") == tx) & (F.col("gy") == ty)).where(~F.col("inner") | ((F.col("o.a") == 0) & (F.col("o.b") == 0)))
-        spread = spread.where(F.col("inner") | (F.col("level") < float("inf"))).select("cell_id", "x", "y", "z", "level", "gx", "gy", "inner")
-        # several offsets of a rim cell lead into the same tile
-        spread = spread.where("inner").union(spread.where("not inner").distinct())
-        state = cut(spread.groupBy("gx", "gy").applyInPandas(solve, "cell_id long, x long, y long, z float, level float, moved boolean"))
-        if not state.where("moved").take(1):
+    for turn in range(max_rounds):
+        # the rim of a tile is known to its neighbours, under their numbers
+        lent = state.where(rim & (F.col("level") < float("inf"))).withColumn("o", F.explode(near)).withColumn("tx", F.floor((F.col("x") + F.col("o.a")) / tile)).withColumn("ty", F.floor((F.col("y") + F.col("o.b")) / tile))
+        lent = lent.where((F.col("tx") != F.col("gx")) | (F.col("ty") != F.col("gy"))).select("cell_id", "x", "y", "z", "level", F.col("tx").alias("gx"), F.col("ty").alias("gy"), "moved").distinct()
+        lent = cut(lent)
+        active = cut((lent.where("moved") if turn else state).select("gx", "gy").distinct())
+        if not active.take(1):
             break
+        mine = state.join(active, ["gx", "gy"], "left_semi").select("cell_id", "x", "y", "z", "level", "gx", "gy", F.lit(True).alias("inner"))
+        theirs = lent.join(active, ["gx", "gy"], "left_semi").select("cell_id", "x", "y", "z", "level", "gx", "gy", F.lit(False).alias("inner"))
+        solved = mine.union(theirs).groupBy("gx", "gy").applyInPandas(solve, "cell_id long, x long, y long, z float, level float, gx long, gy long, moved boolean")
+        rest = state.join(active, ["gx", "gy"], "left_anti").withColumn("moved", F.lit(False)).select(*solved.columns)
+        state = cut(solved.union(rest), state, lent, active)
     else:
         raise RuntimeError(f"levels still move after {max_rounds} rounds")
     return cells.select("cell_id").join(state.select("cell_id", F.when(F.col("level") < float("inf"), F.col("level")).alias("filled")), "cell_id", "left")

@@ -1,102 +1,187 @@
 """Flow graphs over grids of cells: steepest descent, accumulation, labels, orders, traces, catchments.
 
 Cells are rows (cell_id = y * w + x). The graph has at most one edge out of a cell, so everything that a sequential walk
-would do is pointer doubling here: the number of joins is the logarithm of the longest path."""
+would do is pointer doubling here: the number of joins is the logarithm of the longest path. Directions of water never form
+a cycle; where a table of edges has one all the same, its smallest cell is made a sink (see `acyclic`)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import add, cut, drop
 
 # The eight directions, 1 east and on clockwise.
 DX = (0, 1, 1, 0, -1, -1, -1, 0, 1)
 DY = (0, 0, 1, 1, 1, 0, -1, -1, -1)
 DIAGONAL = 1.41421356
+#: Numbers of a preorder that make one bucket of a range join.
+BUCKET = 1024
 
 
 def d8(cells: DataFrame) -> DataFrame:
-    """cells: cell_id, x, y, z, w. Returns cell_id, dir, parent_id: the steepest way down, the lowest code on ties; cells at
-    the border and pits have dir 0 and no parent. One equi-join on a computed neighbour id."""
-    inner = (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("w") - 1) & (F.col("y") < F.col("w") - 1)
-    offsets = F.array(*(F.struct(F.lit(k).alias("k"), (DX[k] + DY[k] * F.col("w")).alias("d"), F.lit(DIAGONAL if DX[k] and DY[k] else 1.0).alias("len")) for k in range(1, 9)))
-    around = cells.where(inner).select("cell_id", "z", F.explode(offsets).alias("o"))
-    around = around.select("cell_id", "z", "o.k", "o.len", (F.col("cell_id") + F.col("o.d")).alias("nid"))
-    met = around.join(cells.select(F.col("cell_id").alias("nid"), F.col("z").alias("nz")), "nid").where("nz < z")
-    best = met.groupBy("cell_id").agg(F.max_by(F.struct("k", "nid"), F.struct((F.col("z") - F.col("nz")) / F.col("len"), -F.col("k"))).alias("to"))
-    out = cells.select("cell_id").join(best, "cell_id", "left")
+    """cells: cell_id, x, y, z, w, and terminal (boolean), where there are cells that no water leaves, as those of the sea.
+    Returns cell_id, dir, parent_id: the steepest way down, the lowest code on ties. Terminal cells, those without all eight
+    neighbours (the border) and pits have dir 0 and no parent. One equi-join on a computed neighbour id."""
+    open_ = ~F.coalesce("terminal", F.lit(False)) if "terminal" in cells.columns else F.lit(True)
+    offsets = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(DX[k]).alias("dx"), F.lit(DY[k]).alias("dy"), F.lit(DIAGONAL if DX[k] and DY[k] else 1.0).alias("len")) for k in range(1, 9)))
+    around = cells.where(open_).select("cell_id", "x", "y", "z", "w", F.explode(offsets).alias("o"))
+    nx, ny = F.col("x") + F.col("o.dx"), F.col("y") + F.col("o.dy")
+    around = around.where((nx >= 0) & (nx < F.col("w")) & (ny >= 0)).select("cell_id", "z", "o.k", "o.len", (ny * F.col("w") + nx).alias("nid"))
+    met = around.join(cells.select(F.col("cell_id").alias("nid"), F.col("z").alias("nz")), "nid")
+    fall = (F.col("z") - F.col("nz")) / F.col("len")
+    best = met.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.when(fall > 0, F.struct("k", "nid")), F.struct(fall, -F.col("k"))).alias("to"))
+    out = cells.select("cell_id").join(best.where("n = 8").select("cell_id", "to"), "cell_id", "left")
     return out.select("cell_id", F.coalesce("to.k", F.lit(0)).cast("int").alias("dir"), F.col("to.nid").alias("parent_id"))
 
 
+def _rounds(edges: DataFrame) -> int:
+    """Doublings after which every path has ended, if it ends."""
+    return max(1, edges.count()).bit_length() + 1
+
+
+def acyclic(edges: DataFrame) -> DataFrame:
+    """edges: cell_id, parent_id. Returns cell_id, parent_id, sink: the smallest cell of each cycle has no parent and is a
+    sink; all else stays."""
+    state = cut(edges.where("parent_id is not null").select("cell_id", F.col("parent_id").alias("p"), F.least("parent_id", "cell_id").alias("m")))
+    for _ in range(_rounds(edges)):
+        ahead = state.select(F.col("cell_id").alias("p"), F.col("p").alias("pp"), F.col("m").alias("pm"))
+        state = cut(state.join(ahead, "p").select("cell_id", F.col("pp").alias("p"), F.least("m", "pm").alias("m")), state)
+    on = state.select(F.col("p").alias("cell_id")).distinct()  # what never ends is on a cycle by now
+    sinks = cut(state.join(on, "cell_id", "left_semi").where("cell_id = m").select("cell_id", F.lit(True).alias("sink")), state)
+    out = edges.join(sinks, "cell_id", "left").withColumn("sink", F.coalesce("sink", F.lit(False)))
+    return cut(out.select("cell_id", F.when(~F.col("sink"), F.col("parent_id")).alias("parent_id"), "sink"), sinks)
+
+
+def totals(edges: DataFrame, values: DataFrame, **aggregates: tuple[str, str]) -> DataFrame:
+    """Aggregates over all cells upstream of each, itself included: name=(kind, column of values), kind being sum, min or
+    max. values: cell_id and those columns; null counts as nothing. Returns cell_id and the names."""
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    both: dict[str, callable] = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+    first = edges.select("cell_id", F.col("parent_id").alias("p")).join(values, "cell_id").select("cell_id", "p", *(F.col(c).alias(n) for n, (_, c) in aggregates.items()))
+    state = cut(first)
+    for _ in range(_rounds(edges)):
+        if not state.where("p is not null").take(1):
+            break
+        given = state.where("p is not null").groupBy(F.col("p").alias("cell_id")).agg(*(kinds[k](n).alias(f"__{n}") for n, (k, _) in aggregates.items()))
+        jump = state.select(F.col("cell_id").alias("p"), F.col("p").alias("pp"))
+        merged: list[Column] = [both[k](F.col(n), F.col(f"__{n}")).alias(n) for n, (k, _) in aggregates.items()]
+        state = cut(state.join(given, "cell_id", "left").join(jump, "p", "left").select("cell_id", F.col("pp").alias("p"), *merged), state)
+    else:
+        if state.where("p is not null").take(1):
+            drop(state)
+            return totals(acyclic(edges), values, **aggregates)
+    return state.select("cell_id", *aggregates)
+
+
 def accumulate(edges: DataFrame, weights: DataFrame | None = None, weight: str = "weight") -> DataFrame:
     """edges: cell_id, parent_id. Sums weight (1) over all cells upstream of each, itself included: cell_id, acc."""
-    state = edges.select("cell_id", F.col("parent_id").alias("p"))
-    state = state.withColumn("acc", F.lit(1).cast("long")) if weights is None else state.join(weights.select("cell_id", F.col(weight).alias("acc")), "cell_id")
-    state = cut(state)
-    while state.where("p is not null").take(1):
-        given = state.where("p is not null").groupBy(F.col("p").alias("cell_id")).agg(F.sum("acc").alias("more"))
-        jump = state.select(F.col("cell_id").alias("p"), F.col("p").alias("pp"))
-        state = cut(state.join(given, "cell_id", "left").join(jump, "p", "left").select("cell_id", F.col("pp").alias("p"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
-    return state.select("cell_id", "acc")
+    values = edges.select("cell_id", F.lit(1).cast("long").alias("weight")) if weights is None else weights.select("cell_id", F.col(weight).alias("weight"))
+    return totals(edges, values, acc=("sum", "weight"))
 
 
 def terminals(edges: DataFrame) -> DataFrame:
     """cell_id, term: where the path from each cell ends."""
     state = cut(edges.select("cell_id", F.coalesce("parent_id", "cell_id").alias("term")))
-    while True:
+    for _ in range(_rounds(edges)):
         jump = state.select(F.col("cell_id").alias("term"), F.col("term").alias("next"))
-        state = cut(state.join(jump, "term").select("cell_id", F.col("next").alias("term"), (F.col("next") != F.col("term")).alias("moved")))
+        state = cut(state.join(jump, "term").select("cell_id", F.col("next").alias("term"), (F.col("next") != F.col("term")).alias("moved")), state)
         if not state.where("moved").take(1):
             return state.select("cell_id", "term")
-        state = state.drop("moved")
+    drop(state)
+    return terminals(acyclic(edges))
 
 
 def ancestors(edges: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: cell_id, up: the cell 2^k steps down the path, while any cell has one."""
+    """For k = 0, 1, ...: cell_id, to: the cell 2^k steps down the path, while any cell has one."""
     out = [cut(edges.where("parent_id is not null").select("cell_id", F.col("parent_id").alias("to")))]
-    while True:
+    for _ in range(_rounds(edges)):
         step = out[-1]
         doubled = cut(step.join(step.select(F.col("cell_id").alias("to"), F.col("to").alias("next")), "to").select("cell_id", F.col("next").alias("to")))
         if not doubled.take(1):
+            drop(doubled)
             return out
         out.append(doubled)
+    drop(*out)
+    return ancestors(acyclic(edges))
 
 
 def trace(edges: DataFrame, drops: DataFrame, max_steps: int | None = None) -> DataFrame:
-    """drops: drop_id, cell_id. Returns drop_id, step, cell_id: the whole path of each drop. The paths double from table to
-    table: rows at steps below 2^k give those of the next 2^k."""
+    """drops: drop_id, cell_id. Returns drop_id, step, cell_id: the whole path of each drop, or its first max_steps steps.
+    The paths double: rows at steps below 2^k give those of the next 2^k, which are appended."""
     paths = cut(drops.select("drop_id", F.lit(0).cast("long").alias("step"), "cell_id"))
-    for k, to in enumerate(ancestors(edges)):
-        further = paths.join(to, "cell_id").select("drop_id", (F.col("step") + 2**k).alias("step"), F.col("to").alias("cell_id"))
-        paths = cut(paths.union(further))
-        if max_steps is not None and 2**k >= max_steps:
+    ahead = ancestors(edges)
+    for k, to in enumerate(ahead):
+        if max_steps is not None and 2**k > max_steps:
             break
+        further = paths.join(to, "cell_id").select("drop_id", (F.col("step") + 2**k).alias("step"), F.col("to").alias("cell_id"))
+        paths = add(paths, further)
+    drop(*ahead)
     return paths if max_steps is None else paths.where(F.col("step") <= max_steps)
 
 
-def catchment(edges: DataFrame, outlets: DataFrame) -> DataFrame:
-    """outlets: outlet_id. Returns outlet_id, cell_id: all cells whose path passes an outlet, which is reachability by
-    doubling: members within 2^k steps give those within 2^(k+1)."""
-    # cut before the column is doubled: the partitioning of a cut table may name no column that it has not
-    members = cut(outlets.select("outlet_id")).select("outlet_id", F.col("outlet_id").alias("cell_id"))
-    for to in ancestors(edges):
-        up = to.select(F.col("to").alias("cell_id"), F.col("cell_id").alias("above"))
-        members = cut(members.union(members.join(up, "cell_id").select("outlet_id", F.col("above").alias("cell_id"))))
-    return members
-
-
-def strahler(edges: DataFrame, acc: DataFrame, threshold: int) -> DataFrame:
+def chase(links: DataFrame, *scope: str) -> DataFrame:
+    """links: node, to (null at a root), weight, and columns of `scope`, within which nodes are told apart. Returns the scope,
+    node, root, total: the weights of the links on the way there. The links must not form cycles."""
+    state = cut(links.select(*scope, "node", F.coalesce("to", "node").alias("root"), F.when(F.col("to").isNull(), 0).otherwise(F.col("weight")).cast("long").alias("total"), F.col("to").isNull().alias("done")))
+    settled, going = [state.where("done")], state.where("not done")
+    while going.take(1):
+        # only rows that still move are written again; what they look up is all rows, settled ones where they lie
+        every = going
+        for s in settled:
+            every = every.union(s)
+        ahead = every.select(*scope, F.col("node").alias("root"), F.col("root").alias("next"), F.col("total").alias("more"), F.col("done").alias("end"))
+        state = cut(going.join(ahead, [*scope, "root"]).select(*scope, "node", F.col("next").alias("root"), (F.col("total") + F.col("more")).alias("total"), F.col("end").alias("done")))
+        settled, going = [*settled, state.where("done")], state.where("not done")
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.union(s)
+    return out.select(*scope, "node", "root", "total")
+
+
+def intervals(edges: DataFrame) -> DataFrame:
+    """cell_id, root, pre, size: a preorder within each tree, so that the catchment of a cell is the cells of the same root
+    from pre to pre + size - 1. Of siblings, the smaller cell_id comes first."""
+    size = cut(accumulate(edges).withColumnRenamed("acc", "size"))
+    rows = edges.select("cell_id", "parent_id").join(size, "cell_id")
+    # eight cells at most flow to one, so the siblings before a cell are few
+    kids = rows.where("parent_id is not null").groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct("cell_id", "size"))).alias("kids"))
+    each = kids.select("kids", F.posexplode("kids").alias("i", "kid"))
+    before = F.aggregate(F.slice("kids", F.lit(1), F.col("i")), F.lit(1).cast("long"), lambda a, k: a + k["size"])
+    links = rows.join(each.select(F.col("kid.cell_id").alias("cell_id"), before.alias("weight")), "cell_id", "left")
+    found = chase(links.select(F.col("cell_id").alias("node"), F.col("parent_id").alias("to"), F.coalesce("weight", F.lit(0).cast("long")).alias("weight")))
+    out = found.select(F.col("node").alias("cell_id"), "root", F.col("total").alias("pre")).join(size, "cell_id")
+    return cut(out, size)
+
+
+def catchment(edges: DataFrame, outlets: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+    """outlets: outlet_id. Returns outlet_id, cell_id: all cells whose path passes an outlet. numbered: intervals(edges),
+    where they are at hand. A range join on buckets of the preorder, so work follows what is returned."""
+    numbered = intervals(edges) if numbered is None else numbered
+    spans = outlets.select("outlet_id").join(numbered.withColumnRenamed("cell_id", "outlet_id"), "outlet_id")
+    last = F.col("pre") + F.col("size") - 1
+    spans = spans.select("outlet_id", "root", F.col("pre").alias("low"), last.alias("high"), F.explode(F.sequence(F.floor(F.col("pre") / BUCKET), F.floor(last / BUCKET))).alias("bucket"))
+    members = numbered.select("cell_id", "root", "pre", F.floor(F.col("pre") / BUCKET).alias("bucket"))
+    return spans.join(members, ["root", "bucket"]).where("pre between low and high").select("outlet_id", "cell_id")
+
+
+def strahler(edges: DataFrame, acc: DataFrame, threshold: float) -> DataFrame:
     """cell_id, so: the order by its definition (one more where two children share the largest), over cells of acc at least
-    threshold; 0 for others. Orders that are settled move down a level at a time."""
-    net = acc.where(F.col("acc") >= threshold).select("cell_id")
-    links = cut(edges.join(net, "cell_id").select("cell_id", "parent_id"))
-    order = cut(net.withColumn("so", F.lit(1)))
-    while True:  # the least fixed point, from below
-        kids = links.where("parent_id is not null").join(order, "cell_id").groupBy(F.col("parent_id").alias("cell_id"), "so").agg(F.count(F.lit(1)).alias("n"))
-        top = kids.groupBy("cell_id").agg(F.max(F.struct("so", "n")).alias("t")).select("cell_id", (F.col("t.so") + (F.col("t.n") > 1).cast("int")).alias("fresh"))
-        after = cut(order.join(top, "cell_id", "left").select("cell_id", F.greatest("so", F.coalesce("fresh", F.lit(1))).alias("so"), (F.coalesce("fresh", F.lit(1)) > F.col("so")).alias("moved")))
-        if not after.where("moved").take(1):
-            return edges.select("cell_id").join(after.select("cell_id", "so"), "cell_id", "left").select("cell_id", F.coalesce("so", F.lit(0)).alias("so"))
-        order = after.drop("moved")
+    threshold; 0 for others. A cell has order k + 1 or more if two cells of order k or more meet at it or above it; so each
+    order takes the cells downstream of such meetings, by doubling: rounds follow the largest order, not the paths."""
+    net = cut(acc.where(F.col("acc") >= threshold).select("cell_id"))
+    links = cut(edges.join(net, "cell_id", "left_semi").select("cell_id", "parent_id"))
+    ahead = ancestors(links)
+    here, orders, k = net, None, 1
+    while True:
+        orders = add(orders, here.select("cell_id", F.lit(k).alias("so")))
+        meet = links.join(here, "cell_id", "left_semi").where("parent_id is not null").groupBy(F.col("parent_id").alias("cell_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell_id")
+        above = cut(meet.join(net, "cell_id", "left_semi"))
+        for to in ahead:
+            above = cut(above.union(above.join(to, "cell_id").select(F.col("to").alias("cell_id"))).distinct(), above)
+        if not above.take(1):
+            break
+        here, k = above, k + 1
+    drop(*ahead)
+    top = orders.groupBy("cell_id").agg(F.max("so").alias("so"))
+    return edges.select("cell_id").join(top, "cell_id", "left").select("cell_id", F.coalesce("so", F.lit(0)).cast("int").alias("so"))

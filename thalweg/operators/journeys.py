@@ -1,143 +1,143 @@
 """The story of a path: names smoothed along it, lakes bridged, and the stages that a reader sees.
 
-Smoothing changes values that it reads again further on, so it runs in Python over one path at a time; a path is no longer
-than the step cap of the trace (40,000 by default), which bounds a group. Sums over paths are DataFrame code."""
+A path is a row of runs: rows that follow each other with one label. All rules are stated on runs and on the runs beside
+them, as windows over tables of runs, so a path is never gathered:
 
-from __future__ import annotations
+- a river's name goes on over rows without one while the area does not fall by a tenth;
+- a run between two runs of one other label takes that label if it is a single row (twice over), then if it is shorter than
+  25 km. Of such runs in a row every other one gives way, the first of them first, as the next one has lost its neighbour;
+- a lake counts from 2 km on; two of them with less than 8 km between are one, and with less than 40 km if both have the
+  same name; its name reaches over its rows without one;
+- stages are runs of one label. One of less than 1500 m without a name belongs to the stage before; of the rest, those of
+  2500 m or less go, unless they are lakes, the first or the last."""
 
-from itertools import groupby
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hydraulics as h
+from .paths import LAKE, carry, order, travel, whole
+
+# Metres.
+SHORT_RUN, LAKE_RUN, LAKE_GAP, SAME_LAKE_GAP, SHORT_STAGE, FRAGMENT = 25000, 2000, 8000, 40000, 1500, 2500
+
+__all__ = ["absorbed", "journey", "lake_passages", "lake_runs", "river_runs", "travel"]
+
+
+def _by(first: str) -> W:
+    return W.partitionBy("drop_id").orderBy(first)
+
+
+def _changes(label: Column, way: W) -> Column:
+    """The number of the run that a row is in, from 1."""
+    return F.sum((~label.eqNullSafe(F.lag(label).over(way)) | (F.row_number().over(way) == 1)).cast("int")).over(way)
+
 
-# Metres, and the class of lake cells.
-SHORT_RUN, LAKE_RUN, LAKE_GAP, SAME_LAKE_GAP, SHORT_STAGE, FRAGMENT, LAKE = 25000, 2000, 8000, 40000, 1500, 2500, 2
+def river_runs(rows: DataFrame) -> DataFrame:
+    """rows: drop_id, step, dist, area, river. Runs of the river's name as it is carried on: drop_id, first, last, n, label,
+    from_m, to_m."""
+    filled = carry(rows, "river", F.col("area") >= 0.9 * F.lag("area").over(order()))
+    filled = filled.withColumn("run", _changes(F.col("river"), order()))
+    return filled.groupBy("drop_id", "run").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.count(F.lit(1)).alias("n"), F.max("river").alias("label"), F.min("dist").alias("from_m"), F.max("dist").alias("to_m")).drop("run")
 
 
-def _runs(values):
-    """(first, past the last) of runs of equal values."""
-    at = 0
-    for _, run in groupby(values):
-        n = len(list(run))
-        yield at, at + n
-        at += n
+def absorbed(runs: DataFrame, small: Column) -> DataFrame:
+    """runs as from river_runs(), those that are `small` between two runs of one label merged with both."""
+    way = _by("first")
+    before, after = F.lag("label").over(way), F.lead("label").over(way)
+    inner = F.lag("first").over(way).isNotNull() & F.lead("first").over(way).isNotNull()
+    out = runs.withColumn("__c", small & inner & before.eqNullSafe(after)).withColumn("__before", before)
+    out = out.withColumn("__streak", F.sum((~F.col("__c")).cast("int")).over(way))
+    place = F.row_number().over(W.partitionBy("drop_id", "__streak").orderBy("first")) - 1  # a streak begins with a run that stays
+    out = out.withColumn("label", F.when(F.col("__c") & (place % 2 == 1), F.col("__before")).otherwise(F.col("label")))
+    out = out.withColumn("__run", _changes(F.col("label"), way))
+    return out.groupBy("drop_id", "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.max("label").alias("label"), F.min("from_m").alias("from_m"), F.max("to_m").alias("to_m")).drop("__run")
 
 
-def smooth_rivers(names: list, area, dist) -> list:
-    """Gaps filled while the area does not fall, single flips taken back twice over, short runs between equal names given
-    back; each reads what it has changed before."""
-    out, n = list(names), len(names)
-    for i in range(1, n):
-        if not out[i] and out[i - 1] and area[i] >= 0.9 * area[i - 1]:
-            out[i] = out[i - 1]
+def lake_runs(rows: DataFrame) -> DataFrame:
+    """rows: drop_id, step, dist, cls, and lake (a name or null). Runs of lake cells of 2 km or more: drop_id, first, last,
+    from_m, to_m, name_in, name_out (of their first and last row), dist_in (that of the row before)."""
+    rows = rows if "lake" in rows.columns else rows.withColumn("lake", F.lit(None).cast("string"))
+    wet = F.coalesce(F.col("cls") == LAKE, F.lit(False))
+    marked = rows.withColumn("run", _changes(wet, order())).withColumn("__ahead", F.lag("dist").over(order())).where(wet)
+    out = marked.groupBy("drop_id", "run").agg(
+        F.min("step").alias("first"), F.max("step").alias("last"), F.min("dist").alias("from_m"), F.max("dist").alias("to_m"),
+        F.min_by("lake", "step").alias("name_in"), F.max_by("lake", "step").alias("name_out"), F.min_by("__ahead", "step").alias("dist_in"),
+    )
+    return out.where(F.col("to_m") - F.col("from_m") >= LAKE_RUN).drop("run")
+
+
+def lake_passages(rows: DataFrame) -> DataFrame:
+    """drop_id, first, until: the rows from `first` to `until` pass through a lake; gaps between lakes that count as one are
+    part of the passage that begins before them."""
+    runs, way = lake_runs(rows), _by("first")
+    gap = F.lead("from_m").over(way) - F.col("to_m")
+    near = F.lead("dist_in").over(way) - F.col("to_m") < SAME_LAKE_GAP
+    one = near & ((gap < LAKE_GAP) | F.coalesce(F.col("name_out") == F.lead("name_in").over(way), F.lit(False)))
+    return runs.select("drop_id", "first", F.when(one, F.lead("first").over(way) - 1).otherwise(F.col("last")).alias("until"))
+
+
+def _on_rows(rows: DataFrame, runs: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with `name`: the column of the run that began last."""
+    starts = runs.select("drop_id", F.col("first").alias("step"), F.struct(column).alias("__begun"))
+    return rows.join(starts, ["drop_id", "step"], "left").withColumn(name, F.last("__begun", True).over(order())[column]).drop("__begun")
+
+
+def smoothed(rows: DataFrame) -> DataFrame:
+    """rows (drop_id, step, dist, area, cls, river, lake) with `river` smoothed, `inside` (whether a row passes through a
+    lake) and `lake` filled there."""
+    runs = river_runs(rows)
     for _ in range(2):
-        for i in range(1, n - 1):
-            if out[i - 1] == out[i + 1]:
-                out[i] = out[i - 1]
-    i = 0
-    while i < n:
-        j = i + 1
-        while j < n and out[j] == out[i]:
-            j += 1
-        if 0 < i and j < n and out[i - 1] == out[j] and dist[j - 1] - dist[i] < SHORT_RUN:
-            out[i:j] = [out[j]] * (j - i)
-        i = j
-    return out
-
-
-def bridge_lakes(lake: list, cls, dist) -> tuple[np.ndarray, list]:
-    """Which rows pass through a lake, and its name there."""
-    n, inside, names = len(cls), np.zeros(len(cls), bool), list(lake)
-    for a, b in _runs([c == LAKE for c in cls]):
-        inside[a:b] = cls[a] == LAKE and dist[b - 1] - dist[a] >= LAKE_RUN
-    spots = np.flatnonzero(inside)
-    for a, b in zip(spots[:-1], spots[1:]):
-        if b - a > 1:
-            gap = dist[b] - dist[a]
-            # the walk over a gap ends before its last row where that lies too far already
-            near = dist[b - 1] - dist[a] < SAME_LAKE_GAP
-            if near and (gap < LAKE_GAP or (names[a] and names[a] == names[b])):
-                inside[a:b] = True
-    for order in (range(1, n), range(n - 2, -1, -1)):
-        step = 1 if order.step > 0 else -1
-        for i in order:
-            if inside[i] and not names[i] and names[i - step]:
-                names[i] = names[i - step]
-    return inside, names
-
-
-def _size(area: float) -> str:
-    return next((name for bound, name in h.SIZE_CLASSES if area < bound), h.LARGEST)
-
-
-def stages(rows: pd.DataFrame) -> list[dict]:
-    """Stages of one path in order of step: rain, then runs of one label, then the destination; short stages without a name
-    join the one before, and short fragments go unless they are lakes or at an end."""
-    dist, area, elev = (rows[c].to_numpy(float) for c in ("dist", "area", "elev"))
-    text = lambda c: [v if isinstance(v, str) and v else None for v in rows[c]]
-    inside, lakes = bridge_lakes(text("lake"), rows["cls"].to_numpy(), dist)
-    rivers, countries = smooth_rivers(text("river"), area, dist), text("country")
-    first = rows.iloc[0]
-    out = [{"label": "Rainfall", "kind": "rain", "name": None, "from_m": 0.0, "to_m": 0.0, "area": area[0], "fall": 0.0, "countries": [c for c in countries[:1] if c]}]
-    for i in range(len(rows)):
-        name = lakes[i] if inside[i] else rivers[i]
-        label = name or ("Lake" if inside[i] else _size(area[i]))
-        fall = max(0.0, elev[i - 1] - elev[i]) if i else 0.0
-        if out[-1]["label"] == label:
-            out[-1].update(to_m=dist[i], area=area[i], fall=out[-1]["fall"] + fall)
-            if countries[i] and countries[i] not in out[-1]["countries"]:
-                out[-1]["countries"].append(countries[i])
-            continue
-        kind = "lake" if inside[i] else "overland" if area[i] < 0.5 else "stream" if area[i] < 50 else "river"
-        out.append({"label": label, "kind": kind, "name": name, "from_m": dist[i - 1] if i else 0.0, "to_m": dist[i], "area": area[i], "fall": fall, "countries": [c for c in countries[i : i + 1] if c]})
-    end = {"label": first["destination"], "kind": "lake" if first["destination_kind"] == "lake" else "sea", "name": None, "from_m": dist[-1], "to_m": dist[-1], "area": area[-1], "fall": 0.0}
-    out.append(end | {"countries": [c for c in countries[-1:] if c]})
-    kept: list[dict] = []
-    for s in out:
-        short = s["to_m"] - s["from_m"] < SHORT_STAGE and s["kind"] not in ("sea", "rain") and not s["name"]
-        if kept and (kept[-1]["label"] == s["label"] or short):
-            kept[-1].update(to_m=s["to_m"], area=s["area"], fall=kept[-1]["fall"] + s["fall"])
-        else:
-            kept.append(s)
-    return [s for i, s in enumerate(kept) if i in (0, len(kept) - 1) or s["to_m"] - s["from_m"] > FRAGMENT or s["kind"] == "lake"]
-
-
-STAGE = "stage int, label string, kind string, name string, from_m double, to_m double, area double, fall double, countries array<string>"
+        runs = absorbed(runs, F.col("n") == 1)
+    runs = absorbed(runs, F.col("to_m") - F.col("from_m") < SHORT_RUN)
+    out = _on_rows(rows.drop("river"), runs.withColumnRenamed("label", "river"), "river", "river")
+    out = _on_rows(out, lake_passages(rows), "until", "__until")
+    out = out.withColumn("inside", F.coalesce(F.col("step") <= F.col("__until"), F.lit(False))).drop("__until")
+    return carry(carry(out, "lake", F.col("inside")), "lake", F.col("inside"), backward=True)
 
 
 def journey(paths: DataFrame) -> DataFrame:
     """paths: drop_id, step, dist, area, elev, cls, river, lake, country (nulls where not known), destination,
-    destination_kind. Returns drop_id and the columns of a stage. Null dist, area and elev count as 0."""
-    known = paths.fillna(0, ["dist", "area", "elev"]).withColumn("cls", F.coalesce("cls", F.lit(0)))
-
-    def tell(rows: pd.DataFrame) -> pd.DataFrame:
-        found = stages(rows.sort_values("step", kind="stable").reset_index(drop=True))
-        return pd.DataFrame([{"drop_id": rows["drop_id"].iloc[0], "stage": i, **s} for i, s in enumerate(found)])
-
-    kept = known.select("drop_id", "step", "dist", "area", "elev", "cls", "river", "lake", "country", "destination", "destination_kind")
-    return kept.groupBy("drop_id").applyInPandas(tell, "drop_id long, " + STAGE)
-
-
-def travel(paths: DataFrame, runoff: float = 300.0) -> DataFrame:
-    """A row a path: drop_id, distance, seconds, mean_velocity, max_elev, min_elev, slope, final_area, discharge. Slopes are
-    taken over twelve steps either way."""
-    order = W.partitionBy("drop_id").orderBy("step")
-    window, last = order.rowsBetween(-12, 12), F.max("dist")
-    run = F.last("dist").over(window) - F.first("dist").over(window)
-    fall = F.first("elev").over(window) - F.last("elev").over(window)
-    out = paths.withColumn("d", F.col("dist") - F.lag("dist").over(order)).withColumn("s", F.when(run > 0, F.greatest(F.lit(3e-5), fall / run)).otherwise(F.lit(3e-5)))
-    out = out.withColumn("v", F.when(F.col("d") > 0, h.velocity(F.col("area"), F.col("s"), runoff)))
-    out = out.groupBy("drop_id").agg(
-        last.alias("distance"), F.coalesce(F.sum(F.col("d") / F.col("v")), F.lit(0.0)).alias("seconds"), F.sum(F.col("d") * F.col("v")).alias("vd"),
-        F.max("elev").alias("max_elev"), F.min("elev").alias("min_elev"), F.max_by("area", "step").alias("final_area"),
-    )
-    moved = F.col("distance") > 0
-    return out.select(
-        "drop_id", "distance", "seconds", F.when(moved, F.col("vd") / F.col("distance")).otherwise(0.0).alias("mean_velocity"), "max_elev", "min_elev",
-        F.when(moved, (F.col("max_elev") - F.col("min_elev")) / F.col("distance")).otherwise(0.0).alias("slope"), "final_area", h.discharge(F.col("final_area"), runoff).alias("discharge"),
+    destination_kind. Returns drop_id, stage, label, kind, name, from_m, to_m, area, fall, countries (in the order of first
+    sight): rain, the stages, the destination. Null dist, area and elev count as 0; empty names as null."""
+    columns = ["drop_id", "step", "dist", "area", "elev", "cls", "river", "lake", "country", "destination", "destination_kind"]
+    rows = paths.select(*columns).fillna(0, ["dist", "area", "elev"]).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("river", "lake", "country")})
+    rows = smoothed(rows)
+    name = F.when(F.col("inside"), F.col("lake")).otherwise(F.col("river"))
+    rows = rows.withColumn("name", name).withColumn("label", F.coalesce("name", F.when(F.col("inside"), F.lit("Lake")).otherwise(h.size_class(F.col("area")))))
+    kind = F.when(F.col("inside"), "lake").when(F.col("area") < 0.5, "overland").when(F.col("area") < 50, "stream").otherwise("river")
+    rows = rows.withColumns({
+        "kind": kind, "__from": F.coalesce(F.lag("dist").over(order()), F.lit(0.0)), "__fall": F.greatest(F.coalesce(F.lag("elev").over(order()) - F.col("elev"), F.lit(0.0)), F.lit(0.0)),
+        "run": _changes(F.col("label"), order()), "__new": ~F.col("country").eqNullSafe(F.lag("country").over(order())) | F.lag("country").over(order()).isNull(),
+        "__run": _changes(F.col("label"), order()), "__end": F.col("step") == F.max("step").over(whole()),
+    })
+    rows = rows.withColumn("__new", F.col("country").isNotNull() & (F.col("__new") | (F.row_number().over(W.partitionBy("drop_id", "run").orderBy("step")) == 1)))
+    seen = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col("__new"), F.struct("step", "country")))), lambda c: c["country"]))
+    first = lambda c: F.min_by(c, "step")
+    runs = rows.groupBy("drop_id", "run").agg(
+        first("label").alias("label"), first("kind").alias("kind"), first("name").alias("name"), first("__from").alias("from_m"), F.max("dist").alias("to_m"),
+        F.max_by("area", "step").alias("area"), F.sum("__fall").alias("fall"), seen.alias("countries"),
     )
+    zero, one = F.lit(0.0), F.array_compact(F.array("country"))
+    rain = rows.where("step = 0").select("drop_id", F.lit(0).cast("long").alias("run"), F.lit("Rainfall").alias("label"), F.lit("rain").alias("kind"), F.lit(None).cast("string").alias("name"), zero.alias("from_m"), zero.alias("to_m"), "area", zero.alias("fall"), one.alias("countries"))
+    arrival = F.when(F.col("destination_kind") == "lake", "lake").otherwise("sea")
+    end = rows.where("__end").select("drop_id", F.lit(2**62).alias("run"), F.col("destination").alias("label"), arrival.alias("kind"), F.lit(None).cast("string").alias("name"), F.col("dist").alias("from_m"), F.col("dist").alias("to_m"), "area", zero.alias("fall"), one.alias("countries"))
+    return _told(rain.union(runs.select(*rain.columns)).union(end))
+
+
+def _told(stages: DataFrame) -> DataFrame:
+    """Short stages joined to the one before, fragments left out, numbered from 0."""
+    way = _by("run")
+    short = (F.col("to_m") - F.col("from_m") < SHORT_STAGE) & ~F.col("kind").isin("sea", "rain") & F.col("name").isNull()
+    stages = stages.withColumn("__short", short)
+    held = F.last(F.when(~F.col("__short"), F.struct("label")), True).over(way.rowsBetween(W.unboundedPreceding, -1))["label"]
+    stages = stages.withColumn("__begins", ~F.col("__short") & ~F.col("label").eqNullSafe(held) | (F.row_number().over(way) == 1))
+    stages = stages.withColumn("__group", F.sum(F.col("__begins").cast("int")).over(way))
+    first, last = (lambda c: F.min_by(c, "run").alias(c)), (lambda c: F.max_by(c, "run").alias(c))
+    merged = stages.groupBy("drop_id", "__group").agg(*map(first, ("label", "kind", "name", "from_m", "countries")), *map(last, ("to_m", "area")), F.sum("fall").alias("fall"))
+    ends = (F.col("__group") == F.min("__group").over(whole())) | (F.col("__group") == F.max("__group").over(whole()))
+    kept = merged.where(F.lit(True)).withColumn("__kept", ends | (F.col("to_m") - F.col("from_m") > FRAGMENT) | (F.col("kind") == "lake")).where("__kept")
+    numbered = kept.withColumn("stage", (F.row_number().over(_by("__group")) - 1).cast("int"))
+    return numbered.select("drop_id", "stage", "label", "kind", "name", "from_m", "to_m", "area", "fall", "countries")

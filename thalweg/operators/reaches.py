@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .flow import catchment
-
-
-def chase(links: DataFrame, *scope: str) -> DataFrame:
-    """links: node, to (null at a root), weight, and columns of `scope`, within which nodes are told apart. Returns the scope,
-    node, root, total: the weights of the links on the way there."""
-    state = cut(links.select(*scope, "node", F.coalesce("to", "node").alias("root"), F.when(F.col("to").isNull(), 0).otherwise(F.col("weight")).cast("long").alias("total"), F.col("to").isNull().alias("done")))
-    settled, going = [state.where("done")], state.where("not done")
-    while going.take(1):
-        # only rows that still move are written again; what they look up is all rows, settled ones where they lie
-        ahead = reduce(DataFrame.union, settled, going).select(*scope, F.col("node").alias("root"), F.col("root").alias("next"), F.col("total").alias("more"), F.col("done").alias("end"))
-        state = cut(going.join(ahead, [*scope, "root"]).select(*scope, "node", F.col("next").alias("root"), (F.col("total") + F.col("more")).alias("total"), F.col("end").alias("done")))
-        settled, going = [*settled, state.where("done")], state.where("not done")
-    return reduce(DataFrame.union, settled).select(*scope, "node", "root", "total")
+from ..sources.rivers import canonical
+from . import shapes
+from .flow import catchment, chase
 
 
 def extract(acc: DataFrame, threshold: float) -> DataFrame:
@@ -66,20 +53,72 @@ def propagate(reaches: DataFrame, rounds: int = 4, share: float = 0.55) -> DataF
     return state
 
 
-def upstream(acc: DataFrame, points: DataFrame, min_acc: float, max_paths: int | None = 3000) -> DataFrame:
-    """acc: cell_id, parent_id, acc; points: outlet_id. Returns outlet_id, path_id (its lowest cell), depth, pos, cell_id: the
-    main stem above each point, following the largest child (the smallest id on ties), then its tributaries, and theirs. A
-    child counts from min_acc. Single cells are no path; max_paths keeps the shallowest, largest paths of a point."""
-    pairs = catchment(acc.select("cell_id", "parent_id"), points).join(acc, "cell_id").where((F.col("acc") >= min_acc) | (F.col("cell_id") == F.col("outlet_id")))
-    pairs = cut(pairs.select("outlet_id", "cell_id", F.when(F.col("cell_id") != F.col("outlet_id"), F.col("parent_id")).alias("parent_id"), "acc"))
-    rank = F.row_number().over(W.partitionBy("outlet_id", "parent_id").orderBy(F.desc("acc"), "cell_id"))
-    ranked = pairs.withColumn("main", F.col("parent_id").isNull() | (rank == 1))
-    ranked = cut(ranked.select("outlet_id", F.col("cell_id").alias("node"), F.col("parent_id").alias("below"), "acc", "main"))
-    stems = chase(ranked.select("outlet_id", "node", F.when(F.col("main"), F.col("below")).alias("to"), F.lit(1).alias("weight")), "outlet_id").withColumnsRenamed({"root": "path_id", "total": "pos"})
-    depth = chase(ranked.select("outlet_id", "node", F.col("below").alias("to"), (~F.col("main")).cast("int").alias("weight")), "outlet_id").drop("root").withColumnRenamed("total", "depth")
-    key = ["outlet_id", "node"]
-    out = ranked.select(*key, "acc").join(stems, key).join(depth, key).withColumnRenamed("node", "cell_id")
-    paths = out.groupBy("outlet_id", "path_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.max("acc").alias("size")).where("n >= 2")
-    if max_paths is not None:
-        paths = paths.withColumn("r", F.row_number().over(W.partitionBy("outlet_id").orderBy("depth", F.desc("size"), "path_id"))).where(F.col("r") <= max_paths)
-    return out.join(paths.select("outlet_id", "path_id", "depth"), ["outlet_id", "path_id", "depth"], "left_semi").select("outlet_id", "path_id", "depth", "pos", "cell_id")
+def upstream(acc: DataFrame, points: DataFrame, min_acc: float | None, max_paths: int | None = 3000, numbered: DataFrame | None = None) -> DataFrame:
+    """acc: cell_id, parent_id, acc; points: outlet_id, and least (by point) where min_acc is None. Returns outlet_id, path_id
+    (its lowest cell), depth, pos, cell_id, acc: the main stem above each point, following the largest child (the smallest id
+    on ties), then its tributaries, and theirs. A child counts from min_acc. Single cells are no path; max_paths keeps the
+    shallowest, largest paths of a point, and truncated says where there were more. numbered: flow.intervals() of acc.
+
+    What is main and how deep a cell lies below the root follow from all cells, once for all points: each cell has the end of
+    its stem and its depth below the root of its tree, so a point only takes the members of its catchment and subtracts."""
+    edges = acc.select("cell_id", "parent_id")
+    rank = F.row_number().over(W.partitionBy("parent_id").orderBy(F.desc("acc"), "cell_id"))
+    ranked = acc.withColumn("main", F.col("parent_id").isNotNull() & (rank == 1))
+    ranked = cut(ranked.select(F.col("cell_id").alias("node"), F.col("parent_id").alias("below"), "acc", "main"))
+    stems = chase(ranked.select("node", F.when(F.col("main"), F.col("below")).alias("to"), F.lit(1).alias("weight")))
+    depth = chase(ranked.select("node", F.col("below").alias("to"), (~F.col("main")).cast("int").alias("weight")))
+    known = stems.select(F.col("node").alias("cell_id"), F.col("root").alias("stem"), F.col("total").alias("pos")).join(depth.select(F.col("node").alias("cell_id"), F.col("total").alias("depth")), "cell_id")
+    known = cut(known.join(acc.select("cell_id", "acc"), "cell_id"), ranked)
+    least = F.lit(float(min_acc)) if min_acc is not None else F.col("least")
+    points = points.select("outlet_id", least.alias("least"))
+    at = points.join(known.select(F.col("cell_id").alias("outlet_id"), F.col("stem").alias("__stem"), F.col("pos").alias("__pos"), F.col("depth").alias("__depth")), "outlet_id")
+    met = catchment(edges, points, numbered).join(at, "outlet_id").join(known, "cell_id").where((F.col("acc") >= F.col("least")) | (F.col("cell_id") == F.col("outlet_id")))
+    own = F.col("stem") == F.col("__stem")  # the stem that the point lies on begins at the point
+    out = met.select("outlet_id", F.when(own, F.col("outlet_id")).otherwise(F.col("stem")).alias("path_id"), (F.col("depth") - F.col("__depth")).alias("depth"), F.when(own, F.col("pos") - F.col("__pos")).otherwise(F.col("pos")).alias("pos"), "cell_id", "acc")
+    way = W.partitionBy("outlet_id", "path_id")
+    out = out.withColumn("__n", F.count(F.lit(1)).over(way)).where("__n >= 2").drop("__n")
+    if max_paths is None:
+        return out.withColumn("truncated", F.lit(False))
+    found = out.groupBy("outlet_id", "path_id").agg(F.min("depth").alias("d"), F.max("acc").alias("size"))
+    order = W.partitionBy("outlet_id").orderBy("d", F.desc("size"), "path_id")
+    found = found.withColumn("__r", F.row_number().over(order)).withColumn("truncated", F.count(F.lit(1)).over(W.partitionBy("outlet_id")) > max_paths)
+    return out.join(found.where(F.col("__r") <= max_paths).select("outlet_id", "path_id", "truncated"), ["outlet_id", "path_id"])
+
+
+def levels(cells: DataFrame, thresholds: tuple[float, ...] = (20000.0, 1500.0, 250.0)) -> DataFrame:
+    """cells as `api.build` makes them, with strahler or not. A row a reach and level of detail: lod, reach_id, cells, head, tail,
+    up, dn (areas at its ends, to one place), so (the order at its end), x and y of its end."""
+    acc = cells.select("cell_id", "parent_id", "acc")
+    so = F.col("strahler") if "strahler" in cells.columns else F.lit(None).cast("int")
+    ends = cells.select(F.col("cell_id").alias("tail"), so.alias("so"), "x", "y")
+    out = None
+    for lod, threshold in enumerate(thresholds):
+        found = summarise(extract(acc, threshold), acc).join(ends, "tail").select(F.lit(lod).alias("lod"), "reach_id", "cells", "head", "tail", F.round("up", 1).alias("up"), F.round("dn", 1).alias("dn"), "so", "x", "y")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def probes(vertices: DataFrame, most: int = 8) -> DataFrame:
+    """vertices: reach_id, seq, lon, lat. Up to eight of each reach, evenly from the first on."""
+    n = F.count(F.lit(1)).over(W.partitionBy("reach_id"))
+    out = vertices.withColumn("__i", F.row_number().over(W.partitionBy("reach_id").orderBy("seq")) - 1).withColumn("__k", F.greatest(F.lit(1), F.floor(n / most)))
+    return out.where((F.col("__i") % F.col("__k") == 0) & (F.col("__i") < most * F.col("__k"))).drop("__i", "__k")
+
+
+def centrelines(*layers: DataFrame) -> DataFrame:
+    """layers: owner, seq, lon, lat, name, name_en, in the order in which they count. One table of vertices (owner, seq, lon,
+    lat, name) of lines that have a name in either language, under its one name; owners of later layers follow."""
+    out = None
+    for k, layer in enumerate(layers):
+        rows = layer.select((F.lit(k).cast("long") * 2**40 + F.col("owner")).alias("owner"), "seq", "lon", "lat", canonical(F.coalesce(F.nullif("name", F.lit("")), "name_en")).alias("name")).where("name is not null and name <> ''")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def named_by_lines(reaches: DataFrame, vertices: DataFrame, lines: DataFrame, reach: float = 0.06) -> DataFrame:
+    """reaches (as from summarise()) with name: voted by their probes' nearest lines within `reach` degrees, then passed on from
+    the reaches that they run into. vertices: reach_id, seq, lon, lat."""
+    asked = probes(vertices).select(F.struct("reach_id", "seq").alias("point_id"), "lon", "lat")
+    near = shapes.nearest_line(asked, lines, reach).join(lines.select("owner", "name").distinct(), "owner")
+    met = asked.select("point_id").join(near.select("point_id", "name"), "point_id", "left").select("point_id.*", "name")
+    return propagate(reaches.join(vote(met).select("reach_id", "name"), "reach_id", "left"))

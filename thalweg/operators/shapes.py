@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 POINT = "struct<lon:double,lat:double>"
@@ -24,10 +25,10 @@ def _inside(ring: Column, lon: Column, lat: Column) -> Column:
     return F.size(F.filter(F.transform(ring, crosses), lambda c: c)) % 2 == 1
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, step: float = 4.0) -> DataFrame:
+def containing(points: DataFrame, polygons: DataFrame, step: float = 4.0) -> DataFrame:
     """points: point_id, lon, lat; polygons: poly_id, rings array<array<struct<lon,lat>>>, the first ring outside, others
-    holes. Returns point_id, poly_id: the smallest poly_id that holds the point, null if none does. An equi-join on square
-    buckets that a polygon's box touches, then the exact test, all in the JVM. A null or empty polygon holds nothing."""
+    holes. Returns point_id, poly_id for every polygon that holds the point. An equi-join on square buckets that a polygon's
+    box touches, then the exact test, all in the JVM. A null or empty polygon holds nothing."""
     outer = F.get("rings", F.lit(0))
     lons, lats = F.transform(outer, lambda p: p["lon"]), F.transform(outer, lambda p: p["lat"])
     box = polygons.where(F.size(outer) >= 3).select("poly_id", "rings", F.array_min(lons).alias("x0"), F.array_max(lons).alias("x1"), F.array_min(lats).alias("y0"), F.array_max(lats).alias("y1"))
@@ -36,10 +37,78 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, step: float = 4.0)
     spots = points.select("point_id", "lon", "lat", cell(F.col("lon")).alias("bx"), cell(F.col("lat")).alias("bky"))
     met = spots.join(box, ["bx", "bky"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
     hole = F.exists(F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0))), lambda r: _inside(r, F.col("lon"), F.col("lat")))
-    held = met.where(_inside(F.get("rings", F.lit(0)), F.col("lon"), F.col("lat")) & ~hole).groupBy("point_id").agg(F.min("poly_id").alias("poly_id"))
+    return met.where(_inside(F.get("rings", F.lit(0)), F.col("lon"), F.col("lat")) & ~hole).select("point_id", "poly_id")
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, step: float = 4.0) -> DataFrame:
+    """Returns point_id, poly_id: the smallest poly_id that holds the point (see containing()), null if none does."""
+    held = containing(points, polygons, step).groupBy("point_id").agg(F.min("poly_id").alias("poly_id"))
     return points.select("point_id").join(held, "point_id", "left")
 
 
+def _to_edge(p: Column, q: Column, lon: Column, lat: Column) -> Column:
+    """The distance of a point to the segment from p to q, in degrees."""
+    dx, dy = q["lon"] - p["lon"], q["lat"] - p["lat"]
+    t = F.coalesce(F.try_divide((lon - p["lon"]) * dx + (lat - p["lat"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return F.hypot(lon - p["lon"] - t * dx, lat - p["lat"] - t * dy)
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float) -> DataFrame:
+    """Returns point_id, poly_id, d: the nearest polygon within `reach` degrees, d being 0 inside it, the smallest poly_id on
+    ties; points without one are left out. Edges go to the square buckets that their boxes, widened by the reach, touch."""
+    inside = containing(points, polygons).select("point_id", "poly_id", F.lit(0.0).alias("d"))
+    ring = F.explode("rings").alias("ring")
+    edge = F.explode(F.transform("ring", lambda p, i: F.struct(p.alias("p"), F.get(F.col("ring"), F.pmod(i + 1, F.size("ring"))).alias("q"))))
+    edges = polygons.where("rings is not null").select("poly_id", ring).where(F.size("ring") > 0).select("poly_id", edge.alias("e"))
+    cell = lambda v: F.floor(v / reach)
+    span = lambda c: F.explode(F.sequence(cell(F.least(F.col(f"e.p.{c}"), F.col(f"e.q.{c}")) - reach), cell(F.greatest(F.col(f"e.p.{c}"), F.col(f"e.q.{c}")) + reach)))
+    edges = edges.withColumn("bx", span("lon")).withColumn("bky", span("lat"))
+    met = points.select("point_id", "lon", "lat", cell(F.col("lon")).alias("bx"), cell(F.col("lat")).alias("bky")).join(edges, ["bx", "bky"])
+    near = met.withColumn("d", _to_edge(F.col("e")["p"], F.col("e")["q"], F.col("lon"), F.col("lat"))).where(F.col("d") <= reach).select("point_id", "poly_id", "d")
+    best = inside.union(near).groupBy("point_id").agg(F.min(F.struct("d", "poly_id")).alias("b"))
+    return best.select("point_id", "b.poly_id", "b.d")
+
+
+def nearest_line(points: DataFrame, vertices: DataFrame, reach: float) -> DataFrame:
+    """points: point_id, lon, lat; vertices of lines: owner, seq, lon, lat. Returns point_id, owner, d: the nearest line (by its
+    segments) within `reach` degrees, the smallest owner on ties; points without one are left out."""
+    way = W.partitionBy("owner").orderBy("seq")
+    q = F.struct(F.lead("lon").over(way).alias("lon"), F.lead("lat").over(way).alias("lat"))
+    edges = vertices.select("owner", F.struct("lon", "lat").alias("p"), q.alias("q")).where("q.lon is not null")
+    cell = lambda v: F.floor(v / reach)
+    span = lambda c: F.explode(F.sequence(cell(F.least(F.col(f"p.{c}"), F.col(f"q.{c}")) - reach), cell(F.greatest(F.col(f"p.{c}"), F.col(f"q.{c}")) + reach)))
+    edges = edges.withColumn("bx", span("lon")).withColumn("bky", span("lat"))
+    met = points.select("point_id", "lon", "lat", cell(F.col("lon")).alias("bx"), cell(F.col("lat")).alias("bky")).join(edges, ["bx", "bky"])
+    near = met.withColumn("d", _to_edge(F.col("p"), F.col("q"), F.col("lon"), F.col("lat"))).where(F.col("d") <= reach)
+    return near.groupBy("point_id").agg(F.min(F.struct("d", "owner")).alias("b")).select("point_id", "b.owner", "b.d")
+
+
+def area(ring: Column) -> Column:
+    """The area of a ring in square degrees, whichever way it runs."""
+    n = F.size(ring)
+    parts = F.transform(ring, lambda p, i: p["lon"] * F.get(ring, F.pmod(i + 1, n))["lat"] - F.get(ring, F.pmod(i + 1, n))["lon"] * p["lat"])
+    return F.abs(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)) / 2
+
+
+def middle(rings: Column) -> Column:
+    """struct lon, lat: the mean of the vertices of the ring that has most of them, the first on ties; null without rings."""
+    most = F.array_max(F.transform(rings, lambda r: F.size(r)))
+    ring = F.get(F.filter(rings, lambda r: F.size(r) == most), F.lit(0))
+    mean = lambda c: F.aggregate(F.transform(ring, lambda p: p[c]), F.lit(0.0), lambda a, b: a + b) / F.size(ring)
+    return F.when(most > 0, F.struct(mean("lon").alias("lon"), mean("lat").alias("lat")))
+
+
+def dry_runs(vertices: DataFrame, wet: str) -> DataFrame:
+    """vertices: owner, seq, and a boolean column `wet`. The runs of vertices that are not wet, of two or more: owner, run (from
+    0), seq, and all other columns; null counts as dry."""
+    dry = ~F.coalesce(F.col(wet), F.lit(False))
+    way = W.partitionBy("owner").orderBy("seq")
+    out = vertices.withColumn("__island", F.row_number().over(way) - F.row_number().over(W.partitionBy("owner", dry).orderBy("seq"))).where(dry)
+    out = out.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("owner", "__island"))).where("__n > 1")
+    return out.withColumn("run", F.dense_rank().over(W.partitionBy("owner").orderBy("__island")) - 1).drop("__island", "__n")
+
+
 def _scaled(max_deg: float, points: DataFrame, vertices: DataFrame) -> DataFrame:
     """Pairs within max_deg of each other, longitudes scaled by the cosine of the point's latitude (so buckets across are as
     many as that latitude needs): point columns, owner, seq, d."""
