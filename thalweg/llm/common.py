@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,6 +95,13 @@ def numbered(scratch: Scratch, docs: DataFrame, name: str) -> DataFrame:
     return scratch.save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, so few at a time that what is made of them is small beside the batch."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, looked_up
+from .common import Scratch, looked_up, slices
 
 WINDOW, DIVISOR, MOST_LINES = 2, 3, 64
 #: Rows that a worker takes apart together; units of one digest that a task takes.
@@ -66,13 +66,6 @@ def _split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, so few at a time that their lines and units are small beside the batch."""
-    for b in batches:
-        for s in range(0, b.num_rows, SLICE):
-            yield b.slice(s, SLICE)
-
-
 def chunk_units(lines: list[bytes]) -> list[tuple[int, int]]:
     """The chunks of two or more lines."""
     return [(s, e) for s, e in chunk_lines(lines) if e - s > 1] if len(lines) > 1 else []
@@ -108,7 +101,7 @@ def unit_table(docs: DataFrame, units: Callable[[list[bytes]], list[tuple[int, i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches, SLICE):
             at, i, j, h1, h2 = [], [], [], [], []
             for row, text in enumerate(b.column("text").to_pylist()):
                 lines = _split(text) if text else []
@@ -126,7 +119,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches, SLICE):
             at, found, body = [], [], []
             for row, (text, chunks) in enumerate(zip(b.column("text").to_pylist(), b.column("chunks").to_pylist(), strict=True)):
                 lines = _split(text)
@@ -145,7 +138,7 @@ def _without(docs: DataFrame, whole: bool) -> DataFrame:
     names, removed = docs.columns, REMOVED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches, SLICE):
             texts, gone = b.column("text"), b.column(removed).to_pylist()
             n = [0] * b.num_rows
             if any(gone):

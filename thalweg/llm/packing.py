@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 from .tokens import Encoder
 
 CAPACITY = 2048
 #: Lengths of a pattern at most, and pieces of up to so many tokens that are held back for the gaps.
 TRIES = ((4, 64), (4, 256), (3, 128), (6, 0))
 ROWS_PER_BUCKET = 50_000
+#: Rows that a worker takes from a batch together.
+SLICE = 1_000
 
 
 def pieces(docs: DataFrame, path: str, kind: str, end: int, capacity: int = CAPACITY) -> DataFrame:
@@ -42,7 +44,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end: int, capacity: int = CAPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stop = Encoder.of(path, kind), np.array([end], "<u4")
-        for b in batches:
+        for b in slices(batches, SLICE):
             at, piece, start, length, crc = [], [], [], [], []
             for i, x in encoder.encode(b.column("text").to_pylist()):
                 own = np.concatenate([x.astype("<u4"), stop])

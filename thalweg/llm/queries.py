@@ -23,7 +23,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = warc.archive(spark, table(spark, sf_dir, "pages"))
+    back = warc.archive(spark, table(spark, sf_dir, "pages"), payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
@@ -54,7 +54,7 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = tokenfile.encode_documents(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    back = tokenfile.encode_documents(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ids_too=False)
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, file_system, key_ranges
+from .common import Scratch, file_system, key_ranges, slices
 from .shards import ShardFile, commit, with_starts
 from .tokens import Encoder
 
@@ -70,7 +70,7 @@ def tokenise(docs: DataFrame, path: str, kind: str, end: int, dtype: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stop = Encoder.of(path, kind), np.array([end], "<u4")
-        for b in batches:
+        for b in slices(batches, SLICE):
             texts, ids = b.column("text").to_pylist(), b.column("doc_id")
             n, crc, raw, size, first = [], [], [], 0, 0
             for i, x in encoder.encode(texts):
@@ -119,7 +119,7 @@ def write(spark: SparkSession, tokens: DataFrame, root: str, dtype: str, ids_per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: ShardFile | None = None
         held, shard, docs, ids, waiting = [], 0, 0, 0, 0
-        for b in (b.slice(s, SLICE) for b in batches for s in range(0, b.num_rows, SLICE)):
+        for b in slices(batches, SLICE):
             for shard, k, n, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n", "ids")), strict=True):
                 out = out or ShardFile(root, f"ids-{shard:08d}.bin")
                 held.append((k, n, raw))
@@ -144,8 +144,10 @@ def write(spark: SparkSession, tokens: DataFrame, root: str, dtype: str, ids_per
     return rows
 
 
-def read(spark: SparkSession, root: str, listed: DataFrame, id_kind: str = "bigint") -> DataFrame:
-    """listed: the manifest. doc_id, start, n_tokens, ids_crc32, ids of every document in the files, a task for each file."""
+def read(spark: SparkSession, root: str, listed: DataFrame, id_kind: str = "bigint", ids_too: bool = True) -> DataFrame:
+    """listed: the manifest. doc_id, start, n_tokens, ids_crc32, and ids (uint32 bytes) if ids_too, of every document in the
+    files, a task for each file."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids_too else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = file_system(root)
@@ -164,21 +166,21 @@ def read(spark: SparkSession, root: str, listed: DataFrame, id_kind: str = "bigi
                         ends = np.cumsum(sizes)
                         own = [ids[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([None if z else k for k, z in zip(keys, null, strict=True)], pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
-                            ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                            [pa.array([None if z else k for k, z in zip(keys, null, strict=True)], pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64()), *([pa.array(own, pa.binary())] if ids_too else [])],
+                            names,
                         )
                         start += n
 
     tasks = max(1, listed.count())
     files = with_starts(listed, "shard", "ids").select("name", "start").repartition(tasks)
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary").withColumn("doc_id", F.col("doc_id").cast(id_kind))
+    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, ids_crc32 long{', ids binary' if ids_too else ''}").withColumn("doc_id", F.col("doc_id").cast(id_kind))
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, path: str, kind: str = "word", end: int = 1) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, path: str, kind: str = "word", end: int = 1, ids_too: bool = True) -> DataFrame:
     """Tokenizes, writes the files into the shared folder, and reads them back."""
     scratch = Scratch(spark, "tokenfile")
     dtype = id_type(path)
     tokens = scratch.save(tokenise(docs, path, kind, end, dtype), "tokens")
     rows = write(spark, tokens, scratch.path("files"), dtype)
     scratch.drop("tokens")
-    return read(spark, scratch.path("files"), rows, docs.schema["doc_id"].dataType.simpleString())
+    return read(spark, scratch.path("files"), rows, docs.schema["doc_id"].dataType.simpleString(), ids_too)

@@ -19,9 +19,9 @@ import numpy as np
 
 from .shingles import mix64
 
-KEEP = 700_000
+KEEP = 250_000
 #: Bytes looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Unicode white space beyond ASCII. Fixed values.
 _OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
 _BREAK = 255  # in no UTF-8 text

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, file_system, key_ranges
+from .common import Scratch, file_system, key_ranges, slices
 from .shards import ShardFile, commit
 
 DATE, LEAST, LEVEL = "2020-01-01T00:00:00Z", 100, 3
@@ -130,8 +130,7 @@ def write(spark: SparkSession, pages: DataFrame, root: str, date: str = DATE, fi
                 out.close()
                 yield pa.RecordBatch.from_pylist([{"temporary": out.temporary, "name": out.name, "shard": shard, "records": records, "bytes": out.size}], schema)
 
-        slices = (b.slice(s, SLICE) for b in batches for s in range(0, b.num_rows, SLICE))
-        for b in slices:
+        for b in slices(batches, SLICE):
             for shard, page, url, html, size, digest, refers in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "size", "digest", "refers")), strict=True):
                 if refers is not None:
                     note = (page, url, digest), refers
@@ -149,10 +148,11 @@ def write(spark: SparkSession, pages: DataFrame, root: str, date: str = DATE, fi
     return commit(root, dealt.mapInArrow(run, "temporary string, name string, shard int, records long, bytes long"))
 
 
-def read(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
-    """listed: the manifest. page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record in
-    the archives, a task for each file."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+def read(spark: SparkSession, root: str, listed: DataFrame, payloads: bool = True) -> DataFrame:
+    """listed: the manifest. page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload if `payloads`, of
+    every record in the archives, a task for each file. Lengths and digests are checked in any case."""
+    more = [("payload", pa.binary())] if payloads else []
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = file_system(root)
@@ -161,8 +161,8 @@ def read(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
                 with fs.open_input_stream(f"{top}/{name}", compression=None) as f:
                     held, size = [], 0
                     for data in _members(f):
-                        held.append(parse(data))
-                        size += len(data)
+                        held.append(parse(data) if payloads else {k: v for k, v in parse(data).items() if k != "payload"})
+                        size += len(data) if payloads else 1000
                         if size > 1 << 23:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0
@@ -170,10 +170,10 @@ def read(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(held, schema)
 
     tasks = max(1, listed.count())
-    return listed.select("name").repartition(tasks).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return listed.select("name").repartition(tasks).mapInArrow(run, f"page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long{', payload binary' if payloads else ''}")
 
 
-def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def archive(spark: SparkSession, pages: DataFrame, payloads: bool = True) -> DataFrame:
     """Writes the archives into the shared folder and reads them back."""
     root = Scratch(spark, "warc").path("archives")
-    return read(spark, root, write(spark, pages, root))
+    return read(spark, root, write(spark, pages, root), payloads)
