@@ -25,11 +25,10 @@ SPELLINGS = {
     "modeled": "modelled", "modeling": "modelling", "offense": "offence", "optimize": "optimise",
     "organization": "organisation", "organize": "organise", "practice": "practise", "program": "programme", "realize": "realise",
     "recognize": "recognise", "signaling": "signalling", "utilization": "utilisation", "while": "whilst", "wilfull": "wilful",
+    "https": "http", "noncommercial": "non commercial", "owner": "holder", "owners": "holders", "percent": "per cent", "sublicence": "sub licence",
+    "sublicense": "sub licence", "sublicensed": "sub licenced", "sublicenses": "sub licences", "sublicensing": "sub licensing",
 }
 
-# The same for pairs of words, as (pattern, replacement), after single words.
-PAIRS = ((r"\bcopyright owner", "copyright holder"), (r"\bnon commercial", "noncommercial"), (r"\bsub licen", "sublicen"), (r"\bper cent\b", "percent"), (r"\bhttps www ", "http www "))
-
 # Texts of known licences, without their copyright lines.
 _MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 _MIT_DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -54,31 +53,31 @@ KNOWN = {
 
 # SHA-256 of the canonical forms of longer licences, as published with common distributions.
 DIGESTS = {
-    "Apache-2.0": "8f19db2e254d576357305e1329daf17946f0692c2b87362ae612e0a3519317a4",
-    "Apache-2.0 (terms only)": "facc6727e958fd1e43825c8c16e092a674b849277d600b6f9e66c2536ed01aad",
-    "Apache-2.0 (terms)": "7c252a86b1a406e952bc42418298ce85667c18014fa47f3d00d4b4e3b4885e12",
+    "Apache-2.0": "34d468f911c9677f3ccf5df383f43f03f2983b72765e02730c65e52df2f6b17a",
+    "Apache-2.0 (terms only)": "ab10da7ce2b99967e861ac8f106f2328e347a8041c34d157f259e85c80e23261",
+    "Apache-2.0 (terms)": "03f4f4255290173e2d06703e59eabf41771525f53b2fc722c8b7737fef7b6b38",
     "Artistic-1.0-Perl": "c784e0da5405a00ec2f4d4e49af5461b756a0e0466993da83ea3d23f64a70c98",
-    "CC0-1.0": "400db3ed80e146737970d3ff856f201f0206119c2851164504a236a6893f845a",
-    "GFDL-1.2": "f2510dc104df18efc51f0d468abfad8298fd1c83cd86f9733e000407fd9223d8",
-    "GFDL-1.3": "64189a54fa8de80345ed79ab76d79fff3a4dc19ee9ebd1e62890067a97df9a3c",
-    "GPL-1.0": "523e52a4ffad19e71f27a740835920ebdb9eb526538e1a84b7d36980aa12924e",
-    "GPL-1.0 (terms only)": "0cb4cb7c9f55e390d2f6dcf477e8182344c5aad6aa8f271afbb53a411e2b03c3",
-    "GPL-1.0 (terms)": "eb22210e2fd0b3fd4a4a6f050bf4233b2d7eb018828f2791b7964581b69c2836",
-    "GPL-2.0": "3a272e263c7bded78aa749cbf0f7b165e0e5bf568c9ef947978d2aeeb4b31d38",
-    "GPL-2.0 (terms only)": "0834184975230e2239a701a0c74763244150997dc178e6899222fb7ce43e7526",
-    "GPL-2.0 (terms)": "39d39b7a7929feaf6e308ade83346e15278441a4fe1ab14070402ad62f38d236",
-    "GPL-3.0": "ede6dd233bf91b757e59c6e918946b55b3ca5fc5f6aed8ff8d6bebf4d7d630eb",
-    "GPL-3.0 (terms only)": "e90d5ed1fcc1c7e435617f04800690cb09547056dbe385930334c314851a9d17",
-    "GPL-3.0 (terms)": "51e2c326a7dd23c5ac8b29b807fba92125ef4cc360b5b6c821737b396ebef265",
-    "LGPL-2.0": "d88a727cef93d3ea2c06cddc81ae2dfeb5cd843698112a51defdb65ccca733d1",
-    "LGPL-2.0 (terms only)": "3c28269c5178aa1ddf68568b076b72dda9fcc87dcc3f01a9d59c7c092a5638e5",
-    "LGPL-2.0 (terms)": "1b8af205096c58457fb1818927b3a8f799152e56a174b679685ba40e44bc9065",
-    "LGPL-2.1": "f5e3c5dabf8daca3bd03c5dae46e69f04969113f31046a826a4643d734d30d62",
-    "LGPL-2.1 (terms only)": "355d4d6eeeb7930211ba7bb84b7ca283ff2994d1bc5e96963c6c0180984d86af",
-    "LGPL-2.1 (terms)": "a59d02adbbf3ab570877b2691082050b29b58419f8a666f2fe56764e6553a87a",
+    "CC0-1.0": "c0a61b376872966900679abb3ebd3a084b202332acbc7b5c91c9d724768c5a88",
+    "GFDL-1.2": "6f5276b3e493a4f0c673115464f9d170d6297349824d56dd0ffc904b85b414e9",
+    "GFDL-1.3": "654e6a469b9c4ffdcb455961e36c8103a5f3c32297982f7afc46e57d1fdeddad",
+    "GPL-1.0": "bb8b1773592fefb979dc35641aed7c19069610238a530d5a74649238b225f046",
+    "GPL-1.0 (terms only)": "9ac75ade4900db333c54a073d6ec9d2a845ff6ace557dd57e57d7a7a845d8db3",
+    "GPL-1.0 (terms)": "5a109269d350af0dbc0f93771c14e18b0b95f625cafbf903df767622cbb9f907",
+    "GPL-2.0": "2680e9ce76ec25d530eb1ec63ba9cf9260889e39eb80bd5ed0ad08379cceb94c",
+    "GPL-2.0 (terms only)": "cf822330359204d95f389dbd53ad4eadd377f5d601d494a214c887d13fa00884",
+    "GPL-2.0 (terms)": "f525b519478650a85948b2336ebc95535975c60f9fb5cfb8be9c0f4ddd557adb",
+    "GPL-3.0": "f3a97601b288bf40c74e2a1d42fe482e93265c2fbad41c5af36d1ed9eb5c7eca",
+    "GPL-3.0 (terms only)": "8e4f4d808c97b9eba19fb2b45a00d5397017c7fe03c2855b860d9b9cc37d61da",
+    "GPL-3.0 (terms)": "365d5dad9460d88b866fd2a2327f90a283b78fffd69cf23ac12dd05c58c22518",
+    "LGPL-2.0": "280dbb7ff57d57641d9b8550a0b73280579a01e326a165898ecae679612576c7",
+    "LGPL-2.0 (terms only)": "2730741337eca0090ec6932482e5d74fa7caba6de15efd26bd43afbc686f534b",
+    "LGPL-2.0 (terms)": "b48e8a91ba761013282ea0d09c31d5fde33679b3c799471205c09ddf78453c0b",
+    "LGPL-2.1": "13e15ddb02ee150c68720a5e2e513ca7a44520c2786eca058b10ce2a92724c44",
+    "LGPL-2.1 (terms only)": "4f6e434ec8ed6fd73f47498f0159bae74538b334b59f6c9a9a2b61b4b5d55867",
+    "LGPL-2.1 (terms)": "a468b8b6d15cb3df8d275676e680c8005483217b8df038c6852d9988a989ea19",
     "LGPL-3.0": "7d6e51c6bb80fc7a025c16e64157adf9c280c58dee4c4b2bf73e596166a2a08f",
-    "MPL-1.1": "9bc9a8175b1fda6c365b3ff26e8e2c20df763a75979b06e058564b4db5c7d650",
-    "MPL-2.0": "b97f4eb65eb1ad025282b7788ebd11c0e7d0df61e1e5a1721a50e629794625f8",
+    "MPL-1.1": "ea4b7e0c894f0093ff1e0bd614c173f7c0a2764587d5dba15503ddf97a73d022",
+    "MPL-2.0": "44c665f5cf6527017e026a9f619d691dadb5acd6f984359e97249d402a6ad7af",
 }
 
 #: Both engines read these alike: lines that state a copyright, what is neither letter nor digit, and titles.
@@ -91,10 +90,8 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text; '' for null."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, ""), OTHER, " ")
     same = F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv])
-    words = F.transform(F.split(F.trim(plain), " "), lambda w: F.coalesce(F.try_element_at(same, w), w))
+    words = F.transform(F.split(F.trim(plain), " "), lambda w: F.when(w.isin(*SPELLINGS), F.try_element_at(same, w)).otherwise(w))
     out = F.array_join(words, " ")
-    for pattern, one in PAIRS:
-        out = F.regexp_replace(out, pattern, one)
     return F.regexp_replace(out, TITLE, "")
 
 
@@ -128,8 +125,6 @@ def canonical_sql(text: str) -> str:
     keys, values = ", ".join(map(_quoted, SPELLINGS)), ", ".join(map(_quoted, SPELLINGS.values()))
     plain = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT)}, '', 'g'), {_quoted(OTHER)}, ' ', 'g')"
     out = f"array_to_string(list_transform(string_split(trim({plain}), ' '), lambda w: coalesce(map([{keys}], [{values}])[w], w)), ' ')"
-    for pattern, one in PAIRS:
-        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(one)}, 'g')"
     return f"regexp_replace({out}, {_quoted(TITLE)}, '')"
 
 
