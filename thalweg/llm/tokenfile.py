@@ -70,7 +70,7 @@ def tokenise(docs: DataFrame, path: str, kind: str, end: int, dtype: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stop = Encoder.of(path, kind), np.array([end], "<u4")
-        for b in slices(batches, SLICE):
+        for b in slices(batches, 4 * SLICE):
             texts, ids = b.column("text").to_pylist(), b.column("doc_id")
             n, crc, raw, size, first = [], [], [], 0, 0
             for i, x in encoder.encode(texts):

@@ -19,7 +19,7 @@ import numpy as np
 
 from .shingles import mix64
 
-KEEP = 250_000
+KEEP = 500_000
 #: Bytes looked at together.
 CHUNK = 1 << 19
 #: Unicode white space beyond ASCII. Fixed values.
