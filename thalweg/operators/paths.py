@@ -85,8 +85,8 @@ def named(paths: DataFrame, reaches: DataFrame | None = None, countries: DataFra
 def tributaries(paths: DataFrame, reaches: DataFrame | None = None, top: int = 6) -> DataFrame:
     """Where the area of a path jumps by more than 25 km2 and 8 %: drop_id, rank, step, dist, gain, lon, lat, the `top` largest
     a path, the first on ties; and with reaches their name, where a reach near by drains about that much."""
-    before = F.lag("area").over(order())
-    met = paths.withColumn("gain", F.col("area") - before).where(F.col("gain") > F.greatest(F.lit(25.0), before * 0.08))
+    met = paths.withColumn("__before", F.lag("area").over(order())).withColumn("gain", F.col("area") - F.col("__before"))
+    met = met.where(F.col("gain") > F.greatest(F.lit(25.0), F.col("__before") * 0.08))
     rank = F.row_number().over(W.partitionBy("drop_id").orderBy(F.desc("gain"), "step"))
     met = met.withColumn("rank", rank).where(F.col("rank") <= top).select("drop_id", "rank", "step", "dist", "gain", *(c for c in ("lon", "lat") if c in paths.columns))
     if reaches is None:

@@ -1,8 +1,9 @@
 """All queries by name, and the same in DuckDB's SQL where it can say them.
 
 The driver's tables hold no rasters, so the queries derive a grid, classes, countries and drops from orders and events by
-arithmetic. Flow operators are DataFrame code (operators.flow); what follows from their tables is SQL that both engines
-read, in which {name} stands for a derived table: a DataFrame in Spark, a subquery in DuckDB."""
+arithmetic. Queries call the library, and their oracles are SQL of their own (core, surface, hydrology); plain joins and
+groupings are statements that both engines read. In SQL {name} stands for a derived table: a DataFrame in Spark, a
+subquery in DuckDB."""
 
 from __future__ import annotations
 
@@ -12,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
-from ..operators import flow
-from . import hydrology
+from . import core, hydrology, surface
 from .statements import STATEMENTS
 from .tables import BASE, Tables, duck
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(hydrology.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(hydrology.ORACLE_SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = core.QUERIES | surface.QUERIES | hydrology.QUERIES
+ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | surface.ORACLE_SQL | hydrology.ORACLE_SQL
 
 
 def _statement(name: str, text: str) -> None:
@@ -27,27 +27,8 @@ def _statement(name: str, text: str) -> None:
 
 
 for _name, _text in STATEMENTS.items():
-    _statement(_name, _text)
-_statement("d8_directions", "SELECT cell_id, dir, coalesce(parent_id, -1) AS parent_id FROM {edges}")
-_statement("flow_accumulation", "SELECT cell_id, acc FROM {acc}")
-_statement("terminal_labels", "SELECT cell_id, term FROM {term}")
-_statement("trace_paths", "SELECT drop_id, step, cell_id FROM {path}")
-
-
-def runoff_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    out = flow.accumulate(t("edges"), t("cells").select("cell_id", (F.col("z") % 17 + 1).cast("long").alias("weight")))
-    return out.select("cell_id", F.col("acc").alias("runoff"))
-
-
-def watershed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    return flow.catchment(t("edges"), t("outlet_points"))
-
-
-def strahler_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    return flow.strahler(t("edges"), t("acc"), 3)
+    if _name not in QUERIES:
+        _statement(_name, _text)
 
 
 def lonlat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +39,7 @@ def lonlat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cell_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), *back, F.round(g.cell_size(F.col("py"), 8), 4).alias("size_m"), F.round(g.haversine(F.col("lon"), F.col("lat"), F.lit(10.0), F.lit(50.0)), 3).alias("dist_m"))
 
 
-QUERIES |= {f.__name__: f for f in (runoff_accumulation, watershed_cells, strahler_order, lonlat_pixels)}
-ORACLE_SQL["runoff_accumulation"] = duck("SELECT a.up AS cell_id, CAST(sum(c.z % 17 + 1) AS BIGINT) AS runoff FROM {closure} a JOIN {cells} c ON c.cell_id = a.cell_id GROUP BY a.up")
-ORACLE_SQL["watershed_cells"] = duck("SELECT o.outlet_id, a.cell_id FROM {outlet_points} o JOIN {closure} a ON a.up = o.outlet_id")
+QUERIES["lonlat_pixels"] = lonlat_pixels
 ORACLE_SQL["lonlat_pixels"] = duck("""
     WITH c AS (SELECT cell_id, 36352 + x AS px, 19968 + y AS py FROM {cells}),
     l AS (SELECT *, (px + 0.5) / 65536.0 * 360.0 - 180.0 AS lon, degrees(atan(sinh(pi() * (1 - 2 * (py + 0.5) / 65536.0)))) AS lat FROM c)

@@ -2,36 +2,68 @@
 
 from __future__ import annotations
 
+_GRID = """(SELECT o_orderkey AS cell_id, o_custkey, o_orderkey % w AS x, o_orderkey DIV w AS y, w, (n - 1) DIV w AS bottom FROM {orders}
+            CROSS JOIN (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w, count(*) AS n FROM {orders}) n)"""
+_BORDER = "x = 0 OR y = 0 OR x = w - 1 OR y = bottom"
+_OFFSETS = "(1,1,0,1.0::DOUBLE),(2,1,1,1.41421356::DOUBLE),(3,0,1,1.0::DOUBLE),(4,-1,1,1.41421356::DOUBLE),(5,-1,0,1.0::DOUBLE),(6,-1,-1,1.41421356::DOUBLE),(7,0,-1,1.0::DOUBLE),(8,1,-1,1.41421356::DOUBLE)"
+
+
+def _descent(cells: str) -> str:
+    """Directions over a table of cells with z and terminal: a cell of the border, which has less than eight neighbours, or a
+    terminal one has none."""
+    return f"""
+        WITH c AS MATERIALIZED ({cells}), o(k, dx, dy, len) AS (VALUES {_OFFSETS}),
+        b AS (SELECT c.cell_id, o.k, m.cell_id AS nid, c.z - m.z AS fall, count(*) OVER (PARTITION BY c.cell_id) AS around,
+                row_number() OVER (PARTITION BY c.cell_id ORDER BY CASE WHEN m.z < c.z THEN (c.z - m.z) / o.len ELSE -1 END DESC, o.k) AS r
+            FROM c CROSS JOIN o JOIN c m ON m.cell_id = c.cell_id + o.dx + o.dy * c.w WHERE NOT c.terminal AND c.x + o.dx BETWEEN 0 AND c.w - 1)
+        SELECT c.cell_id, CAST(coalesce(b.k, 0) AS INTEGER) AS dir, b.nid AS parent_id FROM c LEFT JOIN b ON b.cell_id = c.cell_id AND b.r = 1 AND b.around = 8 AND b.fall > 0"""
+
+
+def _closure(edges: str) -> str:
+    return f"""
+        WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), r(cell_id, up, step) AS (SELECT cell_id, cell_id, 0 FROM e UNION ALL
+            SELECT r.cell_id, e.parent_id, r.step + 1 FROM r JOIN e ON e.cell_id = r.up WHERE e.parent_id IS NOT NULL) SELECT * FROM r"""
+
+
+def _paths(edges: str) -> str:
+    return f"""
+        WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), r(drop_id, step, cell_id) AS (SELECT drop_id, CAST(0 AS BIGINT), cell_id FROM {{drops}} UNION ALL
+            SELECT r.drop_id, r.step + 1, e.parent_id FROM r JOIN e ON e.cell_id = r.cell_id WHERE e.parent_id IS NOT NULL) SELECT drop_id, step, cell_id FROM r"""
+
+
 #: Tables that statements start from. Those that operators make in Spark are written here as DuckDB makes them.
 DERIVED = {
-    "cells": """
-        SELECT cell_id, x, y, z, w, CASE WHEN x = 0 OR y = 0 OR x = w - 1 OR y = w - 1 THEN 4 WHEN x >= w - 4 THEN 1
-            WHEN (x DIV 8 + y DIV 8) % 11 = 0 THEN 2 WHEN x < 4 AND y < 4 THEN 5 ELSE 0 END AS cls, (x DIV 25 + 3 * (y DIV 25)) % 25 AS nation
-        FROM (SELECT o_orderkey AS cell_id, o_orderkey % w AS x, o_orderkey DIV w AS y, w,
-                (w - o_orderkey % w) * 1000 + (w - o_orderkey DIV w) * 700 + (o_custkey * 37 + o_orderkey * 11) % 900 AS z
-            FROM {orders} CROSS JOIN (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM {orders}) n WHERE o_orderkey < w * w) c""",
-    "edges": """
-        WITH c AS MATERIALIZED (SELECT * FROM {cells}),
-        o(k, dx, dy, len) AS (VALUES (1,1,0,1.0::DOUBLE),(2,1,1,1.41421356::DOUBLE),(3,0,1,1.0::DOUBLE),(4,-1,1,1.41421356::DOUBLE),(5,-1,0,1.0::DOUBLE),(6,-1,-1,1.41421356::DOUBLE),(7,0,-1,1.0::DOUBLE),(8,1,-1,1.41421356::DOUBLE)),
-        a AS MATERIALIZED (SELECT c.cell_id, c.z, o.k, o.len, c.cell_id + o.dx + o.dy * c.w AS nid FROM c, o WHERE c.x > 0 AND c.y > 0 AND c.x < c.w - 1 AND c.y < c.w - 1),
-        b AS (SELECT a.cell_id, a.k, a.nid, row_number() OVER (PARTITION BY a.cell_id ORDER BY (a.z - n.z) / a.len DESC, a.k) AS r FROM a JOIN c n ON n.cell_id = a.nid WHERE n.z < a.z)
-        SELECT c.cell_id, CAST(coalesce(b.k, 0) AS INTEGER) AS dir, b.nid AS parent_id FROM c LEFT JOIN b ON b.cell_id = c.cell_id AND b.r = 1""",
-    "closure": """
-        WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), r(cell_id, up, step) AS (SELECT cell_id, cell_id, 0 FROM e UNION ALL
-            SELECT r.cell_id, e.parent_id, r.step + 1 FROM r JOIN e ON e.cell_id = r.up WHERE e.parent_id IS NOT NULL) SELECT * FROM r""",
+    # a slope with long paths, and a rough grid with pits and all directions, which is filled first; every order is a cell
+    "cells": f"""
+        SELECT cell_id, x, y, (w - x) * 1000 + (w - y) * 700 + (o_custkey * 37 + cell_id * 11) % 900 AS z, w, CASE WHEN x >= w - 4 THEN 1 WHEN {_BORDER} THEN 4
+            WHEN (x DIV 8 + y DIV 8) % 11 = 0 THEN 2 WHEN x < 4 AND y < 4 THEN 5 ELSE 0 END AS cls, (x DIV 25 + 3 * (y DIV 25)) % 25 AS nation, x >= w - 4 OR {_BORDER} AS terminal FROM {_GRID} c""",
+    "rough": f"SELECT cell_id, x, y, (o_custkey * 7919 + cell_id * 104729) % 1009 AS z, w, CASE WHEN x >= w - 4 THEN 1 WHEN {_BORDER} THEN 4 ELSE 0 END AS cls, x >= w - 4 OR {_BORDER} AS terminal FROM {_GRID} c",
+    "filled": """
+        WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {rough}), o(dx, dy) AS (VALUES (1,0),(1,1),(0,1),(-1,1),(-1,0),(-1,-1),(0,-1),(1,-1)),
+        n AS MATERIALIZED (SELECT c.cell_id, CAST(c.z AS FLOAT) AS z, m.cell_id AS nid FROM c CROSS JOIN o JOIN c m ON m.cell_id = c.cell_id + o.dx + o.dy * c.w WHERE NOT c.terminal AND c.x + o.dx BETWEEN 0 AND c.w - 1),
+        f(cell_id, level) USING KEY (cell_id) AS (SELECT cell_id, CAST(z AS FLOAT) FROM c WHERE terminal UNION
+            SELECT s.cell_id, s.level FROM (SELECT n.cell_id, min(CASE WHEN n.z > f.level THEN n.z ELSE f.level + CAST(0.001 AS FLOAT) END) AS level FROM f JOIN n ON n.nid = f.cell_id GROUP BY n.cell_id) s
+            LEFT JOIN recurring.f k ON k.cell_id = s.cell_id WHERE k.level IS NULL OR s.level < k.level)
+        SELECT cell_id, level AS filled FROM f""",
+    "edges": _descent("SELECT * FROM {cells}"),
+    "rough_edges": _descent("SELECT r.cell_id, r.x, r.y, r.w, r.terminal, CAST(f.filled AS DOUBLE) AS z FROM {rough} r JOIN {filled} f ON f.cell_id = r.cell_id"),
+    "closure": _closure("{edges}"),
+    "rough_closure": _closure("{rough_edges}"),
     "acc": "SELECT e.cell_id, a.acc, e.dir, e.parent_id FROM {edges} e JOIN (SELECT up, count(*) AS acc FROM {closure} GROUP BY up) a ON a.up = e.cell_id",
+    "rough_acc": "SELECT e.cell_id, a.acc, e.dir, e.parent_id FROM {rough_edges} e JOIN (SELECT up, count(*) AS acc FROM {rough_closure} GROUP BY up) a ON a.up = e.cell_id",
     "term": "SELECT cell_id, max_by(up, step) AS term FROM {closure} GROUP BY cell_id",
-    "drops": "SELECT event_id AS drop_id, (user_id * 7919 + event_id * 31) % (w * w) AS cell_id FROM {events} CROSS JOIN (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM {orders}) n",
-    "path": """
-        WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), r(drop_id, step, cell_id) AS (SELECT drop_id, CAST(0 AS BIGINT), cell_id FROM {drops} UNION ALL
-            SELECT r.drop_id, r.step + 1, e.parent_id FROM r JOIN e ON e.cell_id = r.cell_id WHERE e.parent_id IS NOT NULL) SELECT drop_id, step, cell_id FROM r""",
+    "rough_term": "SELECT cell_id, max_by(up, step) AS term FROM {rough_closure} GROUP BY cell_id",
+    "drops": "SELECT event_id AS drop_id, (user_id * 7919 + event_id * 31) % n AS cell_id FROM {events} CROSS JOIN (SELECT count(*) AS n FROM {orders}) n",
+    "path": _paths("{edges}"),
+    "rough_path": _paths("{rough_edges}"),
     "outlet_points": "SELECT cell_id AS outlet_id FROM {acc} WHERE acc >= 100",
     "basin": "SELECT t.term AS basin_id, c.* FROM {term} t JOIN {cells} c ON c.cell_id = t.cell_id",
+    "rough_outlets": "SELECT cell_id AS outlet_id FROM {rough_acc} WHERE acc >= 40",
     "place": "SELECT p_partkey AS id, p_name AS name, (p_partkey * 37 % 360) - 180 + (p_size % 10) * 0.013 AS lon, (p_partkey * 53 % 170) - 85 + (p_size % 7) * 0.011 AS lat, p_partkey * p_size AS pop FROM {part}",
     # lengths along the grid: 300 m across, 424 m diagonal; z is in decimetres
     "steps": """
-        SELECT drop_id, step, cell_id, z, cls, nation, acc, sum(d) OVER (PARTITION BY drop_id ORDER BY step) AS dist FROM (
-            SELECT p.drop_id, p.step, p.cell_id, c.z, c.cls, c.nation, a.acc,
+        SELECT drop_id, step, cell_id, x, y, z, cls, nation, acc, sum(d) OVER (PARTITION BY drop_id ORDER BY step) AS dist FROM (
+            SELECT p.drop_id, p.step, p.cell_id, c.x, c.y, c.z, c.cls, c.nation, a.acc,
                 CASE WHEN lag(c.x) OVER (PARTITION BY p.drop_id ORDER BY p.step) IS NULL THEN 0
                     WHEN lag(c.x) OVER (PARTITION BY p.drop_id ORDER BY p.step) <> c.x AND lag(c.y) OVER (PARTITION BY p.drop_id ORDER BY p.step) <> c.y THEN 424 ELSE 300 END AS d
             FROM {path} p JOIN {cells} c ON c.cell_id = p.cell_id JOIN {acc} a ON a.cell_id = p.cell_id) s""",

@@ -5,16 +5,22 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from ..operators import flow
+from .. import api
+from ..functions import geodesy as g
+from ..operators import flood, flow, paths
 from .statements import DERIVED
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: Where the grids lie: zoom and first pixel. Metres of a cell of the slope, and of its diagonal.
+ZOOM, PX, PY, SIDE, DIAGONAL = 8, 28160 + 8192, 13312 + 6656, 300, 424
 
 
 def duck(text: str) -> str:
     """A statement with its derived tables put in, as DuckDB reads it."""
-    for _ in range(8):
+    for _ in range(10):
         for name, body in DERIVED.items():
             text = text.replace("{" + name + "}", f"({body})")
     for name in BASE:
@@ -38,14 +44,45 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name == "edges":
             return flow.cut(flow.d8(self("cells")))
-        if name == "acc":
-            return flow.accumulate(self("edges")).join(self("edges"), "cell_id")
-        if name == "term":
-            return flow.terminals(self("edges"))
-        if name == "path":
-            return flow.trace(self("edges"), self("drops"))
+        if name == "filled":
+            return flow.cut(flood.fill(self("rough").withColumn("seed", F.col("terminal"))))
+        if name == "rough_edges":
+            level = self("rough").drop("z").join(self("filled").select("cell_id", F.col("filled").cast("double").alias("z")), "cell_id")
+            return flow.cut(flow.d8(level))
+        prefix, _, kind = name.rpartition("_")
+        edges = "rough_edges" if prefix == "rough" else "edges"
+        if kind == "acc":
+            return flow.cut(flow.accumulate(self(edges)).join(self(edges), "cell_id"))
+        if kind == "term":
+            return flow.terminals(self(edges))
+        if kind == "path":
+            return flow.trace(self(edges), self("drops"))
+        if name == "steps":
+            return self.steps()
         return self.sql(DERIVED[name])
 
+    def steps(self) -> DataFrame:
+        """Rows of paths with what their cells have; dist is the way so far, in metres."""
+        hop = F.when(F.col("dir") % 2 == 0, F.when(F.col("dir") > 0, DIAGONAL)).otherwise(SIDE)  # to the next cell
+        at = flow.cut(self("cells").join(self("acc"), "cell_id").select("cell_id", "x", "y", "z", "cls", "nation", "acc", hop.cast("long").alias("hop")))
+        before = paths.order().rowsBetween(W.unboundedPreceding, -1)
+        rows = self("path").join(at, "cell_id").withColumn("dist", F.coalesce(F.sum("hop").over(before), F.lit(0)))
+        return rows.select("drop_id", "step", "cell_id", "z", "cls", "nation", "acc", "dist", "x", "y")
+
+    def walked(self) -> DataFrame:
+        """steps() as the operators on paths take them: dist, area (km2) and elev (m) as doubles."""
+        return self("steps").select("drop_id", "step", "cell_id", F.col("dist").cast("double").alias("dist"), (F.col("acc") * 0.09).alias("area"), (F.col("z") / 10.0).alias("elev"), "cls", "nation", "x", "y")
+
+    def engine(self, **more) -> api.Engine:
+        """Queries on the slope."""
+        built = self("cells").join(self("acc"), "cell_id").join(self("term"), "cell_id")
+        return api.Engine(flow.cut(built.select("cell_id", "x", "y", "z", "w", "cls", "nation", "dir", "parent_id", "acc", "term")), ZOOM, PX, PY, **more)
+
+    def points(self) -> DataFrame:
+        """drop_id, lon, lat of the middles of the drops' cells."""
+        at = self("drops").join(self("cells").select("cell_id", "x", "y"), "cell_id")
+        return at.select("drop_id", g.pixel_to_lon(F.col("x") + PX + 0.5, ZOOM).alias("lon"), g.pixel_to_lat(F.col("y") + PY + 0.5, ZOOM).alias("lat"))
+
     def sql(self, text: str) -> DataFrame:
         names = {f for _, f, _, _ in string.Formatter().parse(text) if f}
         return self.spark.sql(text, **{n: self(n) for n in names})
