@@ -156,7 +156,8 @@ def key_ranges(scratch: Scratch, df: DataFrame, key: str, weight: Column, target
     null_splits = int((nulls or 0) // target) + 1 if nulls is not None else 0
     leaves: list[tuple[int, float, bool]] = []
     if lo is not None:
-        shift, heavy = max(1, ((lo ^ _SIGN) ^ (hi ^ _SIGN)).bit_length()), [((lo ^ _SIGN) % 2**64) >> max(1, ((lo ^ _SIGN) ^ (hi ^ _SIGN)).bit_length())]
+        shift = max(1, ((lo ^ hi) % 2**64).bit_length())  # all keys agree in the bits above
+        heavy = [(lo ^ _SIGN) % 2**64 >> shift]
         while heavy:
             step = min(shift, RADIX, max(1, (MOST_BUCKETS // len(heavy)).bit_length() - 1))
             cut = rows.where("u is not null")
