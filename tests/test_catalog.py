@@ -18,7 +18,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["d8_directions", "flow_accumulation", "trace_paths", "watershed_cells", "basin_stats", "journey_steps", "best_near", "elev_quantise", "lonlat_pixels", "tributaries_topk"])
+@pytest.mark.parametrize("name", ["d8_directions", "flow_accumulation", "trace_paths", "watershed_cells", "basin_stats", "journey_steps", "best_near", "elev_quantise", "lonlat_pixels", "tributaries_topk", "flood_fill", "strahler_order", "snap_to_river", "cell_probe", "sea_tail", "seas_near", "trace_answers", "climate_rasters", "search_places"])
 def test_oracle(spark, duck, name):
     got = catalog.QUERIES[name](spark, DIR)
     names = sorted(got.columns)
