@@ -130,13 +130,13 @@ def cell_probe(t: Tables) -> DataFrame:
 
 
 _MIDDLES = "c.cell_id, (36352 + c.x + 0.5) / 65536.0 * 360 - 180 AS lon, degrees(atan(sinh(pi() * (1 - 2 * (19968 + c.y + 0.5) / 65536.0)))) AS lat"
-_SPOTS = "p AS (SELECT p_partkey AS point_id, (36352 + p_partkey * 7919 % (w * 1000) / 1000.0) / 65536 * 360 - 180 AS lon, degrees(atan(sinh(pi() * (1 - 2 * (19968 + p_partkey * 104729 % (w * 1000) / 1000.0) / 65536)))) AS lat, CAST(p_size AS DOUBLE) AS area FROM {part} CROSS JOIN (SELECT max(w) AS w FROM {cells}) q)"
+_SPOTS = "p AS (SELECT p_partkey AS point_id, (36352 + (p_partkey * 7919 % (w * 1000) + 0.137::DOUBLE) / 1000) / 65536 * 360 - 180 AS lon, degrees(atan(sinh(pi() * (1 - 2 * (19968 + (p_partkey * 104729 % (w * 1000) + 0.291::DOUBLE) / 1000) / 65536)))) AS lat, CAST(p_size AS DOUBLE) AS area FROM {part} CROSS JOIN (SELECT max(w) AS w FROM {cells}) q)"
 
 
 def _spots(t: Tables) -> DataFrame:
     """Points off the middles of cells, so that no two distances are equal."""
     w = int(t("cells").select("w").first()[0])
-    x, y = (PX + F.col("p_partkey") * 7919 % (w * 1000) / 1000.0), (PY + F.col("p_partkey") * 104729 % (w * 1000) / 1000.0)
+    x, y = PX + (F.col("p_partkey") * 7919 % (w * 1000) + 0.137) / 1000, PY + (F.col("p_partkey") * 104729 % (w * 1000) + 0.291) / 1000
     from ..functions import geodesy as g
 
     return t("part").select(F.col("p_partkey").alias("point_id"), g.pixel_to_lon(x, ZOOM).alias("lon"), g.pixel_to_lat(y, ZOOM).alias("lat"), F.col("p_size").cast("double").alias("area"))
@@ -396,12 +396,20 @@ def elev_quantise(t: Tables) -> DataFrame:
     return t("cells").select("x", "y").join(met.select("x", "y", "v", "step"), ["x", "y"])
 
 
-@query(SQL["overlay_slope"].replace("JOIN {cells} e ON e.cell_id = CASE WHEN c.x < c.w - 1 THEN c.cell_id + 1 ELSE c.cell_id END", "JOIN {cells} e ON e.cell_id = CASE WHEN c.x < c.w - 1 AND c.cell_id + 1 <= (SELECT max(cell_id) FROM {cells}) THEN c.cell_id + 1 ELSE c.cell_id END").replace("CASE WHEN c.y < c.w - 1 THEN c.cell_id + c.w ELSE", "CASE WHEN c.cell_id + c.w <= (SELECT max(cell_id) FROM {cells}) THEN c.cell_id + c.w ELSE"))
+_BESIDE = "c AS MATERIALIZED (SELECT cell_id, x, y, w, z FROM {cells}), j AS (SELECT c.cell_id, c.z, e.z AS e, v.z AS v, s.z AS s, n.z AS n FROM c LEFT JOIN c e ON e.cell_id = c.cell_id + 1 AND e.y = c.y LEFT JOIN c v ON v.cell_id = c.cell_id - 1 AND v.y = c.y LEFT JOIN c s ON s.cell_id = c.cell_id + c.w LEFT JOIN c n ON n.cell_id = c.cell_id - c.w)"
+SQL.pop("overlay_slope"), SQL.pop("hillshade")
+
+
+@query(f"WITH {_BESIDE} SELECT cell_id, round(degrees(atan(sqrt(pow(CAST(coalesce(e, z) - coalesce(v, z) AS DOUBLE), 2) + pow(CAST(coalesce(s, z) - coalesce(n, z) AS DOUBLE), 2)) / 10 / 600)), 8) AS slope FROM j")
 def overlay_slope(t: Tables) -> DataFrame:
     return rasters.slope_degrees(t("cells").withColumn("z", F.col("z") / 10.0), SIDE).select("cell_id", F.round("slope_degrees", 8).alias("slope"))
 
 
-@query(SQL["hillshade"].replace("CASE WHEN c.x < c.w - 1 THEN c.cell_id + 1 ELSE c.cell_id END", "CASE WHEN c.x < c.w - 1 AND c.cell_id + 1 <= (SELECT max(cell_id) FROM {cells}) THEN c.cell_id + 1 ELSE c.cell_id END").replace("CASE WHEN c.y < c.w - 1 THEN c.cell_id + c.w ELSE c.cell_id END", "CASE WHEN c.cell_id + c.w <= (SELECT max(cell_id) FROM {cells}) THEN c.cell_id + c.w ELSE c.cell_id END"))
+@query(f"""
+    WITH {_BESIDE}, g AS (SELECT cell_id, coalesce(CAST(coalesce(e, z) - coalesce(v, z) AS DOUBLE) / 10 / nullif(300 * ((e IS NOT NULL)::INT + (v IS NOT NULL)::INT), 0), 0) * 2.2 AS gx,
+        coalesce(CAST(coalesce(s, z) - coalesce(n, z) AS DOUBLE) / 10 / nullif(300 * ((s IS NOT NULL)::INT + (n IS NOT NULL)::INT), 0), 0) * 2.2 AS gy FROM j),
+    a AS (SELECT cell_id, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(-gy, gx) AS aspect FROM g)
+    SELECT cell_id, round(least(1.0, greatest(0.0, sin(radians(45.0::DOUBLE)) * cos(slope) + cos(radians(45.0::DOUBLE)) * sin(slope) * cos(radians(135.0::DOUBLE) - aspect))), 6) AS shade FROM a""")
 def hillshade(t: Tables) -> DataFrame:
     lit = rasters.gradient(t("cells").withColumn("z", F.col("z") / 10.0), SIDE)
     return lit.select("cell_id", F.round(h.hillshade(F.col("gx"), F.col("gy")), 6).alias("shade"))
