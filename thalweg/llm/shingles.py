@@ -13,7 +13,8 @@ WIDTH = 5
 CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
-_LOWER = np.arange(256, dtype="uint64")
+_SAME = np.arange(256, dtype="uint64")
+_LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 _POW = 0xD6E8FEB86659FD93
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "uint64")
@@ -34,7 +35,7 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _hashed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(x: np.ndarray, letters: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starting places of the words in bytes that end with white space."""
     space = _SPACE[x]
     begins = ~space
@@ -44,7 +45,7 @@ def _hashed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, "uint64"), starts
     gap = np.diff(np.append(starts, len(x)))
     body = x[starts[0] :]
-    value = np.where(space[starts[0] :], np.uint64(0), _LOWER[body] + np.uint64(1))
+    value = np.where(space[starts[0] :], np.uint64(0), letters[body] + np.uint64(1))
     value *= _powers(int(gap.max()))[np.arange(len(body)) - np.repeat(starts - starts[0], gap)]
     return mix64(np.add.reduceat(value, starts - starts[0])), starts
 
@@ -60,14 +61,15 @@ def _cuts(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Hashes of the words of each text, in order; A-Z count as a-z."""
+def word_hashes(texts: list[bytes], fold: bool = True) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text, in order; fold: A-Z count as a-z."""
+    letters = _LOWER if fold else _SAME
     held: list[bytes] = []
     size = 0
 
     def flush() -> Iterator[np.ndarray]:
         joined = b"\n".join([*held, b""])
-        h, starts = _hashed(np.frombuffer(joined, "uint8"))
+        h, starts = _hashed(np.frombuffer(joined, "uint8"), letters)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in held), "int64", len(held)))
         yield from np.split(h, np.searchsorted(starts, ends[:-1]))
 
@@ -76,7 +78,7 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
             if held:
                 yield from flush()
                 held, size = [], 0
-            yield np.concatenate([_hashed(np.frombuffer(c + b"\n", "uint8"))[0] for c in _cuts(t)])
+            yield np.concatenate([_hashed(np.frombuffer(c + b"\n", "uint8"), letters)[0] for c in _cuts(t)])
             continue
         held.append(t)
         size += len(t)
