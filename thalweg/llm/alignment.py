@@ -33,7 +33,7 @@ from .shingles import mix64
 from .tokens import _LETTER, _OTHER, _OTHER_SPACE, _SPACE, _Known, _powers
 
 #: Units and tokens that a worker keeps; bytes looked at together; rows of a slice.
-KEEP, TOKENS, CHUNK, SLICE = 300_000, 4_000_000, 1 << 19, 500
+KEEP, TOKENS, CHUNK, SLICE = 1_000_000, 12_000_000, 1 << 19, 500
 #: Rows of the table of pairs that workers read whole, 16 bytes each.
 PAIRS = 8_000_000
 #: A pair of ids as one number: that of A times PAIR plus that of B.
@@ -80,6 +80,54 @@ def _column(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, "int64")
 
 
+def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(x)])
+    return np.diff(total[np.concatenate([[0], ends])])
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first .. first + n - 1 of each range, in a row."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: str):
+        self.held, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        while self.n + len(x) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class _Entries:
+    """The bytes of a vocabulary's entries, and their ids in decimal digits."""
+
+    def __init__(self, entries: list[bytes]):
+        self.size = np.fromiter(map(len, entries), "int64", len(entries))
+        self.begin, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(entries), "uint8")
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        return self.bytes[_spread(self.begin[ids], self.size[ids])]
+
+
+def _digits(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id in decimal digits with a mark behind it, in a row, and the length of each."""
+    width = 1 + sum((ids >= 10**k).astype("int64") for k in range(1, 8))
+    places = np.arange(8)
+    power = width[:, None] - 1 - places
+    cell = (48 + ids[:, None] // 10 ** np.maximum(power, 0) % 10).astype("uint8")
+    cell[np.arange(len(ids)), width] = marks
+    return cell[places <= width[:, None]], width + 1
+
+
 class Aligner:
     """Units of texts, with their tokens, groups and links, as far as they are known to this worker."""
 
@@ -92,17 +140,19 @@ class Aligner:
         self.a.encode_special_tokens = True
         letters = byte_of_letter()
         entries = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        a_bytes = [b""] * (max(entries.values()) + 1)
         for text, i in entries.items():
-            self.a_bytes[i] = bytes(letters[c] for c in text) if all(c in letters for c in text) else text.encode()
+            a_bytes[i] = bytes(letters[c] for c in text) if all(c in letters for c in text) else text.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = (np.fromiter(map(len, x), "int64", len(x)) for x in (self.a_bytes, self.b_bytes))
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_entries, self.b_entries = _Entries(a_bytes), _Entries(b_bytes)
         plain = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         side_by_side = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
         if any("\n" in p for p in plain) or any(p[1] == "▁" != p[0] for p in side_by_side):
             raise ValueError("pieces go across blanks or line ends")
         self.marks = not any(p[0].isascii() and p[0].isalpha() and p[1].isascii() and _OTHER[ord(p[1])] for p in side_by_side)
+        self.a_line, self.b_line = (next(i for i, x in enumerate(e) if x == b"\n") for e in (a_bytes, b_bytes))
+        self.fast = _merger(a_path, a_bytes)
         self.forget()
 
     @classmethod
@@ -115,13 +165,29 @@ class Aligner:
 
     def forget(self) -> None:
         self.known, self.tokens = _Known(16), 0
-        #: By unit: whether its tokens spell it, tokens of A and B, groups; links, and where they begin; groups as text.
-        self.sizes, self.begin, self.links, self.texts = np.zeros((0, 4), "int64"), np.zeros(1, "int64"), np.zeros(0, "int64"), []
+        #: By unit: whether its tokens spell it, tokens of A and B, groups; and where its links and its groups as text end.
+        self._spelt, self._na, self._nb, self._groups, self._links_end, self._text_end = (_Pool("int64") for _ in range(6))
+        self._links, self._text = _Pool("int64"), _Pool("uint8")
+        self._links_end.add(np.zeros(1, "int64")), self._text_end.add(np.zeros(1, "int64"))
 
     @property
     def full(self) -> bool:
         return self.known.n > KEEP or self.tokens > TOKENS
 
+    @property
+    def begin(self) -> np.ndarray:
+        """Where the links of each unit begin, and the end of all."""
+        return self._links_end.all
+
+    @property
+    def links(self) -> np.ndarray:
+        return self._links.all
+
+    @property
+    def sizes(self) -> list[np.ndarray]:
+        """By unit: tokens of A, of B, groups, links."""
+        return [self._na.all, self._nb.all, self._groups.all, np.diff(self.begin)]
+
     def _starts(self, x: np.ndarray, whole: np.ndarray) -> np.ndarray:
         """Where units begin in bytes of texts that each begin with a blank and end with _BREAK. whole: parts of it that are
         units of their own."""
@@ -133,35 +199,72 @@ class Aligner:
             out |= _OTHER[x] & _LETTER[before]
         return np.flatnonzero((out & ~whole) | (before == _BREAK))
 
+    def _in_a_row(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of A and of B of all units in a row, and how many each has. Units without a line end are encoded with line ends
+        between them, which join with nothing."""
+        ids, counts = ([], []), ([], [])
+        for s in range(0, len(texts), 2000):
+            row = "\n" + "\n".join(texts[s : s + 2000])
+            for k, (found, line) in enumerate(((self.fast.encode_ordinary(row), self.a_line), (self.b.encode(row)[1:], self.b_line))):
+                found = np.array(found, "int64")
+                ends = found == line
+                ids[k].append(found[~ends])
+                counts[k].append(np.diff(np.flatnonzero(ends), append=len(found)) - 1)
+        return [np.concatenate(x) for x in ids], [np.concatenate(x) for x in counts]
+
+    def _one_by_one(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # B puts a blank before a text that isn't empty; other units come after a line end
+        led = [t[0] == " " != t for t in texts]
+        b = [x if own else x[2:] for own, x in zip(led, self.b.encode([t[1:] if own else "\n" + t for own, t in zip(led, texts, strict=True)], num_threads=1), strict=True)]
+        return [np.array([i for x in ids for i in x], "int64") for ids in (a, b)], [np.fromiter(map(len, ids), "int64", len(ids)) for ids in (a, b)]
+
     def _learn(self, a: np.ndarray, b: np.ndarray, units: list[bytes]) -> None:
         texts = [u.decode("utf-8", "surrogatepass") for u in units]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        # B puts a blank before a text that isn't empty; other units come after a line end, which joins with nothing
-        led = [t[0] == " " != t for t in texts]
-        b_ids = [x if own else x[2:] for own, x in zip(led, self.b.encode([t[1:] if own else "\n" + t for own, t in zip(led, texts, strict=True)], num_threads=1), strict=True)]
-        spelt = [b"".join([self.a_bytes[i] for i in p]) == u == b"".join([self.b_bytes[i] for i in q]) for p, q, u in zip(a_ids, b_ids, units, strict=True)]
-        a_ids, b_ids = ([x if s else [] for x, s in zip(ids, spelt, strict=True)] for ids in (a_ids, b_ids))
-        na, nb = (np.fromiter(map(len, x), "int64", len(x)) for x in (a_ids, b_ids))
-        fa, fb = (np.fromiter((i for x in ids for i in x), "int64", int(n.sum())) for ids, n in ((a_ids, na), (b_ids, nb)))
-        u, v = linked(np.cumsum(self.a_size[fa]), np.cumsum(self.b_size[fb])) if len(fa) else (fa, fb)
-        root = united(len(fa) + len(fb), u, len(fa) + v)
-        group = np.unique(root, return_inverse=True)[1]  # in the order of the bytes, as each has a token of A
-        of_unit = np.repeat(np.arange(len(units)), na)
-        opens = np.diff(group[: len(fa)], prepend=-1) > 0
-        groups = np.bincount(of_unit[opens], minlength=len(units))
-        n_links = np.bincount(of_unit[u], minlength=len(units)) if len(fa) else np.zeros(len(units), "int64")
-        # groups as text: members of A and of B, in their order
-        number = int(group[len(fa) - 1]) + 1 if len(fa) else 0
-        written: list[list[str]] = []
-        for ids, g in ((fa, group[: len(fa)]), (fb, group[len(fa) :])):
-            names, cut = [*map(str, ids.tolist())], np.searchsorted(g, np.arange(number + 1)).tolist()
-            written.append([",".join(names[s:e]) for s, e in zip(cut, cut[1:])])
-        text = [f"{p}|{q}" for p, q in zip(*written, strict=True)]
-        cut = np.concatenate([[0], np.cumsum(groups)]).tolist()
-        self.texts += [";".join(text[s:e]) for s, e in zip(cut, cut[1:])]
-        self.sizes = np.concatenate([self.sizes, np.stack([np.array(spelt, "int64"), na, nb, groups], 1)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(n_links)])
-        self.links = np.concatenate([self.links, fa[u] * PAIR + fb[v]])
+        plain = np.fromiter(("\n" not in t and t != " " and not t[:2].isspace() for t in texts), bool, len(texts)) & (self.fast is not None)
+        for some, encode in ((np.flatnonzero(plain), self._in_a_row), (np.flatnonzero(~plain), self._one_by_one)):
+            if len(some):
+                self._keep(a[some], b[some], [units[i] for i in some.tolist()], *encode([texts[i] for i in some.tolist()]))
+
+    def _keep(self, a: np.ndarray, b: np.ndarray, units: list[bytes], ids: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        size = np.fromiter(map(len, units), "int64", len(units))
+        raw, at = np.frombuffer(b"".join(units), "uint8"), np.cumsum(size) - size
+        spelt = np.ones(len(units), bool)
+        for x, n, entries in zip(ids, counts, (self.a_entries, self.b_entries), strict=True):
+            length = _sums(entries.size[x], np.cumsum(n))
+            same = length == size
+            of = np.repeat(same, n)
+            own = _spread(at[same], size[same])
+            wrong = np.repeat(np.flatnonzero(same), size[same])[entries.spell(x[of]) != raw[own]]
+            same[wrong] = False
+            spelt &= same
+        (fa, fb), (na, nb) = ([x[np.repeat(spelt, n)] for x, n in zip(ids, counts, strict=True)], [np.where(spelt, n, 0) for n in counts])
+        groups = np.zeros(len(units), "int64")
+        n_links, n_text = groups.copy(), groups.copy()
+        if len(fa):
+            u, v = linked(np.cumsum(self.a_entries.size[fa]), np.cumsum(self.b_entries.size[fb]))
+            root = united(len(fa) + len(fb), u, len(fa) + v)
+            opens = np.zeros(len(root), bool)
+            opens[root] = True  # the first token of A of each group
+            number = np.cumsum(opens)[root] - 1
+            ga, gb = number[: len(fa)], number[len(fa) :]
+            of_a = np.repeat(np.arange(len(units)), na)
+            groups = np.bincount(of_a[opens[: len(fa)]], minlength=len(units))
+            n_links = np.bincount(of_a[u], minlength=len(units))
+            # groups as text: tokens of A, then of B, of each group in turn
+            in_a, in_b = (np.bincount(g, minlength=int(number.max()) + 1) for g in (ga, gb))
+            place_a = np.arange(len(fa)) + (np.cumsum(in_b) - in_b)[ga]
+            place_b = np.arange(len(fb)) + np.cumsum(in_a)[gb]
+            order, mark = np.zeros(len(root), "int64"), np.zeros(len(root), "uint8")
+            order[place_a], order[place_b] = fa, fb
+            mark[place_a], mark[place_b] = (np.where(np.append(np.diff(g), 1) > 0, ord(end), ord(",")) for g, end in ((ga, "|"), (gb, ";")))
+            text, width = _digits(order, mark)
+            n_text = _sums(width, np.cumsum(na + nb))
+            self._links.add(fa[u] * PAIR + fb[v]), self._text.add(text)
+        for pool, x in ((self._spelt, spelt), (self._na, na), (self._nb, nb), (self._groups, groups)):
+            pool.add(x)
+        for pool, n in ((self._links_end, n_links), (self._text_end, n_text)):
+            pool.add(pool.all[-1] + np.cumsum(n))
         self.tokens += len(fa) + len(fb)
         self.known.add(a, b)
 
@@ -202,12 +305,35 @@ class Aligner:
 
     def all_spelt(self, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Whether the tokens of each text spell it."""
-        return _sums(1 - self.sizes[row, 0], ends) == 0
+        return _sums(1 - self._spelt.all[row], ends) == 0
 
+    def written(self, row: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The groups of each text."""
+        end = self._text_end.all
+        n = end[row + 1] - end[row]
+        whole = self._text.all[_spread(end[row], n)].tobytes()
+        cut = np.concatenate([[0], np.cumsum(_sums(n, ends))]).tolist()
+        return [whole[s : e - 1].decode() if s < e else "" for s, e in zip(cut, cut[1:])]
 
-def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(x)])
-    return np.diff(total[np.concatenate([[0], ends])])
+
+def _merger(path: str, entries: list[bytes]):
+    """A faster encoder of the same vocabulary: where its ids stand in the order of its merges, a merge of least rank is the one of
+    least id. None where they don't, or where texts are parted in another way."""
+    import json
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model, parts, letters = said["model"], said.get("pre_tokenizer") or {}, byte_of_letter()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    made = [bytes(letters[c] for c in x + y) if all(c in letters for c in x + y) else b"" for x, y in pairs]
+    first = entries[: len(entries) - len([e for e in said.get("added_tokens", ()) if model["vocab"].get(e["content"]) is not None])]
+    plain = parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space") and not said.get("normalizer") and not model.get("ignore_merges")
+    if not plain or first[256:] != made or sorted(first[:256]) != [bytes([b]) for b in range(256)]:
+        return None
+    return tiktoken.Encoding("alignment", pat_str=PATTERN, mergeable_ranks={e: i for i, e in enumerate(first)}, special_tokens={})
 
 
 def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -220,8 +346,7 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         def told() -> pa.RecordBatch:
             met = np.flatnonzero(times)
             n = known.begin[met + 1] - known.begin[met]
-            at = np.arange(int(n.sum())) + np.repeat(known.begin[met] - (np.cumsum(n) - n), n)
-            pair, where = np.unique(known.links[at], return_inverse=True)
+            pair, where = np.unique(known.links[_spread(known.begin[met], n)], return_inverse=True)
             count = np.zeros(len(pair), "int64")
             np.add.at(count, where, np.repeat(times[met], n))
             return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(count, pa.int64())], ["pair", "n"])
@@ -275,7 +400,7 @@ def _per_document(docs: DataFrame, a_path: str, b_path: str, path: str | None) -
             out, groups = np.zeros((len(texts), len(names)), "int64"), [""] * len(texts)
             for at, row, ends in known.parts(texts):
                 good = known.all_spelt(row, ends)
-                columns = [known.sizes[:, 1], known.sizes[:, 2], known.sizes[:, 3], np.diff(known.begin)]
+                columns = known.sizes
                 if path:
                     new = known.links[known.begin[len(added)] :]
                     n = signed[np.searchsorted(pairs, new)] if len(pairs) else np.zeros(0, "int64")
@@ -284,11 +409,8 @@ def _per_document(docs: DataFrame, a_path: str, b_path: str, path: str | None) -
                     added = np.concatenate([added, np.stack([_sums(n > 0, stops), _sums(np.abs(n), stops)], 1)])
                     columns += [added[:, 0], added[:, 1]]
                 out[at] = np.stack([_sums(c[row], ends) * good for c in columns], 1)
-                strings, first = known.texts, 0
-                for i, end, ok in zip(at, ends.tolist(), good.tolist(), strict=True):
-                    if ok:
-                        groups[i] = ";".join([strings[r] for r in row[first:end].tolist()])
-                    first = end
+                for i, ok, text in zip(at, good.tolist(), known.written(row, ends), strict=True):
+                    groups[i] = text if ok else ""
                 if known.full:
                     known.forget()
                     added = np.zeros((0, 2), "int64")
@@ -308,7 +430,7 @@ def _pairs_of(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 good = np.repeat(known.all_spelt(row, ends), np.diff(ends, prepend=0))
                 unit, text = row[good], np.repeat(np.array(at), np.diff(ends, prepend=0))[good]
                 n = known.begin[unit + 1] - known.begin[unit]
-                pair = known.links[np.arange(int(n.sum())) + np.repeat(known.begin[unit] - (np.cumsum(n) - n), n)]
+                pair = known.links[_spread(known.begin[unit], n)]
                 both, times = np.unique(np.stack([np.repeat(text, n), pair]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(number[both[0]]), pa.array(both[1]), pa.array(times.astype("int64"))], ["__row", "pair", "times"])
                 if known.full:
