@@ -33,7 +33,7 @@ from .shingles import mix64
 from .tokens import _LETTER, _OTHER, _OTHER_SPACE, _SPACE, _Known, _powers
 
 #: Units and tokens that a worker keeps; bytes looked at together; rows of a slice.
-KEEP, TOKENS, CHUNK, SLICE = 1_000_000, 12_000_000, 1 << 19, 500
+KEEP, TOKENS, CHUNK, SLICE = 700_000, 12_000_000, 1 << 19, 500
 #: Rows of the table of pairs that workers read whole, 16 bytes each.
 PAIRS = 8_000_000
 #: A pair of ids as one number: that of A times PAIR plus that of B.
@@ -157,16 +157,16 @@ class Aligner:
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> Aligner:
-        """One for each Python worker, which knows nothing yet."""
+        """One for each Python worker, which goes on with what tasks before have met."""
         if (a_path, b_path) not in _OPEN:
             _OPEN[a_path, b_path] = cls(a_path, b_path)
-        _OPEN[a_path, b_path].forget()
         return _OPEN[a_path, b_path]
 
     def forget(self) -> None:
         self.known, self.tokens = _Known(16), 0
         #: By unit: whether its tokens spell it, tokens of A and B, groups; and where its links and its groups as text end.
-        self._spelt, self._na, self._nb, self._groups, self._links_end, self._text_end = (_Pool("int64") for _ in range(6))
+        self._spelt, self._na, self._nb, self._groups = (_Pool("int32") for _ in range(4))
+        self._links_end, self._text_end = (_Pool("int64") for _ in range(2))
         self._links, self._text = _Pool("int64"), _Pool("uint8")
         self._links_end.add(np.zeros(1, "int64")), self._text_end.add(np.zeros(1, "int64"))
 
@@ -403,9 +403,9 @@ def _per_document(docs: DataFrame, a_path: str, b_path: str, path: str | None) -
                 columns = known.sizes
                 if path:
                     new = known.links[known.begin[len(added)] :]
-                    n = signed[np.searchsorted(pairs, new)] if len(pairs) else np.zeros(0, "int64")
+                    # units of other tasks and of texts that aren't spelt have pairs that the table lacks; nothing reads their sums
+                    n = signed[np.minimum(np.searchsorted(pairs, new), len(pairs) - 1)] if len(pairs) else np.zeros(len(new), "int64")
                     stops = known.begin[len(added) + 1 :] - known.begin[len(added)]
-                    # units of texts that are not spelt elsewhere have pairs that the table lacks; nothing reads their sums
                     added = np.concatenate([added, np.stack([_sums(n > 0, stops), _sums(np.abs(n), stops)], 1)])
                     columns += [added[:, 0], added[:, 1]]
                 out[at] = np.stack([_sums(c[row], ends) * good for c in columns], 1)
