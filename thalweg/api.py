@@ -17,6 +17,7 @@ from .operators import basins as basin_ops
 from .operators import climate as climate_ops
 from .operators import flood, flow, paths, rasters, reaches, search, shapes
 from .operators.rasters import EDGE, LAKE, OCEAN, SINK
+from .stages import Stage, Store
 
 THEMES = ("relief", "dark", "light", "satellite")
 #: Names of classes, as answers give them. Fixed values.
@@ -50,27 +51,53 @@ def build(cells: DataFrame, fill: bool = True, eps: float = 1e-3, stream: float
     return cut(out)
 
 
-def build_all(cells: DataFrame, marine: DataFrame, stages: tuple[str, ...] = STAGES, zoom: int = 8, x0: int = 0, y0: int = 0, least: float = basin_ops.LEAST, thresholds: tuple[float, ...] = (20000.0, 1500.0, 250.0)) -> dict[str, DataFrame]:
+def build_all(cells: DataFrame, marine: DataFrame, stages: tuple[str, ...] = STAGES, zoom: int = 8, x0: int = 0, y0: int = 0, least: float = basin_ops.LEAST, thresholds: tuple[float, ...] = (20000.0, 1500.0, 250.0), store: Store | None = None) -> dict[str, DataFrame]:
     """The stages of a build by name, each made of those before: hydro (cells as build() makes them), tiles (flow, area and
-    elevation), relief, rivers (reaches of each level), basins, climate (blocks). Those that are not asked for are left out."""
+    elevation), relief, rivers (reaches of each level), basins, climate (blocks). Those that are not asked for are left out. In a
+    store, stages whose inputs and parameters are those of an earlier build are read instead of run."""
+    return {k: v.table if isinstance(v, Stage) else v for k, v in _staged(cells, marine, stages, zoom, x0, y0, least, thresholds, store).items() if k in stages}
+
+
+def _staged(cells: DataFrame, marine: DataFrame, stages: tuple[str, ...], zoom: int, x0: int, y0: int, least: float, thresholds: tuple[float, ...], store: Store | None) -> dict[str, Stage | DataFrame]:
     from .sources import tiles
 
-    made = {"hydro": build(cells, stream=STREAM)}
-    grid = made["hydro"].withColumns({"px": F.col("x") + x0, "py": F.col("y") + y0})
-    size = F.col("size_m") if "size_m" in cells.columns else F.lit(1.0)
+    sized = "size_m" in cells.columns
+
+    def placed(hydro: DataFrame, x0: int, y0: int) -> DataFrame:
+        return hydro.withColumns({"px": F.col("x") + x0, "py": F.col("y") + y0})
+
+    def drawn(hydro: DataFrame, x0: int, y0: int) -> DataFrame:
+        grid = placed(hydro, x0, y0)
+        return tiles.flow_tiles(grid).unionByName(tiles.area_tiles(grid)).unionByName(tiles.elevation_tiles(grid), allowMissingColumns=True)
+
+    def relief(hydro: DataFrame, zoom: int, x0: int, y0: int) -> DataFrame:
+        return rasters.relief_levels(placed(hydro, x0, y0), F.col("size_m") if sized else F.lit(1.0), zoom)
+
+    def basins(hydro: DataFrame, rivers: DataFrame, marine: DataFrame, least: float, zoom: int, x0: int, y0: int) -> DataFrame:
+        lod = rivers.where("lod = 1").select("reach_id", "tail", F.lit(None).cast("string").alias("name"), "dn")
+        return basin_ops.build(hydro.withColumn("country", F.lit(None).cast("string")), marine, lod, least, zoom, x0, y0)
+
+    def climate(hydro: DataFrame, zoom: int, x0: int, y0: int) -> DataFrame:
+        return climate_ops.interpolate(climate_ops.blocks(placed(hydro, x0, y0), zoom, x0, y0))
+
+    made: dict[str, Stage | DataFrame] = {}
+
+    def stage(name: str, make, *made_of, **parameters) -> None:
+        made[name] = store.run(name, make, *made_of, **parameters) if store else make(*made_of, **parameters)
+
+    at = {"x0": x0, "y0": y0}
+    stage("hydro", build, cells, stream=STREAM)
     if "tiles" in stages:
-        drawn = tiles.flow_tiles(grid).unionByName(tiles.area_tiles(grid))
-        made["tiles"] = drawn.unionByName(tiles.elevation_tiles(grid), allowMissingColumns=True)
+        stage("tiles", drawn, made["hydro"], **at)
     if "relief" in stages:
-        made["relief"] = rasters.relief_levels(grid, size, zoom)
+        stage("relief", relief, made["hydro"], zoom=zoom, **at)
     if "rivers" in stages or "basins" in stages:
-        made["rivers"] = reaches.levels(made["hydro"], thresholds)
+        stage("rivers", reaches.levels, made["hydro"], thresholds=thresholds)
     if "basins" in stages:
-        lod = made["rivers"].where("lod = 1").select("reach_id", "tail", F.lit(None).cast("string").alias("name"), "dn")
-        made["basins"] = basin_ops.build(made["hydro"].withColumn("country", F.lit(None).cast("string")), marine, lod, least, zoom, x0, y0)
+        stage("basins", basins, made["hydro"], made["rivers"], marine, least=least, zoom=zoom, **at)
     if "climate" in stages:
-        made["climate"] = climate_ops.interpolate(climate_ops.blocks(grid, zoom, x0, y0))
-    return {k: v for k, v in made.items() if k in stages}
+        stage("climate", climate, made["hydro"], zoom=zoom, **at)
+    return made
 
 
 class Engine:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geodesy as g
 from ..functions.lineage import cut
 from ..sources.rivers import canonical
 from . import shapes
@@ -34,6 +35,15 @@ def summarise(reaches: DataFrame, acc: DataFrame) -> DataFrame:
     return out.select("reach_id", "cells", F.col("a.cell_id").alias("head"), F.col("b.cell_id").alias("tail"), F.col("a.acc").alias("up"), F.col("b.acc").alias("dn"))
 
 
+def lines(reaches: DataFrame, cells: DataFrame, zoom: int = 8, x0: int = 0, y0: int = 0) -> DataFrame:
+    """reaches as from extract(); cells: cell_id, x, y. line_id (the reach) and coords, the middles of its cells in order; a reach
+    is broken at confluences, so a line is as long as the network between two of them."""
+    lon, lat = g.pixel_to_lon(F.col("x") + x0 + 0.5, zoom), g.pixel_to_lat(F.col("y") + y0 + 0.5, zoom)
+    met = reaches.join(cells.select("cell_id", lon.alias("lon"), lat.alias("lat")), "cell_id")
+    rows = met.groupBy(F.col("reach_id").alias("line_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "lon", "lat"))).alias("c"))
+    return rows.select("line_id", F.transform("c", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("coords"))
+
+
 def vote(probes: DataFrame) -> DataFrame:
     """probes: reach_id, seq, name (null: none near). Returns reach_id, name, votes: the most frequent name, the first met on
     ties, where it has at least two votes and a third of the probes."""

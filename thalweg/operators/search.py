@@ -69,3 +69,38 @@ def search(entries: DataFrame, term: str, prefix: int = 9, infix: int = 4) -> Da
     few = once.where("part = 1").orderBy(*order).limit(prefix).union(once.where("part = 2").orderBy(*order).limit(infix))
     placed = few.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(*order)))
     return found.union(placed.select("part", "place", "name", "lon", "lat"))
+
+
+# -- many terms at once ---------------------------------------------------------------------------------------------------
+def _trigrams(text: Column) -> Column:
+    n = F.length(text)
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def postings(entries: DataFrame) -> DataFrame:
+    """entries: entry_id, folded. piece, entry_id: a row for each distinct run of three letters of a name, and for each of its
+    first letter and first two, marked ^."""
+    starts = F.filter(F.array(F.concat(F.lit("^"), F.left("folded", F.lit(1))), F.when(F.length("folded") > 1, F.concat(F.lit("^"), F.left("folded", F.lit(2))))), lambda p: p.isNotNull() & (p != "^"))
+    return entries.select("entry_id", F.explode(F.concat(_trigrams(F.col("folded")), starts)).alias("piece"))
+
+
+def search_many(entries: DataFrame, terms: DataFrame, prefix: int = 9, infix: int = 4, index: DataFrame | None = None) -> DataFrame:
+    """entries: entry_id, name, rank, size (null: 0), lon, lat, and optionally folded. terms: term_id, term. For each term what
+    search() finds among names: term_id, part, place, name, lon, lat. index: postings(entries), where they are at hand.
+
+    A term of three letters or more is joined by the one of its pieces that the fewest names have; that leaves few names, which are
+    then looked through. Shorter ones are joined by their letters as the start of a name. Of the names of a term and part, the
+    first few are kept before they are shuffled."""
+    named = entries if "folded" in entries.columns else entries.withColumn("folded", folded("name"))
+    index = postings(named) if index is None else index
+    asked = terms.select("term_id", folded(F.trim("term")).alias("want")).where("want <> ''")
+    pieces = asked.select("term_id", "want", F.explode(F.when(F.length("want") < 3, F.array(F.concat(F.lit("^"), "want"))).otherwise(_trigrams(F.col("want")))).alias("piece"))
+    often = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(often, "piece", "left").groupBy("term_id", "want").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    met = rarest.join(index, "piece").join(named.select("entry_id", "name", "rank", F.coalesce("size", F.lit(0)).alias("size"), "lon", "lat", "folded"), "entry_id")
+    at = F.instr(F.col("folded"), F.col("want"))
+    hits = met.where((at == 1) | (at > 1) & (F.length("want") > 2)).withColumn("part", F.when(at == 1, 1).otherwise(2))
+    once = hits.groupBy("term_id", "name", F.round("lon", 1).alias("x"), F.round("lat", 1).alias("y")).agg(F.min(F.struct("part", "rank", (-F.col("size")).alias("less"), "lon", "lat")).alias("b"))
+    once = once.select("term_id", "name", "b.part", "b.rank", "b.less", "b.lon", "b.lat")
+    place = F.row_number().over(W.partitionBy("term_id", "part").orderBy("rank", "less", F.length("name"), "name", "lon", "lat"))
+    return once.withColumn("place", place).where(F.col("place") <= F.when(F.col("part") == 1, prefix).otherwise(infix)).where(F.col("place") <= max(prefix, infix)).select("term_id", "part", "place", "name", "lon", "lat")
