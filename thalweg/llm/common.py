@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -95,6 +96,21 @@ def numbered(scratch: Scratch, docs: DataFrame, name: str) -> DataFrame:
     return scratch.save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def number_among_equals(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows: a table. Adds a number from 0 on among the rows of equal keys, dense, so that how many have which does not depend on
+    how rows lie in files. Each file numbers its own; a key adds up its files, not its rows."""
+    rows = rows.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+    own = rows.withColumn(name, F.row_number().over(W.partitionBy(*keys, "__file").orderBy("__at")) - 1)
+    sums = rows.groupBy(*keys, "__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*keys).orderBy("__file").rowsBetween(W.unboundedPreceding, -1))
+    later = sums.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), F.col("__file").alias("__f"), before.alias("__before")).where("__before > 0")
+    same = F.col("__file") == F.col("__f")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__{i}"))
+    out = own.join(later, same, "left").withColumn(name, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("long"))
+    return out.select(*(c for c in rows.columns if c not in ("__file", "__at")), name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows, so few at a time that what is made of them is small beside the batch."""
     for b in batches:

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, number_among_equals, slices
 from .tokens import Encoder
 
 CAPACITY = 2048
 #: Lengths of a pattern at most, and pieces of up to so many tokens that are held back for the gaps.
 TRIES = ((4, 64), (4, 256), (3, 128), (6, 0))
 ROWS_PER_BUCKET = 50_000
+#: Equal pieces that go to one bucket together.
+EQUALS = 1_000
 #: Rows that a worker takes from a batch together.
 SLICE = 1_000
 
@@ -233,12 +235,14 @@ def pack(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY) -> DataF
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # `capacity` rows at most
     shared = spark.sparkContext.broadcast(places(plan(histogram, capacity)[0]))  # by length and group, not by document
     buckets = max(1, -(-sum(histogram.values()) // ROWS_PER_BUCKET))
-    place = F.xxhash64("doc_id", "piece", "ids_crc32", "_metadata.file_name", "_metadata.row_index")
-    dealt = cut.withColumn("bucket", F.pmod(place, F.lit(buckets)).cast("int"))
+    # pieces go where their content says; many equal ones are told apart by a number, so that they go to several buckets
+    cut = number_among_equals(cut, ["doc_id", "piece", "ids_crc32"], "k") if buckets > 1 else cut.withColumn("k", F.lit(0))
+    place = F.xxhash64("doc_id", "piece", "ids_crc32", F.floor(F.col("k") / EQUALS))
+    dealt = scratch.save(cut.withColumn("bucket", F.pmod(place, F.lit(buckets)).cast("int")).drop("k"), "dealt")
     counts = dealt.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("rows"))
     earlier = F.sum("rows").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     counts = counts.select("bucket", "length", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    within = F.row_number().over(W.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32"))
+    within = F.row_number().over(W.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32", "start"))
     ranked = dealt.withColumn("rank", within).join(counts, ["bucket", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") - 1 + F.col("earlier")).alias("rank"))
     id_kind = cut.schema["doc_id"].dataType.simpleString()

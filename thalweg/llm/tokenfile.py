@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, file_system, key_ranges, slices
+from .common import Scratch, file_system, key_ranges, number_among_equals, slices
 from .shards import ShardFile, commit, with_starts
 from .tokens import Encoder
 
@@ -133,9 +133,11 @@ def write(spark: SparkSession, tokens: DataFrame, root: str, dtype: str, ids_per
             yield pa.RecordBatch.from_pylist([{"temporary": out.temporary, "name": out.name, "shard": shard, "docs": docs, "ids": ids, "bytes": out.size}], schema)
 
     schema = pa.schema([("temporary", pa.string()), ("name", pa.string()), ("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
-    # rows that are equal in all go to different shards by their place in the table
-    tie = F.xxhash64("crc", "_metadata.file_name", "_metadata.row_index")
-    dealt = tokens.withColumn("shard", ranges.shard(F.col("doc_id"), tie)).repartitionById(ranges.shards, "shard")
+    # an id with more ids than a file holds is dealt by content, and rows that are equal in all by a number among them
+    heavy = ranges.null_splits > 1 or bool((ranges.splits > 1).any())
+    rows = number_among_equals(tokens, ["doc_id", "crc", "n"], "k") if heavy else tokens.withColumn("k", F.lit(0))
+    tie = F.xxhash64("crc", "n", "k")
+    dealt = rows.withColumn("shard", ranges.shard(F.col("doc_id"), tie)).repartitionById(ranges.shards, "shard")
     dealt = dealt.sortWithinPartitions("doc_id", "crc").select("shard", "doc_id", "n", "ids")
     rows = commit(root, dealt.mapInArrow(run, "temporary string, name string, shard int, docs long, ids long, bytes long"))
     fs, base = file_system(root)
