@@ -257,3 +257,79 @@ def test_a_build_in_a_store_is_read_again(spark, tmp_path, monkeypatch):
     assert all(sorted(map(str, one[s].collect())) == sorted(map(str, two[s].collect())) for s in stages)
     three = api._staged(cells, marine, stages, 8, 0, 0, 1.0, (9.0, 3.0), Store(spark, kept.root))
     assert [three[s].ran for s in stages] == [False, False, True]
+
+
+# -- whole answers, basins and rivers to draw -----------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def grid(spark):
+    """Two valleys side by side that run east to the sea, and a lake on the way of one."""
+    w, h = 30, 9
+    rows = []
+    for y in range(h):
+        for x in range(w):
+            cls = 1 if x >= w - 2 else 2 if y == 2 and 14 <= x < 18 else 0
+            rows.append((y * w + x, x, y, float((w - x) * 4 + abs(y % 4 - 2) * 30), w, cls))
+    cells = spark.createDataFrame(rows, "cell_id long, x long, y long, z double, w long, cls int")
+    return api.build(cells)
+
+
+def test_report_of_a_drop(spark, grid):
+    engine = api.Engine(grid, 8, 36352, 19968)
+    at = grid.where("cell_id in (63, 155, 91)").select(F.col("cell_id").alias("drop_id"), "x", "y")
+    points = engine._located(at).select("drop_id", "lon", "lat")
+    got = {r.drop_id: r for r in engine.report(points).collect()}
+    traced, alone = engine.named(engine.trace(points)), {}
+    for r in engine.analyse(traced).collect():
+        alone[r.drop_id] = r
+    assert set(got) == {63, 155, 91}
+    for k, r in got.items():
+        assert all(getattr(r, c) == pytest.approx(getattr(alone[k], c)) for c in ("distance", "seconds", "fall", "discharge"))
+        assert r.stages[0].kind == "rain" and r.stages[-1].kind == "sea" and r.stages[-1].label == r.destination
+        assert not r.truncated and r.terminal == 1 and r.lon0 < r.lon1
+
+
+def test_one_pass_over_paths_as_several(spark):
+    from thalweg.operators import paths
+
+    rng = random.Random(12)
+    rows, area = [], 0.0
+    for d in range(5):
+        area = 10.0
+        for s in range(rng.randint(1, 60)):
+            area += rng.choice([0, 1, 5, 40, 90])
+            rows.append((d, s, 300.0 * s, area, 500.0 - s, 10 + s / 100, 50 + d / 10, rng.choice(["A", "B", None])))
+    df = spark.createDataFrame(rows, "drop_id long, step long, dist double, area double, elev double, lon double, lat double, country string")
+    got = {r.drop_id: r for r in paths.analysed(df).collect()}
+    for r in paths.travel(df).collect():
+        assert all(getattr(got[r.drop_id], c) == pytest.approx(getattr(r, c)) for c in r.asDict())
+    want = {}
+    for r in sorted(paths.tributaries(df).collect(), key=lambda r: r.rank):
+        want.setdefault(r.drop_id, []).append((r.step, r.gain, r.lon))
+    assert {k: [(t.step, t.gain, t.lon) for t in r.tributaries] for k, r in got.items() if r.tributaries} == want
+    for d, r in got.items():
+        assert r.countries == [*dict.fromkeys(x[7] for x in rows if x[0] == d and x[7])]
+
+
+def test_basins_as_polygons(spark, grid):
+    from thalweg.operators import basins
+
+    table = grid.groupBy(F.col("term").alias("basin_id")).agg(F.count(F.lit(1)).cast("double").alias("area")).withColumn("name", F.concat(F.lit("Basin "), "basin_id"))
+    got = basins.polygons(grid, table, 8, 36352, 19968, 1, 20, 0.0).collect()
+    sizes = {r.basin_id: r.area for r in table.collect() if r.area >= 20}
+    sums = Counter()
+    for r in got:
+        sums[r.basin_id] += r.cells
+        assert r.name == f"Basin {r.basin_id}" and r.sea is None
+    assert dict(sums) == sizes and [r.area for r in got] == sorted((r.area for r in got), reverse=True)
+    lines = tiles.to_geojson(basins.polygons(grid, table, 8, 36352, 19968, 1, 20), ["basin_id", "name", "area"]).collect()
+    assert lines and all('"type":"Polygon"' in r.value for r in lines)
+
+
+def test_river_layers(spark, grid):
+    from thalweg.operators import reaches
+
+    got = reaches.layers(grid, (20.0, 5.0), (0.02, 0.001), 8, 36352, 19968).collect()
+    assert {r.lod for r in got} == {0, 1}
+    plain = {(0 if t == 20.0 else 1, r.reach_id): r.cells for t in (20.0, 5.0) for r in reaches.summarise(reaches.extract(grid.select("cell_id", "parent_id", "acc"), t), grid).collect()}
+    assert {(r.lod, r.line_id) for r in got} == set(plain)
+    assert all(2 <= len(r.coords) <= plain[r.lod, r.line_id] for r in got)

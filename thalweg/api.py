@@ -15,7 +15,7 @@ from .functions.lineage import cut
 from .functions.seasons import seasons
 from .operators import basins as basin_ops
 from .operators import climate as climate_ops
-from .operators import flood, flow, paths, rasters, reaches, search, shapes
+from .operators import flood, flow, journeys, paths, rasters, reaches, search, shapes
 from .operators.rasters import EDGE, LAKE, OCEAN, SINK
 from .stages import Stage, Store
 
@@ -189,6 +189,23 @@ class Engine:
             return paths.travel(traced, RUNOFF if runoff is None else runoff)
         return paths.travel(traced.join(self.spec_runoff(traced), "drop_id"), F.col("runoff"))
 
+    def report(self, points: DataFrame, snap: int = 0, runoff: float | None = None) -> DataFrame:
+        """The whole answer for each drop in a row: where it ends (destination, destination_kind, terminal, truncated), what
+        paths.analysed() says of its path, the names of its tributaries, and its stages (as of journeys.journey()) as an array."""
+        rows = cut(self.named(self.trace(points, snap)))
+        if runoff is None and self.climate is not None:
+            found = paths.analysed(rows.join(self.spec_runoff(rows), "drop_id"), F.col("runoff"))
+        else:
+            found = paths.analysed(rows, RUNOFF if runoff is None else runoff)
+        ends = rows.groupBy("drop_id").agg(*(F.first(c).alias(c) for c in ("destination", "destination_kind", "terminal", "truncated")))
+        fields = ("stage", "label", "kind", "name", "from_m", "to_m", "area", "fall", "countries")
+        told = journeys.journey(rows).groupBy("drop_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("stages"))  # of one path
+        out = found.join(ends, "drop_id").join(told, "drop_id", "left")
+        if self.reaches is None:
+            return out
+        names = paths.tributaries(rows, self.reaches).groupBy("drop_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("tributary_names"))
+        return out.join(names, "drop_id", "left")
+
     def sample(self, points: DataFrame) -> DataFrame:
         """points with a struct `climate` of the block that each lies in; null off the grid."""
         if self.climate is None:

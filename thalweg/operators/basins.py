@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geodesy as g
 from ..functions import hydraulics as h
 from ..sources.rivers import sea_of
+from . import polygons as parts
 from . import shapes
 from .rasters import EDGE, ICE, LAKE, OCEAN
 
@@ -102,6 +103,17 @@ def compared(basins: DataFrame, one: int, two: int) -> DataFrame:
     return both.where(F.col("n") == (1 if one == two else 2)).select((F.col("a.area") / F.col("b.area")).alias("area_ratio"), (F.col("a.q") / F.col("b.q")).alias("discharge_ratio"))
 
 
+def polygons(cells: DataFrame, basins: DataFrame, zoom: int = 8, x0: int = 0, y0: int = 0, factor: int = 4, least: float = OUTLINED, tolerance: float = 0.004) -> DataFrame:
+    """Basins of `least` km2 or more as polygons with holes, from every `factor`-th cell either way, with what is known of each:
+    basin_id, part, depth, inside, cells, rings and name, area, sea, sea_group, river (null where basins lack the column); the
+    largest basin first, then the largest part. Write them with tiles.to_geojson()."""
+    known = basins.where(F.col("area") >= least).select("basin_id", "area", *((F.col(c) if c in basins.columns else F.lit(None).cast("string")).alias(c) for c in ("name", "sea", "sea_group", "river")))
+    some = cells.where((F.col("x") % factor == 0) & (F.col("y") % factor == 0)).select(F.col("term").alias("mask_id"), (F.col("x") + x0).alias("px"), (F.col("y") + y0).alias("py"))
+    found = parts.polygons(some.join(known.select(F.col("basin_id").alias("mask_id")), "mask_id", "left_semi"), zoom, factor, tolerance)
+    out = found.withColumnRenamed("mask_id", "basin_id").join(known, "basin_id")
+    return out.select("basin_id", "part", "depth", "inside", "cells", "rings", "name", "area", "sea", "sea_group", "river").orderBy(F.desc("area"), "basin_id", "part")
+
+
 def outlines(cells: DataFrame, basins: DataFrame, zoom: int = 8, x0: int = 0, y0: int = 0, factor: int = 4, least: float = OUTLINED) -> DataFrame:
     """mask_id (the basin), ring, coords: outlines of basins of `least` km2 or more, from every `factor`-th cell either way."""
     large = basins.where(F.col("area") >= least).select(F.col("basin_id").alias("mask_id"))

@@ -81,15 +81,11 @@ def accumulate(edges: DataFrame, weights: DataFrame | None = None, weight: str =
 
 
 def terminals(edges: DataFrame) -> DataFrame:
-    """cell_id, term: where the path from each cell ends."""
-    state = cut(edges.select("cell_id", F.coalesce("parent_id", "cell_id").alias("term")))
-    for _ in range(_rounds(edges)):
-        jump = state.select(F.col("cell_id").alias("term"), F.col("term").alias("next"))
-        state = cut(state.join(jump, "term").select("cell_id", F.col("next").alias("term"), (F.col("next") != F.col("term")).alias("moved")), state)
-        if not state.where("moved").take(1):
-            return state.select("cell_id", "term")
-    drop(state)
-    return terminals(acyclic(edges))
+    """cell_id, term: where the path from each cell ends. Cells that have found their end are not joined again, so that a large
+    basin's end is no key that all its cells meet in."""
+    links = edges.select(F.col("cell_id").alias("node"), F.col("parent_id").alias("to"), F.lit(0).alias("weight"))
+    found = chase(links, rounds=_rounds(edges))
+    return terminals(acyclic(edges)) if found is None else found.select(F.col("node").alias("cell_id"), F.col("root").alias("term"))
 
 
 def ancestors(edges: DataFrame) -> list[DataFrame]:
@@ -120,19 +116,23 @@ def trace(edges: DataFrame, drops: DataFrame, max_steps: int | None = None) -> D
     return paths if max_steps is None else paths.where(F.col("step") <= max_steps)
 
 
-def chase(links: DataFrame, *scope: str) -> DataFrame:
+def chase(links: DataFrame, *scope: str, rounds: int | None = None) -> DataFrame | None:
     """links: node, to (null at a root), weight, and columns of `scope`, within which nodes are told apart. Returns the scope,
-    node, root, total: the weights of the links on the way there. The links must not form cycles."""
+    node, root, total: the weights of the links on the way there. The links must not form cycles; None, if some
+    still go on after `rounds`."""
     state = cut(links.select(*scope, "node", F.coalesce("to", "node").alias("root"), F.when(F.col("to").isNull(), 0).otherwise(F.col("weight")).cast("long").alias("total"), F.col("to").isNull().alias("done")))
-    settled, going = [state.where("done")], state.where("not done")
+    settled, going, turn, made = [state.where("done")], state.where("not done"), 0, [state]
     while going.take(1):
+        turn += 1
+        if rounds is not None and turn > rounds:
+            return drop(*made)
         # only rows that still move are written again; what they look up is all rows, settled ones where they lie
         every = going
         for s in settled:
             every = every.union(s)
         ahead = every.select(*scope, F.col("node").alias("root"), F.col("root").alias("next"), F.col("total").alias("more"), F.col("done").alias("end"))
         state = cut(going.join(ahead, [*scope, "root"]).select(*scope, "node", F.col("next").alias("root"), (F.col("total") + F.col("more")).alias("total"), F.col("end").alias("done")))
-        settled, going = [*settled, state.where("done")], state.where("not done")
+        settled, going, made = [*settled, state.where("done")], state.where("not done"), [*made, state]
     out = settled[0]
     for s in settled[1:]:
         out = out.union(s)

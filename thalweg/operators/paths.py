@@ -109,17 +109,39 @@ def slopes() -> Column:
 def travel(paths: DataFrame, runoff: Column | float = 300.0) -> DataFrame:
     """paths: drop_id, step, dist, area, elev. A row a path: drop_id, distance, seconds, mean_velocity, max_elev, min_elev,
     fall, slope, final_area, discharge. runoff: mm a year, a number or a column that is the same along a path."""
+    return analysed(paths, runoff, 0)
+
+
+def analysed(paths: DataFrame, runoff: Column | float = 300.0, top: int = 6) -> DataFrame:
+    """What travel() says of each path and, unless top is 0, tributaries: an array of step, dist, gain (lon and lat, where there are
+    such columns) of those of tributaries(), the largest first; countries, in the order of first sight, if there is such a column; and
+    the box lon0, lat0, lon1, lat1. One pass: rows are dealt and sorted by path once, for all windows and the sums. An area
+    that grows by 8 % each time can't do so often, so the array is short."""
     mm = runoff if isinstance(runoff, Column) else F.lit(float(runoff))
-    out = paths.withColumn("__mm", mm).withColumn("__d", F.col("dist") - F.lag("dist").over(order())).withColumn("__s", slopes())
+    before = F.lag("area").over(order())
+    out = paths.withColumns({"__mm": mm, "__d": F.col("dist") - F.lag("dist").over(order()), "__s": slopes(), "__gain": F.col("area") - before, "__before": before})
     out = out.withColumn("__v", F.when(F.col("__d") > 0, h.velocity(F.col("area"), F.col("__s"), F.col("__mm"))))
+    more, also = [], []
+    if top:
+        at = [c for c in ("lon", "lat") if c in paths.columns]
+        met = F.when(F.col("__gain") > F.greatest(F.lit(25.0), F.col("__before") * 0.08), F.struct((-F.col("__gain")).alias("o"), "step", "dist", F.col("__gain").alias("gain"), *at))
+        more.append(F.slice(F.sort_array(F.collect_list(met)), 1, top).alias("__t"))
+        also.append(F.transform("__t", lambda x: F.struct(*(x[c].alias(c) for c in ("step", "dist", "gain", *at)))).alias("tributaries"))
+        if "country" in paths.columns:
+            out = out.withColumn("__new", F.col("country").isNotNull() & ~F.col("country").eqNullSafe(F.lag("country").over(order())))
+            more.append(F.sort_array(F.collect_list(F.when(F.col("__new"), F.struct("step", "country")))).alias("__c"))
+            also.append(F.array_distinct(F.transform("__c", lambda x: x["country"])).alias("countries"))
+        if at:
+            more += [f(c).alias(n) for f, c, n in ((F.min, "lon", "lon0"), (F.min, "lat", "lat0"), (F.max, "lon", "lon1"), (F.max, "lat", "lat1"))]
+            also += ["lon0", "lat0", "lon1", "lat1"]
     out = out.groupBy("drop_id").agg(
         F.max("dist").alias("distance"), F.coalesce(F.sum(F.col("__d") / F.col("__v")), F.lit(0.0)).alias("seconds"), F.sum(F.col("__d") * F.col("__v")).alias("vd"),
-        F.max("elev").alias("max_elev"), F.min("elev").alias("min_elev"), F.max_by("area", "step").alias("final_area"), F.max("__mm").alias("mm"),
+        F.max("elev").alias("max_elev"), F.min("elev").alias("min_elev"), F.max_by("area", "step").alias("final_area"), F.max("__mm").alias("mm"), *more,
     )
     moved, fall = F.col("distance") > 0, F.col("max_elev") - F.col("min_elev")
     return out.select(
         "drop_id", "distance", "seconds", F.when(moved, F.col("vd") / F.col("distance")).otherwise(0.0).alias("mean_velocity"), "max_elev", "min_elev", fall.alias("fall"),
-        F.when(moved, fall / F.col("distance")).otherwise(0.0).alias("slope"), "final_area", h.discharge(F.col("final_area"), F.col("mm")).alias("discharge"),
+        F.when(moved, fall / F.col("distance")).otherwise(0.0).alias("slope"), "final_area", h.discharge(F.col("final_area"), F.col("mm")).alias("discharge"), *also,
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geodesy as g
 from ..functions.lineage import cut
 from ..sources.rivers import canonical
-from . import shapes
+from . import generalise, shapes
 from .flow import catchment, chase
 
 
@@ -108,6 +108,22 @@ def levels(cells: DataFrame, thresholds: tuple[float, ...] = (20000.0, 1500.0, 2
     return out
 
 
+def layers(cells: DataFrame, thresholds: tuple[float, ...] = (20000.0, 1500.0, 250.0), tolerances: tuple[float, ...] = (0.02, 0.005, 0.0025), zoom: int = 8, x0: int = 0, y0: int = 0) -> DataFrame:
+    """The reaches of levels() as lines to draw: lod, line_id, up, dn, so, coords, each level simplified with a tolerance (degrees)
+    of its own, rounded to 5 places, and to 4 on the levels from 2 on. Ends of reaches that meet are the same vertex."""
+    acc, out = cells.select("cell_id", "parent_id", "acc"), None
+    known = levels(cells, thresholds)
+    for lod, (threshold, tolerance) in enumerate(zip(thresholds, tolerances, strict=True)):
+        given = cut(lines(extract(acc, threshold), cells, zoom, x0, y0))
+        places = 5 if lod < 2 else 4
+        thin = generalise.simplified(given, tolerance)
+        thin = thin.withColumn("coords", F.transform("coords", lambda p: F.struct(F.round(p["lon"], places).alias("lon"), F.round(p["lat"], places).alias("lat"))))
+        own = known.where(F.col("lod") == lod).select("lod", F.col("reach_id").alias("line_id"), "up", "dn", "so")
+        own = own.join(thin.select("line_id", "coords"), "line_id").select("lod", "line_id", "up", "dn", "so", "coords")
+        out = own if out is None else out.union(own)
+    return out
+
+
 def probes(vertices: DataFrame, most: int = 8) -> DataFrame:
     """vertices: reach_id, seq, lon, lat. Up to eight of each reach, evenly from the first on."""
     n = F.count(F.lit(1)).over(W.partitionBy("reach_id"))

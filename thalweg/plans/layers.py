@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, shared_dir
-from ..operators import generalise, polygons, reaches, search, spans
+from ..operators import generalise, paths, polygons, reaches, search, spans
 from ..sources import tiles, tilestore
+from .core import _SLOPES, _W, _r
 from .tables import PX, PY, ZOOM, Tables, duck
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -96,6 +97,43 @@ def reach_lines(t: Tables) -> DataFrame:
     return thin.join(hit, "line_id", "left").join(n, "line_id").select("line_id", *ends, F.coalesce("k", F.lit(0)).cast("long").alias("new_crossings"), (F.size("coords") <= F.col("n")).alias("no_longer"))
 
 
+@query("""
+    WITH n AS (SELECT cell_id, parent_id, acc FROM {acc} WHERE acc >= 5), l AS (SELECT unnest([0, 1, 2]) AS lod, unnest([60, 20, 5]) AS least),
+    d AS MATERIALIZED (SELECT l.lod, n.cell_id, n.parent_id FROM n JOIN n m ON m.cell_id = n.parent_id JOIN l ON n.acc >= l.least AND m.acc >= l.least),
+    deg AS (SELECT lod, parent_id, count(*) AS k FROM d GROUP BY lod, parent_id),
+    h AS MATERIALIZED (SELECT l.lod, n.cell_id FROM n JOIN l ON n.acc >= l.least LEFT JOIN deg ON deg.parent_id = n.cell_id AND deg.lod = l.lod WHERE coalesce(k, 0) <> 1)
+    SELECT CAST(h.lod AS INTEGER) AS lod, h.cell_id AS line_id, round(CAST(a.acc AS DOUBLE), 1) AS up, true AS ends_meet FROM h JOIN d ON d.lod = h.lod AND d.cell_id = h.cell_id JOIN {acc} a ON a.cell_id = h.cell_id""")
+def river_layers(t: Tables) -> DataFrame:
+    """Lines of three levels; each ends in a vertex that another line of its level begins with, or where no water goes on."""
+    grid = t("cells").join(t("acc").select("cell_id", "parent_id", "acc"), "cell_id")
+    drawn = cut(reaches.layers(grid, (60.0, 20.0, 5.0), (0.02, 0.005, 0.0025), ZOOM, PX, PY))
+    ends = drawn.select("lod", "line_id", F.round(F.col("up").cast("double"), 1).alias("up"), F.element_at("coords", -1).alias("e"))
+    starts = drawn.select("lod", F.get("coords", F.lit(0)).alias("e")).distinct().withColumn("met", F.lit(True))
+    last = ends.join(starts, ["lod", "e"], "left")
+    body = reaches.lines(reaches.extract(grid.select("cell_id", "parent_id", "acc"), 5), grid, ZOOM, PX, PY)  # what goes on is part of the finest level
+    mouths = body.select(F.element_at("coords", -1).alias("m")).join(body.select(F.get("coords", F.lit(0)).alias("m")), "m", "left_anti").select(*(F.round(F.col("m")[c], 4).alias(c) for c in ("lon", "lat"))).distinct()
+    at = last.select("lod", "line_id", "up", "met", *(F.round(F.col("e")[c], 4).alias(c) for c in ("lon", "lat"))).join(mouths.withColumn("mouth", F.lit(True)), ["lon", "lat"], "left")
+    return at.select("lod", "line_id", "up", F.coalesce("met", "mouth", F.lit(False)).alias("ends_meet"))
+
+
+@query(f"""
+    WITH w AS MATERIALIZED (SELECT drop_id, step, CAST(dist AS DOUBLE) AS dist, acc * 3.0::DOUBLE AS area, z / 10.0::DOUBLE AS elev, nation FROM {{steps}}),
+    s AS (SELECT *, coalesce({_SLOPES}, 0.00003) AS slope, dist - lag(dist) {_W}) AS d, area - lag(area) {_W}) AS gain, lag(area) {_W}) AS before FROM w),
+    v AS (SELECT *, CASE WHEN d > 0 THEN CASE WHEN area < 1 THEN least(0.6, greatest(0.03, 1.2 * sqrt(slope))) ELSE least(4.0, greatest(0.05, pow(0.3 * pow(greatest(area * 300 / 31557.6, 0.01), 0.3), 2.0 / 3) * sqrt(slope) / 0.04)) END END AS v FROM s),
+    g AS (SELECT drop_id, max(dist) AS distance, coalesce(sum(d / v), 0) AS seconds, sum(d * v) AS vd, max(elev) - min(elev) AS fall, max_by(area, step) AS final_area FROM v GROUP BY drop_id),
+    r AS (SELECT drop_id, step, gain, row_number() OVER (PARTITION BY drop_id ORDER BY gain DESC, step) AS r FROM s WHERE gain > greatest(25, 0.08 * before)),
+    tr AS (SELECT drop_id, string_agg(step || ':' || CAST(gain AS BIGINT), ' ' ORDER BY r) AS tributaries FROM r WHERE r <= 6 GROUP BY drop_id),
+    c AS (SELECT drop_id, string_agg(CAST(nation AS VARCHAR), ' ' ORDER BY first) AS countries FROM (SELECT drop_id, nation, min(step) AS first FROM w GROUP BY drop_id, nation) f GROUP BY drop_id)
+    SELECT g.drop_id, distance, round(seconds, 3) AS seconds, round(CASE WHEN distance > 0 THEN vd / distance ELSE 0 END, 6) AS mean_velocity, round(fall, 4) AS fall, round(final_area * 300 / 31557.6, 8) AS discharge, coalesce(tributaries, '') AS tributaries, countries
+    FROM g LEFT JOIN tr USING (drop_id) JOIN c USING (drop_id)""")
+def analyse_paths(t: Tables) -> DataFrame:
+    """Length, time, fall, tributaries and countries of each drop's path, by one pass over its rows. Cells of 3 km2 here."""
+    rows = t("steps").select("drop_id", "step", F.col("dist").cast("double").alias("dist"), (F.col("acc") * 3.0).alias("area"), (F.col("z") / 10.0).alias("elev"), F.col("nation").cast("string").alias("country"))
+    found = paths.analysed(rows)
+    steps = F.transform("tributaries", lambda x: F.concat(x["step"].cast("string"), F.lit(":"), x["gain"].cast("long").cast("string")))
+    return found.select("drop_id", "distance", _r("seconds", 3), _r("mean_velocity", 6), _r("fall", 4), _r("discharge", 8), F.array_join(steps, " ").alias("tributaries"), F.array_join("countries", " ").alias("countries"))
+
+
 @query("""
     WITH m AS (SELECT o.outlet_id, c.y, c.x FROM {rough_outlets} o JOIN {rough_closure} a ON a.up = o.outlet_id JOIN {rough} c ON c.cell_id = a.cell_id),
     i AS (SELECT *, x - row_number() OVER (PARTITION BY outlet_id, y ORDER BY x) AS island FROM m)
