@@ -505,9 +505,13 @@ def _text(v) -> str:
 _HISTORY = ", ".join("(" + ", ".join(map(_text, e)) + ")" for e in rivers.HISTORY)
 
 
-@query(f"SELECT CAST(year AS INTEGER) AS year, CAST(until AS INTEGER) AS until, title, river, lon, lat, kind FROM (VALUES {_HISTORY}) v(year, until, title, river, lon, lat, kind) WHERE year <= 1955")
+@query(f"""
+    WITH h(year, until, title, river, lon, lat, kind) AS (VALUES {_HISTORY})
+    SELECT o_year AS asked, CAST(year AS INTEGER) AS year, CAST(until AS INTEGER) AS until, title, river, kind, orders FROM (SELECT 1600 + 40 * (year(o_orderdate) - 1990) AS o_year, count(*) AS orders FROM {{orders}} GROUP BY 1) o JOIN h ON year <= o_year""")
 def history_until(t: Tables) -> DataFrame:
-    return rivers.history_until(t.spark, 1955)
+    """What had begun by years that follow from those of the orders, and how many orders ask for it."""
+    years = t("orders").groupBy((1600 + 40 * (F.year("o_orderdate") - 1990)).cast("long").alias("asked")).agg(F.count(F.lit(1)).alias("orders"))
+    return rivers.begun(years, "asked").select("asked", "year", "until", "title", "river", "kind", "orders")
 
 
 _FACTS = ", ".join(f"({_text(f[0])}, {f[1]}, {f[2]}, {f[3]})" for f in rivers.FACTS)

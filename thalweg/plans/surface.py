@@ -11,6 +11,7 @@ from ..functions import seasons as s
 from ..operators import basins, climate, gazetteer, journeys, paths, rasters, reaches, shapes
 from ..sources import rivers
 from .core import _MIDDLES, _grid, _r, _text, _vertices
+from .hydrology import snow_sql
 from .tables import PX, PY, ZOOM, Tables, duck
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -27,9 +28,16 @@ def query(oracle: str | None = None):
 
 
 # -- tables ---------------------------------------------------------------------------------------------------------------
-@query("SELECT river, discharge FROM (VALUES " + ", ".join(f"({_text(k)}, {float(v)!r}::DOUBLE)" for k, v in rivers.GAUGED.items()) + ") v(river, discharge)")
+_GAUGES = ", ".join(f"({i}, {_text(k)}, {float(v)!r}::DOUBLE)" for i, (k, v) in enumerate(rivers.GAUGED.items()))
+
+
+@query(f"WITH g(k, river, discharge) AS (VALUES {_GAUGES}) SELECT id, coalesce(river, name) AS river, discharge FROM {{place}} LEFT JOIN g ON g.k = id % {len(rivers.GAUGED) + 9}")
 def gauged_rivers(t: Tables) -> DataFrame:
-    return rivers.gauges(t.spark)
+    """Places under the names of gauged rivers in turn, and some under their own, with what is gauged there."""
+    turn = t.spark.createDataFrame(list(enumerate(rivers.GAUGED)), "k long, asked string")
+    rows = t("place").withColumn("k", F.col("id") % (len(rivers.GAUGED) + 9)).join(F.broadcast(turn), "k", "left")  # a literal table
+    asked = rows.select("id", F.coalesce("asked", "name").alias("river"))
+    return asked.join(F.broadcast(rivers.gauges(t.spark)), "river", "left").select("id", "river", "discharge")
 
 
 _SEAS = ", ".join(f"({_text(k)}, {_text(a)}, {_text(b)})" for k, (a, b) in rivers.SEA_GROUPS.items())
@@ -105,7 +113,13 @@ def path_runoff(t: Tables) -> DataFrame:
     return t.engine(climate=_weather(t)).spec_runoff(at).withColumn("runoff", F.round("runoff", 4))
 
 
-@query()
+_WEATHER_CLIMATE = "w AS (SELECT DISTINCT x DIV 8 AS bx, y DIV 8 AS bky, x DIV 8 * 31 + y DIV 8 * 17 AS k FROM {cells}), cl AS (SELECT bx, bky, k % 3000 + 0.4::DOUBLE AS precip, k % 100 / 100.0::DOUBLE AS season_amp, k % 120 / 10.0::DOUBLE AS season_phase, k % 50 - 15.3::DOUBLE AS temp, k % 20 + 0.5::DOUBLE AS temp_amp, k % 900 + 7.9::DOUBLE AS runoff FROM w)"
+
+
+@query(f"""
+    WITH RECURSIVE {snow_sql(_WEATHER_CLIMATE)},
+    s AS (SELECT bx, bky, sum(melt) / coalesce(nullif(sum(gross), 0), 1) AS share FROM gr GROUP BY bx, bky)
+    SELECT bx, bky, round(share, 6) AS snowmelt, round((1 - share) * (1 - {s.KEPT_IN_STORE}), 6) AS rain, round((1 - share) * {s.KEPT_IN_STORE}, 6) AS groundwater FROM s""")
 def season_shares(t: Tables) -> DataFrame:
     out = s.seasons(_weather(t)).withColumn("s", s.shares(F.col("season")))
     return out.select("bx", "bky", *(F.round(f"s.{c}", 6).alias(c) for c in ("snowmelt", "rain", "groundwater")))
@@ -176,10 +190,18 @@ def upstream_feeders(t: Tables) -> DataFrame:
 
 
 # -- reaches, layers, labels ----------------------------------------------------------------------------------------------
-@query()
+@query("""
+    WITH RECURSIVE a AS MATERIALIZED (SELECT * FROM {rough_acc}), l AS (SELECT unnest([0, 1, 2]) AS lod, unnest([40, 15, 5]) AS least),
+    n AS MATERIALIZED (SELECT lod, cell_id, parent_id FROM a JOIN l ON acc >= least),
+    d AS MATERIALIZED (SELECT n.lod, n.cell_id, n.parent_id FROM n JOIN n m ON m.cell_id = n.parent_id AND m.lod = n.lod), deg AS (SELECT lod, parent_id, count(*) AS k FROM d GROUP BY lod, parent_id),
+    h AS MATERIALIZED (SELECT n.lod, n.cell_id FROM n LEFT JOIN deg ON deg.parent_id = n.cell_id AND deg.lod = n.lod WHERE coalesce(k, 0) <> 1),
+    r(lod, reach_id, pos, cell_id, over) AS (SELECT lod, cell_id, CAST(0 AS BIGINT), cell_id, false FROM h UNION ALL
+        SELECT r.lod, r.reach_id, r.pos + 1, d.parent_id, h.cell_id IS NOT NULL FROM r JOIN d ON d.cell_id = r.cell_id AND d.lod = r.lod LEFT JOIN h ON h.cell_id = d.parent_id AND h.lod = d.lod WHERE NOT r.over),
+    e AS (SELECT lod, reach_id, count(*) AS cells, min_by(cell_id, pos) AS head, max_by(cell_id, pos) AS tail FROM r GROUP BY lod, reach_id HAVING count(*) > 1)
+    SELECT CAST(e.lod AS INTEGER) AS lod, e.reach_id, e.cells, e.head, e.tail, p.acc AS up, q.acc AS dn, c.x, c.y FROM e JOIN a p ON p.cell_id = e.head JOIN a q ON q.cell_id = e.tail JOIN {rough} c ON c.cell_id = e.tail""")
 def reach_levels(t: Tables) -> DataFrame:
     built = api.build(t("rough").select("cell_id", "x", "y", "z", "w", "cls"), stream=3)
-    return reaches.levels(built, (40.0, 15.0, 5.0))
+    return reaches.levels(built, (40.0, 15.0, 5.0)).select("lod", "reach_id", "cells", "head", "tail", F.col("up").cast("long").alias("up"), F.col("dn").cast("long").alias("dn"), "x", "y")
 
 
 @query()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,6 +140,14 @@ HISTORY = [
     (2023, None, "Kakhovka dam destroyed", "Dnipro", 33.37, 46.78, "disaster"),
 ]
 
+# Groups of seas by boxes (least and largest longitude, least and largest latitude, None without a limit), in the
+# order in which they count, and the group of what lies in none.
+SEA_BOXES = [
+    ("caspian", [(45, None, 36, 48)]), ("black", [(26, 42, 40, 48)]), ("arctic", [(None, None, 66, None), (20, None, 62, None)]),
+    ("mediterranean", [(-6, None, None, 46)]), ("baltic", [(9, 31, 53, 66)]), ("northsea", [(-5, 10, 51, 61)]),
+]
+OTHER_SEA = "atlantic"
+
 # Points to start from, name, lon, lat.
 START_POINTS = [
     ("A field near Munich", 11.58, 48.14), ("The Matterhorn", 7.66, 45.98), ("Snowdonia", -3.99, 53.07),
@@ -179,16 +190,21 @@ def history_until(spark: SparkSession, year: int) -> DataFrame:
     return history(spark).where(F.col("year") <= year).orderBy(F.desc("year"), F.desc("title"))
 
 
+def begun(years: DataFrame, column: str) -> DataFrame:
+    """years with what had begun by each of them: the columns of history()."""
+    return years.join(F.broadcast(history(years.sparkSession)), F.col("year") <= F.col(column))  # a literal table
+
+
 def sea_by_position(lon: Column, lat: Column) -> Column:
-    """The group of seas of a point, by boxes; the first that holds."""
-    boxes = (
-        ((lon > 45) & (lat > 36) & (lat < 48), "caspian"), ((lon > 26) & (lon < 42) & (lat > 40) & (lat < 48), "black"), ((lat > 66) | ((lon > 20) & (lat > 62)), "arctic"),
-        ((lat < 46) & (lon > -6), "mediterranean"), ((lon > 9) & (lon < 31) & (lat > 53) & (lat < 66), "baltic"), ((lon > -5) & (lon < 10) & (lat > 51) & (lat < 61), "northsea"),
-    )
-    out = None
-    for held, group in boxes:
-        out = F.when(held, group) if out is None else out.when(held, group)
-    return out.otherwise("atlantic")
+    """The group of seas of a point: that of the first box that it lies in, without its sides."""
+    out = F.lit(OTHER_SEA)
+    for group, held in reversed(SEA_BOXES):
+        inside = [F.lit(True)]
+        for box in held:
+            sides = [v > low for v, low in zip((lon, lat), box[::2]) if low is not None] + [v < high for v, high in zip((lon, lat), box[1::2]) if high is not None]
+            inside.append(reduce(operator.and_, sides))
+        out = F.when(reduce(operator.or_, inside[1:]), group).otherwise(out)
+    return out
 
 
 def sea_of(marine: Column, lon: Column, lat: Column) -> Column:
