@@ -7,6 +7,7 @@ a cycle; where a table of edges has one all the same, its smallest cell is made
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lineage import add, cut, drop
@@ -53,6 +54,30 @@ def acyclic(edges: DataFrame) -> DataFrame:
     return cut(out.select("cell_id", F.when(~F.col("sink"), F.col("parent_id")).alias("parent_id"), "sink"), sinks)
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """cell_id, degree: how many cells flow straight to each; cells that none flows to are left out."""
+    return edges.where("parent_id is not null").groupBy(F.col("parent_id").alias("cell_id")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def network(acc: DataFrame, threshold: float) -> DataFrame:
+    """The cells of acc at least threshold."""
+    return acc.where(F.col("acc") >= threshold)
+
+
+def above(acc: DataFrame) -> DataFrame:
+    """acc: cell_id, parent_id, acc. cell_id, above, acc, rank: the cells that flow straight to each, the largest first, then the
+    smaller id."""
+    rank = F.row_number().over(W.partitionBy("parent_id").orderBy(F.desc("acc"), "cell_id"))  # eight at most
+    return acc.where("parent_id is not null").select(F.col("parent_id").alias("cell_id"), F.col("cell_id").alias("above"), "acc", rank.alias("rank"))
+
+
+def falls(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """cell_id, parent_id, fall: how much lower the cell is that each flows to."""
+    z = cells.select("cell_id", "z")
+    met = edges.where("parent_id is not null").join(z, "cell_id").join(z.select(F.col("cell_id").alias("parent_id"), F.col("z").alias("__to")), "parent_id")
+    return met.select("cell_id", "parent_id", (F.col("z") - F.col("__to")).alias("fall"))
+
+
 def totals(edges: DataFrame, values: DataFrame, **aggregates: tuple[str, str]) -> DataFrame:
     """Aggregates over all cells upstream of each, itself included: name=(kind, column of values), kind being sum, min or
     max. values: cell_id and those columns; null counts as nothing. Returns cell_id and the names."""

@@ -10,7 +10,7 @@ from ..functions import geodesy as g
 from ..functions.lineage import cut
 from ..sources.rivers import canonical
 from . import generalise, shapes
-from .flow import catchment, chase
+from .flow import catchment, chase, degrees, network
 
 
 def extract(acc: DataFrame, threshold: float) -> DataFrame:
@@ -28,6 +28,13 @@ def extract(acc: DataFrame, threshold: float) -> DataFrame:
     return out.join(several, "reach_id", "left_semi")
 
 
+def heads(acc: DataFrame, threshold: float) -> DataFrame:
+    """cell_id, degree: the cells that a reach of extract() may start with: sources of the network, and where several cells of it
+    meet."""
+    net = network(acc, threshold)
+    return net.select("cell_id").join(degrees(net), "cell_id", "left").select("cell_id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree")).where("degree <> 1")
+
+
 def summarise(reaches: DataFrame, acc: DataFrame) -> DataFrame:
     """A row a reach: reach_id, cells, head, tail, up and dn (acc at its ends)."""
     met = reaches.join(acc.select("cell_id", "acc"), "cell_id")

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
-from . import core, hydrology, layers, surface
+from . import core, hydrology, layers, network, surface
 from .statements import STATEMENTS
 from .tables import BASE, Tables, duck
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = core.QUERIES | surface.QUERIES | hydrology.QUERIES | layers.QUERIES
-ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | surface.ORACLE_SQL | hydrology.ORACLE_SQL | layers.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = core.QUERIES | surface.QUERIES | hydrology.QUERIES | layers.QUERIES | network.QUERIES
+ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | surface.ORACLE_SQL | hydrology.ORACLE_SQL | layers.ORACLE_SQL | network.ORACLE_SQL
 
 
 def _statement(name: str, text: str) -> None:

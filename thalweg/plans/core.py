@@ -397,7 +397,7 @@ def elev_quantise(t: Tables) -> DataFrame:
 
 
 _BESIDE = "c AS MATERIALIZED (SELECT cell_id, x, y, w, z FROM {cells}), j AS (SELECT c.cell_id, c.z, e.z AS e, v.z AS v, s.z AS s, n.z AS n FROM c LEFT JOIN c e ON e.cell_id = c.cell_id + 1 AND e.y = c.y LEFT JOIN c v ON v.cell_id = c.cell_id - 1 AND v.y = c.y LEFT JOIN c s ON s.cell_id = c.cell_id + c.w LEFT JOIN c n ON n.cell_id = c.cell_id - c.w)"
-SQL.pop("overlay_slope"), SQL.pop("hillshade")
+
 
 
 @query(f"WITH {_BESIDE} SELECT cell_id, round(degrees(atan(sqrt(pow(CAST(coalesce(e, z) - coalesce(v, z) AS DOUBLE), 2) + pow(CAST(coalesce(s, z) - coalesce(n, z) AS DOUBLE), 2)) / 10 / 600)), 8) AS slope FROM j")

@@ -71,106 +71,39 @@ DERIVED = {
 
 _SIZE = "CASE WHEN {0} < 0.5 THEN 'Overland flow' WHEN {0} < 5 THEN 'Headwater stream' WHEN {0} < 50 THEN 'Stream' WHEN {0} < 500 THEN 'Small river' WHEN {0} < 5000 THEN 'River' WHEN {0} < 50000 THEN 'Major river' ELSE 'Great river' END"
 _PATH = "OVER (PARTITION BY drop_id ORDER BY step"
-_AROUND = f"{_PATH} ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)"
-_SLOPE = f"greatest(CAST(0.00003 AS DOUBLE), CAST(first_value(z) {_AROUND} - last_value(z) {_AROUND} AS DOUBLE) / 10 / greatest(1, max(dist) {_AROUND} - min(dist) {_AROUND}))"
 
 STATEMENTS = {
     # joins and degrees
     "downstream_join": "SELECT e.cell_id, e.parent_id, c.z - n.z AS fall FROM {edges} e JOIN {cells} c ON c.cell_id = e.cell_id JOIN {cells} n ON n.cell_id = e.parent_id",
     "in_degree": "SELECT parent_id AS cell_id, count(*) AS degree FROM {edges} WHERE parent_id IS NOT NULL GROUP BY parent_id",
     "upstream_neighbours": "SELECT e.parent_id AS cell_id, e.cell_id AS above, a.acc, row_number() OVER (PARTITION BY e.parent_id ORDER BY a.acc DESC, e.cell_id) AS rank FROM {edges} e JOIN {acc} a ON a.cell_id = e.cell_id WHERE e.parent_id IS NOT NULL",
-    "outlets": "SELECT cell_id, acc FROM {acc} WHERE dir = 0 AND acc >= 25",
     "stream_threshold": "SELECT acc >= 50 AS lod0, acc >= 10 AS lod1, count(*) AS cells FROM {acc} WHERE acc >= 3 GROUP BY acc >= 50, acc >= 10",
     "direction_histogram": "SELECT dir, count(*) AS cells FROM {edges} GROUP BY dir",
     "mass_conservation": "SELECT CAST(sum(acc) AS BIGINT) AS drained, (SELECT count(*) FROM {cells}) AS cells FROM {acc} WHERE parent_id IS NULL",
     "watershed_totals": "SELECT o.outlet_id, a.acc AS cells, a.acc * 90000 AS area_m2 FROM {outlet_points} o JOIN {acc} a ON a.cell_id = o.outlet_id",
     "reach_heads": "SELECT a.cell_id, coalesce(d.n, 0) AS degree FROM {acc} a LEFT JOIN (SELECT parent_id, count(*) AS n FROM {acc} WHERE acc >= 5 AND parent_id IS NOT NULL GROUP BY parent_id) d ON d.parent_id = a.cell_id WHERE a.acc >= 5 AND coalesce(d.n, 0) <> 1",
     # basins
-    "basin_stats": "SELECT basin_id, count(*) AS cells, CAST(sum(z) AS BIGINT) AS sum_z, min(z) AS min_z, max(z) AS max_z, round(avg(z), 4) AS mean_z, round(100.0E0 * sum(CASE WHEN cls = 5 THEN 1 ELSE 0 END) / count(*), 2) AS ice_pct, round(100.0E0 * sum(CASE WHEN cls = 2 THEN 1 ELSE 0 END) / count(*), 2) AS lake_pct FROM {basin} GROUP BY basin_id",
-    "basin_country_share": "SELECT basin_id, nation, n_name, cells, pct FROM (SELECT b.*, row_number() OVER (PARTITION BY basin_id ORDER BY cells DESC, nation) AS r FROM (SELECT basin_id, nation, count(*) AS cells, round(100.0E0 * count(*) / sum(count(*)) OVER (PARTITION BY basin_id), 1) AS pct FROM {basin} GROUP BY basin_id, nation) b) s JOIN {nation} n ON n.n_nationkey = s.nation WHERE r <= 6 AND pct >= 0.4",
     "top_basins": "SELECT basin_id, count(*) AS cells FROM {basin} GROUP BY basin_id ORDER BY cells DESC, basin_id LIMIT 50",
-    "big_basins": "SELECT basin_id, count(*) AS cells FROM {basin} GROUP BY basin_id HAVING count(*) >= 30",
-    "basin_main_stem": """
-        WITH n AS (SELECT t.term AS basin_id, p.p_brand AS name, max(a.acc) AS dn, count(*) AS n FROM {acc} a JOIN {term} t ON t.cell_id = a.cell_id JOIN {part} p ON p.p_partkey = a.cell_id % (SELECT count(*) FROM {part}) WHERE a.acc >= 10 GROUP BY t.term, p.p_brand),
-        b AS (SELECT *, max(dn) OVER (PARTITION BY basin_id) AS best FROM n),
-        r AS (SELECT *, row_number() OVER (PARTITION BY basin_id ORDER BY n DESC, dn DESC, name) AS r FROM b WHERE dn >= 0.6 * best)
-        SELECT basin_id, name, name || ' basin' AS label, dn, n FROM r WHERE r = 1""",
-    "compare_basins": "WITH b AS (SELECT basin_id, count(*) AS cells FROM {basin} GROUP BY basin_id), r AS (SELECT *, row_number() OVER (ORDER BY cells DESC, basin_id) AS r FROM b) SELECT a.basin_id AS one, c.basin_id AS two, round(CAST(a.cells AS DOUBLE) / c.cells, 6) AS ratio FROM r a JOIN r c ON c.r = a.r + 1",
     "size_class_hist": f"SELECT {_SIZE.format('acc * 0.09')} AS size_class, count(*) AS cells FROM {{acc}} GROUP BY 1",
     # paths
-    "trace_distance": "SELECT drop_id, step, cell_id, CAST(dist AS BIGINT) AS dist FROM {steps}",
     "trace_ends": "SELECT drop_id, max(step) AS steps, CAST(max(dist) AS BIGINT) AS dist, max_by(cell_id, step) AS last_cell FROM {steps} GROUP BY drop_id",
-    "running_min_elev": f"SELECT drop_id, step, min(CASE WHEN step % 7 = 3 THEN NULL ELSE z + step % 5 * 400 END) {_PATH}) AS elev FROM {{steps}}",
-    "area_locf": "SELECT drop_id, step, coalesce(max(a) OVER (PARTITION BY drop_id, island), 0) AS area FROM (SELECT drop_id, step, a, count(a) OVER (PARTITION BY drop_id ORDER BY step) AS island FROM (SELECT drop_id, step, CASE WHEN step % 3 = 1 THEN acc END AS a FROM {steps}) s) t",
-    "slope_window": f"SELECT drop_id, step, round({_SLOPE}, 8) AS slope FROM {{steps}}",
-    "velocity_travel_time": f"""
-        WITH s AS (SELECT drop_id, step, dist, acc * 0.09E0 AS area, {_SLOPE} AS slope, dist - lag(dist) {_PATH}) AS d FROM {{steps}}),
-        v AS (SELECT drop_id, d, CASE WHEN area < 1 THEN least(greatest(1.2E0 * sqrt(slope), 0.03E0), 0.6E0) ELSE least(greatest(pow(0.3E0 * pow(greatest(area * 300 / 31557.6E0, 0.01E0), 0.3E0), 2.0E0 / 3) * sqrt(slope) / 0.04E0, 0.05E0), 4.0E0) END AS v FROM s WHERE d > 0)
-        SELECT drop_id, round(sum(d / v), 4) AS seconds, round(sum(v * d) / sum(d), 6) AS mean_v FROM v GROUP BY drop_id""",
     "discharge": "SELECT cell_id, round(acc * 0.09E0 * 300 / 31557.6E0, 8) AS m3s FROM {acc} WHERE acc >= 10",
-    "tributaries_topk": f"SELECT drop_id, step, gain, rank FROM (SELECT drop_id, step, gain, row_number() OVER (PARTITION BY drop_id ORDER BY gain DESC, step) AS rank FROM (SELECT drop_id, step, acc - lag(acc) {_PATH}) AS gain, lag(acc) {_PATH}) AS before FROM {{steps}}) g WHERE gain * 0.09E0 > greatest(25.0E0, 0.08E0 * before * 0.09E0)) r WHERE rank <= 6",
     "journey_steps": f"SELECT drop_id, run, min(step) AS first_step, max(step) AS last_step, min(cls) AS cls, min(nation) AS nation, CAST(max(dist) - min(dist) AS BIGINT) AS length FROM (SELECT *, CAST(sum(cut) {_PATH}) AS BIGINT) AS run FROM (SELECT *, CASE WHEN lag(cls) {_PATH}) = cls AND lag(nation) {_PATH}) = nation THEN 0 ELSE 1 END AS cut FROM {{steps}}) a) b GROUP BY drop_id, run",
-    "lake_runs": f"SELECT drop_id, min(step) AS first_step, CAST(max(dist) - min(dist) AS BIGINT) AS length FROM (SELECT *, step - row_number() {_PATH}) AS island FROM {{steps}} WHERE cls = 2) a GROUP BY drop_id, island HAVING max(dist) - min(dist) >= 2000",
     "ordered_countries": "SELECT drop_id, nation, n_name, row_number() OVER (PARTITION BY drop_id ORDER BY first_step) AS place FROM (SELECT drop_id, nation, min(step) AS first_step FROM {steps} GROUP BY drop_id, nation) f JOIN {nation} n ON n.n_nationkey = f.nation",
-    "path_extent": "SELECT drop_id, min(z) AS low, max(z) AS high, max(z) - min(z) AS fall, round(CAST(max(z) - min(z) AS DOUBLE) / greatest(1, max(dist)), 8) AS mean_slope FROM {steps} GROUP BY drop_id",
-    "path_resample": "SELECT drop_id, step, cell_id FROM (SELECT *, max(step) OVER (PARTITION BY drop_id) AS last FROM {steps}) s WHERE step % 7 = 0 OR step = last",
-    "storm_points": "SELECT drop_id, step, cell_id FROM {path} WHERE step % 3 = 0 AND step < 3600",
-    "timeline_interpolation": f"SELECT drop_id, step, round(z + (5000 - dist) * (nz - z) / CAST(nd - dist AS DOUBLE), 4) AS z FROM (SELECT *, lead(dist) {_PATH}) AS nd, lead(z) {_PATH}) AS nz FROM {{steps}}) s WHERE dist <= 5000 AND nd > 5000",
-    "sea_tail": "SELECT drop_id, count(*) AS tail FROM (SELECT *, row_number() OVER (PARTITION BY drop_id ORDER BY step DESC) AS back FROM {steps}) s WHERE back <= 3 AND cls = 1 GROUP BY drop_id",
     "drop_basin": "SELECT d.drop_id, d.cell_id, t.term AS basin_id, c.cls FROM {drops} d JOIN {term} t ON t.cell_id = d.cell_id LEFT JOIN {cells} c ON c.cell_id = t.term",
-    "cell_probe": "SELECT d.drop_id, c.z, a.acc, c.cls, c.cls IN (1, 2) AS water, n.n_name FROM {drops} d LEFT JOIN {cells} c ON c.cell_id = d.cell_id LEFT JOIN {acc} a ON a.cell_id = d.cell_id LEFT JOIN {nation} n ON n.n_nationkey = c.nation",
-    "snap_to_river": """
-        WITH near AS (SELECT d.drop_id, a.cell_id, log10(CAST(a.acc + 1 AS DOUBLE)) - sqrt(CAST((c.x - h.x) * (c.x - h.x) + (c.y - h.y) * (c.y - h.y) AS DOUBLE)) / 3 AS score
-            FROM {drops} d JOIN {cells} h ON h.cell_id = d.cell_id JOIN {cells} c ON c.cell_id IN (h.cell_id, h.cell_id - 1, h.cell_id + 1, h.cell_id - h.w, h.cell_id + h.w) JOIN {acc} a ON a.cell_id = c.cell_id)
-        SELECT drop_id, cell_id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY drop_id ORDER BY score DESC, cell_id) AS r FROM near) s WHERE r = 1""",
     # rasters and encodings
     "pool_mean": "SELECT x DIV 8 AS bx, y DIV 8 AS bky, round(avg(z), 6) AS z FROM {cells} GROUP BY x DIV 8, y DIV 8",
     "pool_max": "SELECT c.x DIV 8 AS bx, c.y DIV 8 AS bky, max(a.acc) AS acc FROM {cells} c JOIN {acc} a ON a.cell_id = c.cell_id GROUP BY c.x DIV 8, c.y DIV 8",
     "pool_argmax": "SELECT bx, bky, cell_id, acc FROM (SELECT c.x DIV 8 AS bx, c.y DIV 8 AS bky, a.cell_id, a.acc, row_number() OVER (PARTITION BY c.x DIV 8, c.y DIV 8 ORDER BY a.acc DESC, a.cell_id) AS r FROM {cells} c JOIN {acc} a ON a.cell_id = c.cell_id) s WHERE r = 1",
     "pool_any": "SELECT x DIV 4 AS bx, y DIV 4 AS bky, max(CASE WHEN cls = 2 THEN 1 ELSE 0 END) AS lake FROM {cells} GROUP BY x DIV 4, y DIV 4",
-    "area_encode_decode": "SELECT cell_id, v, round(CASE WHEN v = 0 THEN 0.0E0 ELSE pow(2.0E0, v / 11.0E0) - 1 END, 6) AS area FROM (SELECT cell_id, CAST(least(255, floor(ln(1.0E0 + acc) / ln(2.0E0) * 11 + 0.0000001E0)) AS INT) AS v FROM {acc}) e",
     "flow_byte_pack": "SELECT b, b & 15 AS dir, b >> 4 AS cls, count(*) AS cells FROM (SELECT CAST(e.dir + c.cls * 16 AS INT) AS b FROM {edges} e JOIN {cells} c ON c.cell_id = e.cell_id) s GROUP BY b",
-    "elev_quantise": """
-        WITH m AS (SELECT x DIV 32 AS tx, y DIV 32 AS ty, greatest(min(z), -600) AS lo, max(z) AS hi FROM {cells} GROUP BY x DIV 32, y DIV 32 HAVING max(z) >= -400),
-        q AS (SELECT c.cell_id, m.lo, greatest(0.25E0, (m.hi - m.lo) / 250.0E0) AS step, c.z FROM {cells} c JOIN m ON m.tx = c.x DIV 32 AND m.ty = c.y DIV 32)
-        SELECT cell_id, CAST(least(255.0E0, greatest(0.0E0, floor((z - lo) / step + 0.5E0))) AS INT) AS v, round(step, 6) AS step FROM q""",
-    "tile_prune": "SELECT c.x DIV 16 AS tx, c.y DIV 16 AS ty, count(*) AS cells FROM {cells} c JOIN {edges} e ON e.cell_id = c.cell_id GROUP BY c.x DIV 16, c.y DIV 16 HAVING max(CASE WHEN e.dir <> 0 OR c.cls <> 1 THEN 1 ELSE 0 END) = 1",
     "missing_tiles": "SELECT DISTINCT c.x DIV 16 AS tx, c.y DIV 16 AS ty FROM {cells} c LEFT ANTI JOIN (SELECT DISTINCT x DIV 16 AS ox, y DIV 16 AS oy FROM {cells} WHERE cls = 2) o ON o.ox = c.x DIV 16 AND o.oy = c.y DIV 16",
-    "missing_tile_default": "SELECT d.drop_id, coalesce(c.cls, 1) AS cls FROM (SELECT drop_id, cell_id + 1000000 * (drop_id % 3) AS cell_id FROM {drops}) d LEFT JOIN {cells} c ON c.cell_id = d.cell_id",
-    "overlay_slope": "SELECT c.cell_id, round(degrees(atan(sqrt(pow(CAST(e.z - w.z AS DOUBLE), 2) + pow(CAST(s.z - n.z AS DOUBLE), 2)) / 10 / (2 * 300.0E0))), 8) AS slope FROM {cells} c JOIN {cells} e ON e.cell_id = CASE WHEN c.x < c.w - 1 THEN c.cell_id + 1 ELSE c.cell_id END JOIN {cells} w ON w.cell_id = CASE WHEN c.x > 0 THEN c.cell_id - 1 ELSE c.cell_id END JOIN {cells} s ON s.cell_id = CASE WHEN c.y < c.w - 1 THEN c.cell_id + c.w ELSE c.cell_id END JOIN {cells} n ON n.cell_id = CASE WHEN c.y > 0 THEN c.cell_id - c.w ELSE c.cell_id END",
-    "hillshade": """
-        WITH d AS (SELECT c.cell_id, CAST(e.z - w.z AS DOUBLE) / 10 / (300 * (e.x - w.x)) * 2.2E0 AS gx, CAST(s.z - n.z AS DOUBLE) / 10 / (300 * (s.y - n.y)) * 2.2E0 AS gy FROM {cells} c JOIN {cells} e ON e.cell_id = CASE WHEN c.x < c.w - 1 THEN c.cell_id + 1 ELSE c.cell_id END JOIN {cells} w ON w.cell_id = CASE WHEN c.x > 0 THEN c.cell_id - 1 ELSE c.cell_id END JOIN {cells} s ON s.cell_id = CASE WHEN c.y < c.w - 1 THEN c.cell_id + c.w ELSE c.cell_id END JOIN {cells} n ON n.cell_id = CASE WHEN c.y > 0 THEN c.cell_id - c.w ELSE c.cell_id END),
-        a AS (SELECT cell_id, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(-gy, gx) AS aspect FROM d)
-        SELECT cell_id, round(least(1.0E0, greatest(0.0E0, sin(radians(45.0E0)) * cos(slope) + cos(radians(45.0E0)) * sin(slope) * cos(radians(135.0E0) - aspect))), 6) AS shade FROM a""",
-    "overlay_mask": "SELECT c.cell_id, CASE WHEN a.acc < 3 OR c.z < -20 THEN 0 ELSE 255 END AS alpha FROM {cells} c JOIN {acc} a ON a.cell_id = c.cell_id",
     # climate, by month
     "snow_fraction": "SELECT cell_id, round(least(1.0E0, greatest(0.0E0, (3 - (z / 10000.0E0 - 4)) / 4)), 6) AS snow, round(greatest(z / 10000.0E0 - 4, 0.0E0) * 3.0E0 * 28.25E0, 6) AS melt FROM {cells}",
     "orographic_precip": "SELECT cell_id, round(least(6000.0E0, greatest(20.0E0, 800 * least(3.2E0, greatest(0.35E0, 1 + 0.00055E0 * (z / 10.0E0 - 2000))))), 4) AS precip, round(15 - 0.0065E0 * z / 10, 6) AS temp FROM {cells}",
-    "calibration_score": "WITH r AS (SELECT c_nationkey, (c_acctbal + 1100) / (900.0E0 + c_custkey % 300) AS ratio FROM {customer}) SELECT round(median(ratio), 6) AS median_ratio, round(avg(abs(ln(ratio))), 6) AS mean_error, count(*) AS n FROM r",
-    "worst_rivers": "SELECT c_custkey, round(abs(ln((c_acctbal + 1100) / (900.0E0 + c_custkey % 300))), 6) AS error FROM {customer} ORDER BY error DESC, c_custkey LIMIT 10",
     # spatial joins by bucket
     "point_in_box": "WITH b AS (SELECT n_nationkey AS id, n_nationkey % 5 * 20 AS x0, n_nationkey DIV 5 * 20 AS y0 FROM {nation}) SELECT d.drop_id, min(b.id) AS box FROM {drops} d JOIN {cells} c ON c.cell_id = d.cell_id JOIN b ON b.x0 DIV 20 = c.x DIV 20 AND b.y0 DIV 20 = c.y DIV 20 WHERE NOT (c.x - b.x0 BETWEEN 8 AND 11 AND c.y - b.y0 BETWEEN 8 AND 11) GROUP BY d.drop_id",
-    "nearest_vertex": """
-        WITH v AS (SELECT c.cell_id AS vertex, c.x, c.y FROM {cells} c JOIN {acc} a ON a.cell_id = c.cell_id WHERE a.acc >= 20), o AS (SELECT -1 AS i UNION ALL SELECT 0 UNION ALL SELECT 1),
-        p AS (SELECT d.drop_id, c.x, c.y, c.x DIV 16 + a.i AS bx, c.y DIV 16 + b.i AS bky FROM {drops} d JOIN {cells} c ON c.cell_id = d.cell_id CROSS JOIN o a CROSS JOIN o b),
-        m AS (SELECT p.drop_id, v.vertex, (v.x - p.x) * (v.x - p.x) + (v.y - p.y) * (v.y - p.y) AS d2 FROM p JOIN v ON v.x DIV 16 = p.bx AND v.y DIV 16 = p.bky)
-        SELECT drop_id, vertex, d2 FROM (SELECT *, row_number() OVER (PARTITION BY drop_id ORDER BY d2, vertex) AS r FROM m WHERE d2 <= 256) s WHERE r = 1""",
-    "best_near": """
-        WITH v AS (SELECT c.cell_id AS reach, c.x, c.y, a.acc FROM {cells} c JOIN {acc} a ON a.cell_id = c.cell_id WHERE a.acc >= 20), o AS (SELECT -1 AS i UNION ALL SELECT 0 UNION ALL SELECT 1),
-        p AS (SELECT d.drop_id, c.x, c.y, a.acc, c.x DIV 8 + i.i AS bx, c.y DIV 8 + k.i AS bky FROM {drops} d JOIN {cells} c ON c.cell_id = d.cell_id JOIN {acc} a ON a.cell_id = d.cell_id CROSS JOIN o i CROSS JOIN o k),
-        m AS (SELECT p.drop_id, v.reach, sqrt(CAST((v.x - p.x) * (v.x - p.x) + (v.y - p.y) * (v.y - p.y) AS DOUBLE)) AS d, abs(ln(CAST(v.acc AS DOUBLE) / p.acc)) AS e FROM p JOIN v ON v.x DIV 8 = p.bx AND v.y DIV 8 = p.bky)
-        SELECT drop_id, reach, score FROM (SELECT *, row_number() OVER (PARTITION BY drop_id ORDER BY score, reach) AS r FROM (SELECT drop_id, reach, round((d + 0.64E0) * (1 + 1.6E0 * e), 8) AS score FROM m WHERE d <= 8) t) s WHERE r = 1""",
     # names and search
-    "search_places": """
-        WITH m AS (SELECT id, name, pop, instr(lower(name), 'an') AS pos FROM {place}), r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN pos = 1 THEN 0 ELSE 1 END ORDER BY pop DESC, length(name), id) AS r FROM m WHERE pos > 0)
-        SELECT id, name, pos = 1 AS prefix, r AS rank FROM r WHERE r <= CASE WHEN pos = 1 THEN 9 ELSE 4 END""",
-    "gazetteer_dedupe": "SELECT id, name FROM (SELECT *, row_number() OVER (PARTITION BY name, round(lon, 2), round(lat, 2) ORDER BY id) AS r FROM {place}) s WHERE r = 1",
-    "label_pools": "SELECT kind, id, rank FROM (SELECT CASE WHEN pop % 4 = 0 THEN 'town' WHEN pop % 4 = 1 THEN 'river' WHEN pop % 4 = 2 THEN 'lake' ELSE 'peak' END AS kind, id, row_number() OVER (PARTITION BY CASE WHEN pop % 4 = 0 THEN 'town' WHEN pop % 4 = 1 THEN 'river' WHEN pop % 4 = 2 THEN 'lake' ELSE 'peak' END ORDER BY pop DESC, id) AS rank FROM {place}) s WHERE rank <= CASE kind WHEN 'town' THEN 900 WHEN 'river' THEN 420 WHEN 'lake' THEN 220 ELSE 130 END",
-    "name_alias": "SELECT p_partkey, coalesce(a.canonical, trim(p_brand)) AS name FROM {part} LEFT JOIN (SELECT 'brand#1' AS alias, 'First' AS canonical UNION ALL SELECT 'brand#11', 'Eleventh') a ON a.alias = lower(trim(p_brand))",
-    "study_area": "SELECT id, name FROM {place} WHERE lon BETWEEN -25 AND 45 AND lat BETWEEN 34 AND 72",
-    "history_until": "SELECT o_orderkey, year(o_orderdate) AS year FROM {orders} WHERE year(o_orderdate) <= 1995",
-    "format_distance": "SELECT drop_id, CASE WHEN d < 1000 THEN CAST(d AS STRING) || ' m' ELSE CAST(CAST(floor(d / 1000.0E0) AS BIGINT) AS STRING) || ' km' END AS label FROM (SELECT drop_id, CAST(max(dist) AS BIGINT) AS d FROM {steps} GROUP BY drop_id) s",
     "union_lakes": "SELECT cell_id FROM {cells} WHERE cls = 2 UNION SELECT cell_id FROM {cells} WHERE x % 31 = 7 AND y % 29 = 3",
-    "seed_mask": "SELECT cell_id FROM {cells} WHERE cls = 1 OR x = 0 OR y = 0 OR x = w - 1 OR y = w - 1",
 }
 STATEMENTS["missing_tiles"] = "SELECT DISTINCT c.x DIV 16 AS tx, c.y DIV 16 AS ty FROM {cells} c WHERE NOT EXISTS (SELECT 1 FROM {cells} o WHERE o.cls = 2 AND o.x DIV 16 = c.x DIV 16 AND o.y DIV 16 = c.y DIV 16)"
