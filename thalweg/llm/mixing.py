@@ -99,11 +99,12 @@ def _numbered_equals(sized: DataFrame) -> DataFrame:
     return few.unionByName(many).withColumn("row", each).select(*sized.columns, "row")
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, row: str | None = None, by: str | None = None) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, row: str | None = None, by: str | None = None, size: str | None = None) -> DataFrame:
     """docs: doc_id, text, source. Returns doc_id, source, size, source_size, target, copies, taken for every row; and `row`,
-    if it names a column of longs that tells rows apart; draws then depend on `by`, a column of longs made of what the rows hold."""
+    if it names a column of longs that tells rows apart; draws then depend on `by`, a column of longs made of what the rows hold. size: a column
+    of sizes, where they are known, in place of text."""
     scratch = Scratch(spark, "mix")
-    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), *([F.col(row).alias("row"), F.col(by or row).alias("by")] if row else []))
+    sized = docs.select("doc_id", "source", (F.col(size) if size else words_of(F.col("text"))).alias("size"), *([F.col(row).alias("row"), F.col(by or row).alias("by")] if row else []))
     sized = sized if row else _numbered_equals(sized)
     sized = scratch.save(sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "by" if row else "row")).drop("by"), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
@@ -149,9 +150,9 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 11, weights: tuple[int
 def materialise(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as mix() takes it; rows with equal ids are told apart."""
     scratch, row = Scratch(spark, "mix"), "__mix_row"
-    hashed = docs.withColumns({"__mix_a": F.xxhash64(*docs.columns), "__mix_b": F.hash(*docs.columns)})
+    hashed = docs.withColumns({"__mix_a": F.xxhash64(*docs.columns), "__mix_b": F.hash(*docs.columns), "__mix_size": words_of(F.col("text"))})
     rows = numbered(scratch, hashed, row)
-    told = number_among_equals(rows.select(row, "doc_id", "text", "source", "__mix_a", "__mix_b"), ["__mix_a", "__mix_b"], "__mix_k").withColumn("__mix_by", F.xxhash64("__mix_a", "__mix_b", "__mix_k"))
-    n = mix(spark, told, row=row, by="__mix_by", **options).where("copies > 0").select(F.col(row).alias("__mix_at"), F.col("copies").cast("int").alias("__mix_n"))
+    told = number_among_equals(rows.select(row, "doc_id", "source", "__mix_size", "__mix_a", "__mix_b"), ["__mix_a", "__mix_b"], "__mix_k").withColumn("__mix_by", F.xxhash64("__mix_a", "__mix_b", "__mix_k"))
+    n = mix(spark, told, row=row, by="__mix_by", size="__mix_size", **options).where("copies > 0").select(F.col(row).alias("__mix_at"), F.col("copies").cast("int").alias("__mix_n"))
     kept = rows.join(n, F.col(row) == F.col("__mix_at")).withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
     return kept.select(*docs.columns)
