@@ -107,13 +107,19 @@ def river_layers(t: Tables) -> DataFrame:
     """Lines of three levels; each ends in a vertex that another line of its level begins with, or where no water goes on."""
     grid = t("cells").join(t("acc").select("cell_id", "parent_id", "acc"), "cell_id")
     drawn = cut(reaches.layers(grid, (60.0, 20.0, 5.0), (0.02, 0.005, 0.0025), ZOOM, PX, PY))
-    ends = drawn.select("lod", "line_id", F.round(F.col("up").cast("double"), 1).alias("up"), F.element_at("coords", -1).alias("e"))
-    starts = drawn.select("lod", F.get("coords", F.lit(0)).alias("e")).distinct().withColumn("met", F.lit(True))
-    last = ends.join(starts, ["lod", "e"], "left")
     body = reaches.lines(reaches.extract(grid.select("cell_id", "parent_id", "acc"), 5), grid, ZOOM, PX, PY)  # what goes on is part of the finest level
-    mouths = body.select(F.element_at("coords", -1).alias("m")).join(body.select(F.get("coords", F.lit(0)).alias("m")), "m", "left_anti").select(*(F.round(F.col("m")[c], 4).alias(c) for c in ("lon", "lat"))).distinct()
-    at = last.select("lod", "line_id", "up", "met", *(F.round(F.col("e")[c], 4).alias(c) for c in ("lon", "lat"))).join(mouths.withColumn("mouth", F.lit(True)), ["lon", "lat"], "left")
-    return at.select("lod", "line_id", "up", F.coalesce("met", "mouth", F.lit(False)).alias("ends_meet"))
+    return _met(drawn, body).select("lod", "line_id", F.round(F.col("up").cast("double"), 1).alias("up"), "ends_meet")
+
+
+def _met(drawn: DataFrame, body: DataFrame) -> DataFrame:
+    """drawn with ends_meet: whether a line ends where another of its level begins, or where none of the lines of body begins."""
+    first, last = F.get("coords", F.lit(0)), F.element_at("coords", -1)
+    starts = drawn.select("lod", first.alias("e")).distinct().withColumn("met", F.lit(True))
+    mouths = body.select(last.alias("m")).join(body.select(first.alias("m")), "m", "left_anti").distinct()
+    each = F.explode(F.array(*(F.struct(F.lit(lod).alias("lod"), reaches.rounded(F.col("m"), lod).alias("e")) for lod in range(3)))).alias("at")
+    mouths = mouths.select(each).select("at.*").distinct().withColumn("mouth", F.lit(True))
+    out = drawn.withColumn("e", last).join(starts, ["lod", "e"], "left").join(mouths, ["lod", "e"], "left")
+    return out.withColumn("ends_meet", F.coalesce("met", "mouth", F.lit(False)))
 
 
 @query(f"""
