@@ -70,21 +70,27 @@ def blocks(cells: DataFrame, zoom: int = 8, x0: int = 0, y0: int = 0, factor: in
     return pooled.withColumn("lon", lon).withColumn("lat", lat)
 
 
-def runoff_weights(cells: DataFrame, climate: DataFrame, factor: int = 8) -> DataFrame:
-    """cell_id, weight: the water of each cell, m3/s: its km2 (size_m) times the runoff of its block."""
-    at = cells.select("cell_id", "size_m", F.floor(F.col("x") / factor).alias("bx"), F.floor(F.col("y") / factor).alias("bky")).join(climate.select("bx", "bky", "runoff"), ["bx", "bky"])
-    return at.select("cell_id", (F.pow("size_m", F.lit(2)) / 1e6 * F.col("runoff") * 1000 / (h.YEAR * 1000)).alias("weight"))
+def runoff_weights(cells: DataFrame, climate: DataFrame, factor: int = 8, **more: str) -> DataFrame:
+    """cell_id, weight: the water of each cell, m3/s: its km2 (size_m) times the runoff of its block. more: names of weights, in
+    place of weight, and the columns that they are made of."""
+    named = more or {"weight": "runoff"}
+    at = cells.select("cell_id", "size_m", F.floor(F.col("x") / factor).alias("bx"), F.floor(F.col("y") / factor).alias("bky")).join(climate.select("bx", "bky", *named.values()), ["bx", "bky"])
+    return at.select("cell_id", *((F.pow("size_m", F.lit(2)) / 1e6 * F.col(c) * 1000 / (h.YEAR * 1000)).alias(n) for n, c in named.items()))
 
 
 def calibrate(cells: DataFrame, basins: DataFrame, gauged: DataFrame, grid: list[tuple[float, float]], zoom: int = 8, x0: int = 0, y0: int = 0, factor: int = 8, height: float = 1.0) -> DataFrame:
     """cells as `api.build` makes them, with size_m; basins: basin_id, river, area; gauged: river, discharge. A row for each
     (omega, pet_scale): n, median_ratio, mean_error, best (the least mean_error, the first on ties). Water is added up once
-    for each pair, looked up at the outlets of the largest basin of each river."""
+    for all pairs, looked up at the outlets of the largest basin of each river."""
     middles = cut(blocks(cells, zoom, x0, y0, factor, height))
-    edges, out = cells.select("cell_id", "parent_id"), None
-    for i, (omega, scale) in enumerate(grid):
-        q = flow.accumulate(edges, runoff_weights(cells, interpolate(middles, omega=omega, pet_scale=scale), factor))
-        modelled = basins.join(q.select(F.col("cell_id").alias("basin_id"), F.col("acc").alias("discharge")), "basin_id").select("river", "area", "discharge")
+    runoffs, out, names = middles.select("bx", "bky"), None, {f"q{i}": f"runoff{i}" for i in range(len(grid))}
+    for (omega, scale), column in zip(grid, names.values()):
+        runoffs = runoffs.join(interpolate(middles, omega=omega, pet_scale=scale).select("bx", "bky", F.col("runoff").alias(column)), ["bx", "bky"])
+    weights = runoff_weights(cells, cut(runoffs), factor, **names)
+    q = flow.totals(cells.select("cell_id", "parent_id"), weights, **{n: ("sum", n) for n in names})
+    found = cut(basins.join(q.withColumnRenamed("cell_id", "basin_id"), "basin_id").select("river", "area", *names))
+    for i, ((omega, scale), name) in enumerate(zip(grid, names)):
+        modelled = found.select("river", "area", F.col(name).alias("discharge"))
         row = score(modelled, gauged).select(F.lit(i).alias("run"), F.lit(float(omega)).alias("omega"), F.lit(float(scale)).alias("pet_scale"), "n", "median_ratio", "mean_error")
         out = row if out is None else out.union(row)
     out = cut(out)
