@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, shared_dir
-from ..operators import generalise, paths, polygons, reaches, search, spans
+from ..operators import generalise, polygons, reaches, search, spans, walks
 from ..sources import tiles, tilestore
 from .core import _SLOPES, _W, _r
 from .tables import PX, PY, ZOOM, Tables, duck
@@ -133,9 +133,9 @@ def _met(drawn: DataFrame, body: DataFrame) -> DataFrame:
     SELECT g.drop_id, distance, round(seconds, 3) AS seconds, round(CASE WHEN distance > 0 THEN vd / distance ELSE 0 END, 6) AS mean_velocity, round(fall, 4) AS fall, round(final_area * 300 / 31557.6, 8) AS discharge, coalesce(tributaries, '') AS tributaries, countries
     FROM g LEFT JOIN tr USING (drop_id) JOIN c USING (drop_id)""")
 def analyse_paths(t: Tables) -> DataFrame:
-    """Length, time, fall, tributaries and countries of each drop's path, by one pass over its rows. Cells of 3 km2 here."""
-    rows = t("steps").select("drop_id", "step", F.col("dist").cast("double").alias("dist"), (F.col("acc") * 3.0).alias("area"), (F.col("z") / 10.0).alias("elev"), F.col("nation").cast("string").alias("country"))
-    found = paths.analysed(rows)
+    """Length, time, fall, tributaries and countries of each drop's path, from what cells know of the rest of their stems. Cells of 3 km2 here."""
+    at = t("cells").join(t("acc"), "cell_id").select("cell_id", t.hop(), (F.col("acc") * 3.0).alias("area"), (F.col("z") / 10.0).alias("elev"), F.col("nation").cast("string").alias("country"))
+    found = walks.analysed(t("acc"), t("drops"), cut(at))
     steps = F.transform("tributaries", lambda x: F.concat(x["step"].cast("string"), F.lit(":"), x["gain"].cast("long").cast("string")))
     return found.select("drop_id", "distance", _r("seconds", 3), _r("mean_velocity", 6), _r("fall", 4), _r("discharge", 8), F.array_join(steps, " ").alias("tributaries"), F.array_join("countries", " ").alias("countries"))
 
