@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,49 +157,44 @@ def stored(spark: SparkSession, root: str) -> DataFrame:
     return manifest(spark, root).mapInArrow(fetch, "layer string, sx long, sy long, base double, step double, data binary")
 
 
-def _looked_up(wanted: DataFrame, tiles: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """wanted: layer, sx, sy, at (a place in the tile). Each tile is decoded once, for all places asked for in it, which are no
-    more than it has pixels. Returns layer, sx, sy, at, v, failed, base, step."""
-    grouped = wanted.groupBy("layer", "sx", "sy").agg(F.collect_set("at").alias("at"))  # a tile's pixels at most
-    met = grouped.join(tiles.select("layer", "sx", "sy", "data", "base", "step", F.lit(True).alias("known")), ["layer", "sx", "sy"], "left")
-
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            for r in rows.itertuples(index=False):
-                at, failed = np.asarray(r.at, "int64"), False
-                blank = OCEAN << 4 if r.layer == "flow" else 0
-                v = np.full(len(at), blank, "int32")
-                if r.known is True or r.known == 1:
-                    try:
-                        grid = decode_png(bytes(r.data))[:, :, 0]
-                        if grid.shape != (sizes[r.layer],) * 2:
-                            raise ValueError("a tile of another size")
-                        v = grid.ravel()[at].astype("int32")
-                    except Exception:  # noqa: BLE001  zlib, struct and type errors of damaged files
-                        failed = True
-                yield pd.DataFrame({"layer": r.layer, "sx": r.sx, "sy": r.sy, "at": at, "v": v, "failed": failed, "base": r.base, "step": r.step, "known": bool(r.known is True or r.known == 1)})
-
-    schema = "layer string, sx long, sy long, at long, v int, failed boolean, base double, step double, known boolean"
-    return met.mapInPandas(decode, schema)
+def _decoded(tiles: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """tiles: layer, sx, sy, data, base, step. layer, sx, sy, base, step, v (the first samples of its pixels, by rows), failed: whether it
+    can't be read, or has another size."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (layer, data) in enumerate(zip(b.column("layer").to_pylist(), b.column("data").to_pylist(), strict=True)):
+                try:
+                    grid = decode_png(data)[:, :, 0]
+                    v = grid.ravel().astype("int16") if grid.shape == (sizes[layer],) * 2 else None
+                except Exception:  # noqa: BLE001  zlib, struct and type errors of damaged files
+                    v = None
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("layer", "sx", "sy", "base", "step")), pa.array([v], pa.list_(pa.int16())), pa.array([v is None])], ["layer", "sx", "sy", "base", "step", "v", "failed"])
+
+    rows = tiles.where(F.col("layer").isin(*sizes)).select("layer", "sx", "sy", F.col("base").cast("double").alias("base"), F.col("step").cast("double").alias("step"), "data")
+    return rows.mapInArrow(decode, "layer string, sx long, sy long, base double, step double, v array<smallint>, failed boolean")
 
 
 def probe(points: DataFrame, tiles: DataFrame, size: int = SIZE, shift: int = 1) -> tuple[DataFrame, DataFrame]:
     """points: drop_id, px, py (pixels of the flow layer). tiles: layer (flow; acc at half the resolution; elev, `shift` zooms lower,
     with base and step), sx, sy, data. Returns two tables. Points with dir, cls, area (km2) and elev: where no tile was published
     the sea without flow, area 0 and no elevation; where one was but can't be read the same, and incomplete is true. And the
-    tiles that failed: layer, sx, sy. Points on one pixel are looked up once."""
-    sizes = {"flow": size, "acc": size // 2, "elev": size}
-    spots = points.select("px", "py").where("px is not null and py is not null").distinct()
+    tiles that failed: layer, sx, sy. Each tile is decoded once, to an array that points are joined with, so a point is a row
+    that is dealt by its tile of a layer and nothing else."""
+    held = cut(_decoded(tiles, {"flow": size, "acc": size // 2, "elev": size}))
+    there = F.col("px").isNotNull() & F.col("py").isNotNull()
     place = {}
     for layer, n, less in (("flow", size, 0), ("acc", size // 2, 1), ("elev", size, shift)):
-        x, y = F.shiftright(F.col("px").cast("long"), less), F.shiftright(F.col("py").cast("long"), less)
-        place[layer] = F.struct(F.lit(layer).alias("layer"), F.floor(x / n).alias("sx"), F.floor(y / n).alias("sy"), (F.pmod(y, F.lit(n)) * n + F.pmod(x, F.lit(n))).alias("at"))
-    wanted = spots.select(F.explode(F.array(*place.values())).alias("w")).select("w.*").distinct()
-    found = cut(_looked_up(wanted, tiles, sizes))
-    out = spots
+        x, y = (F.when(there, F.shiftright(F.col(c).cast("long"), less)) for c in ("px", "py"))
+        place[layer] = {"__sx": F.floor(x / n), "__sy": F.floor(y / n), "__at": (F.pmod(y, F.lit(n)) * n + F.pmod(x, F.lit(n))).cast("int")}
+    out = points
     for layer, at in place.items():
-        own = found.where(F.col("layer") == layer).select(F.struct("layer", "sx", "sy", "at").alias("__w"), F.struct("v", "failed", "base", "step", "known").alias(layer))
-        out = out.withColumn("__w", at).join(own, "__w").drop("__w")
-    elev = F.when(F.col("elev.known") & ~F.col("elev.failed"), F.col("elev.base") + F.col("elev.v") * F.col("elev.step"))
-    read = out.select("px", "py", F.col("flow.v").bitwiseAND(15).alias("dir"), F.shiftright("flow.v", 4).alias("cls"), h.decode_area(F.col("acc.v")).alias("area"), elev.alias("elev"), (F.col("flow.failed") | F.col("acc.failed") | F.col("elev.failed")).alias("incomplete"))
-    return points.join(read, ["px", "py"], "left"), found.where("failed").select("layer", "sx", "sy").distinct()
+        own = held.where(F.col("layer") == layer).select(F.col("sx").alias("__sx"), F.col("sy").alias("__sy"), F.struct("v", "failed", "base", "step").alias("__own"))
+        found = F.struct(F.get("__own.v", "__at").cast("int").alias("v"), "__own.failed", "__own.base", "__own.step").alias(f"__{layer}")
+        out = out.withColumns(at).join(own, ["__sx", "__sy"], "left").select(*out.columns, found)
+    blank = lambda layer, v: F.coalesce(F.col(f"__{layer}.v"), F.lit(v))
+    failed = [F.coalesce(F.col(f"__{layer}.failed"), F.lit(False)) for layer in place]
+    told = {"dir": blank("flow", OCEAN << 4).bitwiseAND(15), "cls": F.shiftright(blank("flow", OCEAN << 4), 4), "area": h.decode_area(blank("acc", 0)), "elev": F.col("__elev.base") + F.col("__elev.v") * F.col("__elev.step"), "incomplete": failed[0] | failed[1] | failed[2]}
+    read = out.select("px", "py", *(c for c in points.columns if c not in ("px", "py")), *(F.when(there, c).alias(n) for n, c in told.items()))
+    asked = points.where(there).select(F.explode(F.array(*(F.struct(F.lit(layer).alias("layer"), at["__sx"].alias("sx"), at["__sy"].alias("sy")) for layer, at in place.items()))).alias("w")).select("w.*")
+    return read, held.where("failed").select("layer", "sx", "sy").join(asked, ["layer", "sx", "sy"], "left_semi").distinct()
