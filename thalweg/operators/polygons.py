@@ -9,10 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shapes import POINT, simplify_line
-
-#: The sides of a cell: where the neighbour lies, and the way along the side with the cell on the right hand.
-_SIDES = ((0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0))
+from .shapes import POINT, open_sides, simplify_line
 
 
 def walked(edges: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -76,11 +73,8 @@ def polygons(masks: DataFrame, zoom: int = 8, shrink: int = 1, tolerance: float
     counted), border (their open sides), rings: the outline, then its holes, closed, as array<array<struct<lon,lat>>>. Cells are
     pooled by `shrink` first; a tolerance (degrees) simplifies rings, of which those of less than 4 points go.
 
-    Open sides are found by an anti-join, so that a task holds a mask's outline, not its area."""
-    cells = masks.select("mask_id", F.floor(F.col("px") / shrink).alias("x"), F.floor(F.col("py") / shrink).alias("y")).distinct()
-    side = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(s, ("nx", "ny", "ax", "ay", "bx", "b_y")))) for s in _SIDES)))
-    open_ = cells.withColumn("s", side).select("mask_id", (F.col("x") + F.col("s.nx")).alias("nx"), (F.col("y") + F.col("s.ny")).alias("ny"), *((F.col(c) + F.col("s." + n)).alias(n) for c, n in (("x", "ax"), ("y", "ay"), ("x", "bx"), ("y", "b_y"))))
-    open_ = open_.join(cells.withColumnsRenamed({"x": "nx", "y": "ny"}), ["mask_id", "nx", "ny"], "left_anti").select("mask_id", "ax", "ay", "bx", "b_y")
+    Open sides are found beforehand, so that a task holds a mask's outline, not its area."""
+    open_ = open_sides(masks.select("mask_id", F.floor(F.col("px") / shrink).alias("x"), F.floor(F.col("py") / shrink).alias("y")))
     scale = float(256 * 2**zoom)
 
     def placed(ring: np.ndarray) -> list[dict] | None:
